@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
+from corrobora.llm.simhash import simhash_classes
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,7 +74,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def plans() -> dict[str, Plan]:
-    return {"op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracles() -> dict[str, str]:
