@@ -10,10 +10,15 @@ from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
 from corrobora.llm.simhash import simhash_classes
+from corrobora.llm.suffix_dedup import removal_report
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(read_table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def plans() -> dict[str, Plan]:
-    return {"op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {"op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracles() -> dict[str, str]:
