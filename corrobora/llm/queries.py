@@ -11,6 +11,7 @@ from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
 from corrobora.llm.simhash import simhash_classes
 from corrobora.llm.suffix_dedup import removal_report
+from corrobora.llm.topk import top_k
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -79,8 +99,14 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def plans() -> dict[str, Plan]:
-    return {"op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op5_suffix_array": op5_suffix_array,
+        "op6_simhash": op6_simhash,
+        "op7_top_k": op7_top_k,
+        "op8_mixing": op8_mixing,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op10_exact_dedup": OP10_SQL}
