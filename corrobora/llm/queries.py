@@ -5,17 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
+from corrobora.llm.quality import THRESHOLD as QUALITY_THRESHOLD
+from corrobora.llm.quality import fit_quality, score_quality
 from corrobora.llm.simhash import simhash_classes
 from corrobora.llm.suffix_dedup import removal_report
 from corrobora.llm.topk import top_k
+from corrobora.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
+from corrobora.llm.toxicity import fit_toxicity, in_fold, score_toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
 
+def _scored(scores: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        in_fold(F.col("doc_id"), folds, fold).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, ~in_fold(F.col("__id"), 4, 2))
+    return _scored(score_toxicity(docs, model), 4, 2, TOXIC_THRESHOLD)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, ~in_fold(F.col("__id"), 5, 0))
+    return _scored(score_quality(docs, model), 5, 0, QUALITY_THRESHOLD)
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read_table(spark, sf_dir, "documents"))
 
@@ -100,6 +126,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 def plans() -> dict[str, Plan]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op3_quality": op3_quality,
         "op5_suffix_array": op5_suffix_array,
         "op6_simhash": op6_simhash,
         "op7_top_k": op7_top_k,
