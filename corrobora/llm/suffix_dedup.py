@@ -33,7 +33,7 @@ BLOCK = 1 << 20
 #: Different segments of a name beyond which its windows are told apart one by one.
 MANY_SEGMENTS = 512
 #: Bytes of the segments whose transform is built together (more if one name has more).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
@@ -189,8 +189,8 @@ def common_prefix_classes(text: np.ndarray, order: np.ndarray, depth: int) -> np
     """
     n = len(text)
     before = text[order - 1]  # the transform; text ends with a zero, which precedes its start
-    step = np.empty(n, np.int64)  # where the suffix one byte longer stands
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step = np.empty(n, np.int32)  # where the suffix one byte longer stands
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     lead = np.zeros(n + 1, np.uint8)
     lead[:n] = text[order]
     owner = np.full(n + 2, -1, np.int32)  # at place + 1: the interval whose extension holds it
@@ -200,12 +200,13 @@ def common_prefix_classes(text: np.ndarray, order: np.ndarray, depth: int) -> np
     found[0] = found[n] = True
     found[ends] = True
     used = np.flatnonzero(counts[1:]) + 1
-    low, high = ends[used] - counts[used], ends[used] - 1
+    low, high = (ends[used] - counts[used]).astype(np.int32), (ends[used] - 1).astype(np.int32)
     names = 0
     for _ in range(1, depth):
         sizes = high - low + 1
         which = np.repeat(np.arange(names, names + len(low), dtype=np.int32), sizes)
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+        before_it = np.cumsum(sizes, dtype=np.int32) - sizes
+        place = np.arange(sizes.sum(), dtype=np.int32) + np.repeat(low - before_it, sizes)
         keep = before[place] != 0
         to, which = step[place[keep]], which[keep]
         names += len(low)
