@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
+from corrobora.llm.pieces import default_vocabulary, encode_texts
 from corrobora.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from corrobora.llm.quality import fit_quality, score_quality
 from corrobora.llm.simhash import simhash_classes
@@ -36,6 +37,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_toxicity(docs, model), 4, 2, TOXIC_THRESHOLD)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(read_table(spark, sf_dir, "documents"), default_vocabulary())
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels, ~in_fold(F.col("__id"), 5, 0))
@@ -127,6 +132,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 def plans() -> dict[str, Plan]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op5_suffix_array": op5_suffix_array,
         "op6_simhash": op6_simhash,
