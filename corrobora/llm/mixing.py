@@ -55,7 +55,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share=TOTAL_SHARE, c
         - F.coalesce(F.sum("most").over(before), F.lit(0.0))
     ) / F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     tried = full.withColumn("try", level).withColumn("open", F.col("try") * F.col("weight") <= F.col("most"))
-    level_found = F.min(F.when(F.col("open"), F.col("try"))).over(everything)
+    # The first source that stays open sets the level; those after it try less.
+    level_found = F.max(F.when(F.col("open"), F.col("try"))).over(everything)
     target = F.least(F.col("most"), F.coalesce(level_found * F.col("weight"), F.col("most")))
     return tried.select("source", "source_size", target.alias("target"))
 

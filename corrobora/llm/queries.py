@@ -97,7 +97,7 @@ levels AS (
   FROM sources WINDOW o AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST)),
 targets AS (
   SELECT source, source_size,
-         least(most, coalesce(min(CASE WHEN try * w <= most THEN try END) OVER () * w, most)) AS target
+         least(most, coalesce(max(CASE WHEN try * w <= most THEN try END) OVER () * w, most)) AS target
   FROM levels),
 plan AS (
   SELECT *, floor(least(2.0, target / greatest(source_size, 1)))::INT AS base FROM targets),
