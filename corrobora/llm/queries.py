@@ -13,8 +13,10 @@ from corrobora.llm.mixing import mix_sources
 from corrobora.llm.pieces import default_vocabulary, encode_texts
 from corrobora.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from corrobora.llm.quality import fit_quality, score_quality
+from corrobora.llm.quotes import reply_order
 from corrobora.llm.simhash import simhash_classes
 from corrobora.llm.suffix_dedup import removal_report
+from corrobora.llm.surrogates import replace_personal_data
 from corrobora.llm.topk import top_k
 from corrobora.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from corrobora.llm.toxicity import fit_toxicity, in_fold, score_toxicity
@@ -47,6 +49,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, QUALITY_THRESHOLD)
 
 
+#: Replacements depend on this; a deployment passes its own secret.
+SURROGATE_KEY = "corrobora"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(read_table(spark, sf_dir, "documents"))
 
@@ -117,6 +127,51 @@ JOIN chosen c ON c.source IS NOT DISTINCT FROM words.source AND c.h = words.h
 """
 
 
+def op9_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(read_table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = r"""
+WITH m AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, text, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS parts
+  FROM conversations),
+l AS (SELECT id, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM m),
+b AS (
+  SELECT id, conv_id, turn, i, len(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+         regexp_replace(line, '^(?:[ \t]*>)+ ?', '') AS body FROM l),
+n AS (
+  SELECT *, coalesce(lead(level) OVER w, 0) AS after, level IS DISTINCT FROM lag(level) OVER w AS fresh
+  FROM b WINDOW w AS (PARTITION BY id ORDER BY i)),
+own AS (
+  SELECT id, conv_id, turn, trim(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (after > 0
+         AND regexp_matches(body, '(?i)^[^\n]{0,200}\b(?:wrote|schrieb|a écrit|escribió)[^\n]{0,100}:\s*$'))), '')) AS own
+  FROM n GROUP BY ALL),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY i) AS run FROM n),
+p AS (
+  SELECT id, conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY i) AS quoted
+  FROM r WHERE level > 0 GROUP BY ALL),
+a AS (
+  SELECT DISTINCT conv_id, turn, level, quoted, trim(regexp_replace(lower(unnest(string_split(quoted, chr(10)))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
+  FROM p WHERE turn IS NOT NULL),
+o AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(own, chr(10)))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
+  FROM own WHERE turn IS NOT NULL),
+k AS (
+  SELECT a.conv_id, a.turn, a.level, a.quoted, a.line, max(o.turn) AS source
+  FROM a JOIN o ON a.conv_id IS NOT DISTINCT FROM o.conv_id AND a.line = o.line AND o.turn < a.turn
+  WHERE a.line <> '' GROUP BY ALL),
+v AS (SELECT conv_id, turn, source, sum(len(line)) AS letters FROM k GROUP BY ALL),
+best AS (SELECT conv_id, turn, arg_max(source, (letters, source)) AS reply_to FROM v GROUP BY ALL),
+known AS (SELECT conv_id, turn, count(DISTINCT (level, quoted)) AS n_linked FROM k GROUP BY ALL)
+SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn NULLS LAST, m.role NULLS FIRST, m.text NULLS FIRST) AS position,
+       m.turn, m.role, own.own AS text, best.reply_to,
+       coalesce((SELECT count(*) FROM p WHERE p.id = m.id), 0) AS n_quotes, coalesce(known.n_linked, 0) AS n_linked
+FROM m JOIN own ON own.id = m.id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM m.conv_id AND best.turn = m.turn
+LEFT JOIN known ON known.conv_id IS NOT DISTINCT FROM m.conv_id AND known.turn = m.turn
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -134,13 +189,15 @@ def plans() -> dict[str, Plan]:
         "op1_toxicity": op1_toxicity,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
+        "op4_surrogates": op4_surrogates,
         "op5_suffix_array": op5_suffix_array,
         "op6_simhash": op6_simhash,
         "op7_top_k": op7_top_k,
         "op8_mixing": op8_mixing,
+        "op9_reply_order": op9_reply_order,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op9_reply_order": OP9_SQL, "op10_exact_dedup": OP10_SQL}
