@@ -12,7 +12,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 _PLANS: dict[str, Plan] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("catalog", "quality", "text")
+MODULES = ("catalog", "quality", "text", "evidence")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
