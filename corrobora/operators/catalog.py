@@ -90,7 +90,7 @@ def spread_sample(df: DataFrame, key: str, k: int) -> DataFrame:
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     spark = df.sparkSession
     n = keys.count()
-    wanted = sorted({i * (n - 1) // max(k - 1, 1) for i in range(min(k, n))})
+    wanted = sorted({i * (n - 1) // max(k - 1, 1) for i in range(k) if n})
     blocked = keys.withColumn("__b", F.floor(F.col(key) / 10_000))
     sizes = blocked.groupBy("__b").agg(F.count("*").alias("__s"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
