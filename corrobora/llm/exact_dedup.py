@@ -126,7 +126,7 @@ def _owners(largest: bool, budget: int, final: bool):
                     tag = (length, hashed, sha)
                     if not trie.add(body, tag, owner, copies):
                         put(body, [tag, owner, copies], True, True)
-                while trie.size > budget:
+                while trie.size > budget and (len(trie.held) > 1 or not final):
                     if final:
                         for body, mark in trie.hand_on_largest():
                             put(body, mark, True, True)
@@ -172,11 +172,11 @@ def text_owners(
         F.lit(1).cast("long").alias("copies"),
     )
     pending = rows.mapInArrow(_owners(keep == "max", trie_bytes, False), OWNERS_DDL)
-    done = None
+    done, wide = None, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        found = durable(
-            pending.repartition("length", "hash").mapInArrow(_owners(keep == "max", trie_bytes, True), OWNERS_DDL)
-        )
+        dealt = pending.repartition("length", "hash") if done is None else pending.repartition(wide, "length", "hash")
+        found = durable(dealt.mapInArrow(_owners(keep == "max", trie_bytes, True), OWNERS_DDL))
+        wide *= 2  # what was spilled is dealt to more tasks; each keeps one subtree at least, so the rounds end
         settled = found.where("not spilled").select("sha", "owner", "copies")
         done = settled if done is None else done.unionByName(settled)
         pending = found.where("spilled")
@@ -202,7 +202,9 @@ def exact_dedup(
     added = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     groups = text_owners(docs, id_col, text_col, keep, trie_bytes).where("copies > 1")
-    groups = small_side(groups.select(F.col("sha").alias("__sha"), F.col("owner").alias("__owner"), "copies"))
+    groups = small_side(
+        groups.select(F.col("sha").alias("__sha"), F.col("owner").alias("__owner"), F.col("copies").alias("__copies"))
+    )
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     own = F.col(id_col).cast("long")
     return (
@@ -210,9 +212,9 @@ def exact_dedup(
         .join(groups, "__sha", "left")
         .select(
             *[F.col(f"`{c}`") for c in docs.columns],
-            F.when(F.col("copies").isNull(), own).otherwise(F.col("__owner")).alias("keep_id"),
-            F.coalesce(F.col("copies"), F.lit(1)).cast("long").alias("group_size"),
-            (F.col("copies").isNull() | own.eqNullSafe(F.col("__owner"))).alias("kept"),
+            F.when(F.col("__copies").isNull(), own).otherwise(F.col("__owner")).alias("keep_id"),
+            F.coalesce("__copies", F.lit(1)).cast("long").alias("group_size"),
+            (F.col("__copies").isNull() | own.eqNullSafe(F.col("__owner"))).alias("kept"),
             F.lower(F.hex(F.col("__sha"))).alias("text_sha256"),
         )
     )
