@@ -1,0 +1,128 @@
+"""Surrogates, quotation linking and the pipeline."""
+
+from __future__ import annotations
+
+import re
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from corrobora.llm.queries import OP9_SQL
+from corrobora.llm.quotes import reply_order
+from corrobora.llm.simhash import fingerprint
+from corrobora.llm.surrogates import draw_surrogates, replace_personal_data
+
+PERSONAL = (
+    "Mail Ann.Lee@Corp.example.com or ann.lee@corp.example.com, call +1 (437) 555-0689 or 437-555-0689. "
+    "Card 4539 1488 0343 6467, ip 10.0.0.1. Frau Müller and Herr Müller; Mr Иван Петров. SSN 123-45-6789. "
+    'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" GB29 NWBK 6016 1331 9268 19'
+)
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def test_surrogates_keep_type_and_format(spark):
+    rows = [(1, PERSONAL, "x"), (2, None, "x"), (3, "", "x"), (4, "Nothing, version 4.0.", "x"), (None, "CALL ANN.LEE@CORP.EXAMPLE.COM", "x"), (1, PERSONAL, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, plan string")
+    got = replace_personal_data(docs, "key").collect()
+    by = {r.doc_id: r for r in got}
+    new = by[1].text
+    assert len(got) == 6 and by[2].text is None and by[3].text == "" and by[4].text == "Nothing, version 4.0."
+    for real in ("Ann.Lee", "ann.lee", "555-0689", "0343", "10.0.0.1", "Müller", "Петров", "123-45", "b44e15", "NWBK"):
+        assert real not in new
+    mails = re.findall(r"[^\s,]+@[^\s,]+", new)
+    assert mails[0].lower() == mails[1].lower() and by[None].text == "CALL " + mails[1].upper()
+    phones = re.search(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})", new).groups()
+    assert phones[:3] == phones[3:]
+    assert _luhn(re.search(r"Card ([\d ]{19})", new).group(1).replace(" ", ""))
+    she, he = re.search(r"Frau (\w+) and Herr (\w+);", new).groups()
+    assert she != he
+    assert re.search(r"Mr [А-Я]\w+ [А-Я]\w+\.", new)
+    assert re.search(r'token = "[0-9a-f]{40}" GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d$', new)
+    assert by[1].n_distinct < by[1].n_entities
+    assert replace_personal_data(docs, "other").where("doc_id = 1").first().text != new
+    assert replace_personal_data(docs.limit(0), "key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    """More names than first draws: collisions are drawn again until all differ."""
+    who = [("name", f"mr person{i}") for i in range(900)] + [("email", f"{a}{b}@x.org") for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = draw_surrogates(spark.createDataFrame(who, "type string, who string"), "k").collect()
+    assert len(rows) == len(who) == len({(r.type, r.drawn) for r in rows})
+    assert not {(r.type, r.drawn) for r in rows} & set(who)
+
+
+QUOTES = [
+    (1, 0, "user", "Hello there.\nWhat is Spark?"),
+    (1, 1, "assistant", "> What is Spark?\nAn engine."),
+    (1, 2, "user", "On Monday X wrote:\n> > what is  SPARK\n> An engine.\nThanks!\n> unknown thing"),
+    (1, None, "user", None),
+    (2, 0, "user", ""),
+    (2, 300, "user", "> nothing known"),
+    (2, 600, "user", "late\n> late"),
+    (3, 1, "user", "common line"),
+    (3, 400, "user", "> Common line"),
+    (3, 400, "user", "> Common line"),
+    (None, 1, "user", "abc"),
+    (None, 2, None, ">abc"),
+    (4, 1, "user", "same\nlong text here"),
+    (4, 2, "user", "same"),
+    (4, 3, "user", "> same\n> long text here\nok"),
+]
+
+
+@pytest.mark.parametrize("rows", [QUOTES, []])
+def test_reply_order(spark, rows):
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, own string")
+    got = sorted(map(tuple, reply_order(docs).collect()), key=str)
+    con = duckdb.connect()
+    con.sql("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    for r in rows:
+        con.execute("insert into conversations values (?, ?, ?, ?)", r)
+    assert got == sorted(con.sql(OP9_SQL).fetchall(), key=str)
+    if rows:
+        links = {(c, t): to for c, _, t, _, _, to, _, _ in got}
+        assert links[(1, 1)] == 0 and links[(4, 3)] == 1 and links[(3, 400)] == 1 and links[(2, 600)] is None
+
+
+def test_pipeline_stages(spark, sf_dir, small):
+    """Each stage against a plain version on its own input."""
+    docs = small
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), None if name == "sentencepiece" else small.schema)
+        after = docs.collect()
+        if name != "sentencepiece":
+            assert docs.columns == small.columns and set(after) <= set(before)
+        if name == "quality":
+            lost = {r.doc_id for r in before} - {r.doc_id for r in after}
+            assert sum(labels.get(i) == 1 for i in lost) <= 1 and sum(labels.get(r.doc_id) == 0 for r in after) <= 1
+        if name == "exact_dedup":
+            assert {r.text: r.doc_id for r in sorted(before)} == {r.text: r.doc_id for r in after} and len(after) == len({r.text for r in before})
+        if name == "near_dedup":
+            fps = [fingerprint(r.text) for r in after]
+            assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fps) for b in fps[:i])
+        if name == "mixing":
+            assert max(after.count(r) for r in after) <= 2
+        if name == "sentencepiece":
+            assert len(after) == len(before) and all(r.round_trip for r in after)
+
+
+def test_pipeline_on_messy_rows(spark, messy, empty, sf_dir):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (messy.select(*columns), empty.select(*columns)):
+            out = stage(spark, docs, sf_dir)
+            assert out.count() >= 0
+            if name != "sentencepiece":
+                assert out.columns == columns
