@@ -33,7 +33,8 @@ _NONE = -(1 << 62)
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of segments, times the root of their length (vectors are padded with zeros)."""
-    parts = np.pad(x, ((0, 0), (0, -x.shape[1] % segments))).reshape(len(x), segments, -1)
+    wide = np.pad(x, ((0, 0), (0, -x.shape[1] % segments)))
+    parts = wide.reshape(len(x), segments, wide.shape[1] // segments)
     return np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1) * np.sqrt(parts.shape[2])
 
 
