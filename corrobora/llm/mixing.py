@@ -100,6 +100,41 @@ def _boundaries(rows: DataFrame, budgets: DataFrame, level_bits: int) -> DataFra
     ).select(F.col("b.source").alias("source"), F.coalesce(last, F.lit(1 << HASH_BITS)).alias("threshold"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _hash(id_col, text_col).alias("hash"),
+    )
+
+
+def mix_plan(rows: DataFrame, weights, total_share: float, cap: float, level_bits: int) -> DataFrame:
+    """(source, source_size, target, base, threshold) from durable rows (source, size, hash).
+
+    A row is taken ``base`` times, and once more if its hash lies below the threshold.
+    """
+    targets = durable(source_targets(rows.select("source", "size"), weights, total_share, cap))
+    base = F.floor(F.least(F.lit(cap), F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
+    budgets = durable(
+        targets.withColumn("base", base.cast("int")).withColumn(
+            "budget", F.col("target") - F.col("base") * F.col("source_size")
+        )
+    )
+    thresholds = _boundaries(rows.select("source", "hash", "size"), budgets.select("source", "budget"), level_bits)
+    return small_side(
+        durable(
+            budgets.alias("b")
+            .join(thresholds.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+            .select("b.*", "t.threshold")
+        )
+    )
+
+
+def _copies(hash_: Column, cap: float) -> Column:
+    return F.least(F.col("p.base") + F.when(hash_ < F.col("p.threshold"), 1).otherwise(0), F.lit(int(cap)))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -120,32 +155,9 @@ def mix_sources(
     together, and an empty table gives an empty result. Columns other than the three named
     are ignored, whatever their names.
     """
-    rows = durable(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            _hash(id_col, text_col).alias("hash"),
-        )
-    )
-    targets = durable(source_targets(rows.select("source", "size"), weights, total_share, cap))
-    base = F.floor(F.least(F.lit(cap), F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
-    budgets = durable(
-        targets.withColumn("base", base.cast("int")).withColumn(
-            "budget", F.col("target") - F.col("base") * F.col("source_size")
-        )
-    )
-    thresholds = _boundaries(rows.select("source", "hash", "size"), budgets.select("source", "budget"), level_bits)
-    plan = small_side(
-        durable(
-            budgets.alias("b")
-            .join(thresholds.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-            .select("b.*", "t.threshold")
-        )
-    )
-    copies = F.least(
-        F.col("p.base") + F.when(F.col("r.hash") < F.col("p.threshold"), 1).otherwise(0), F.lit(int(cap))
-    )
+    rows = durable(_sized(docs, id_col, text_col, source_col))
+    plan = mix_plan(rows, weights, total_share, cap, level_bits)
+    copies = _copies(F.col("r.hash"), cap)
     return (
         rows.alias("r")
         .join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
@@ -159,3 +171,25 @@ def mix_sources(
             (copies * F.col("r.size")).cast("long").alias("taken"),
         )
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    total_share: float = TOTAL_SHARE,
+    cap: float = CAP,
+    level_bits: int = LEVEL_BITS,
+) -> DataFrame:
+    """The rows of ``docs`` as often as the mix of ``mix_sources`` takes them, with all their columns.
+
+    Rows are compared with their source's threshold where they lie; no text is shuffled.
+    """
+    rows = durable(_sized(docs, id_col, text_col, source_col))
+    plan = mix_plan(rows, weights, total_share, cap, level_bits)
+    hashed = docs.withColumn("__hash", _hash(id_col, text_col))
+    taken = hashed.alias("r").join(plan.alias("p"), F.col(f"r.{source_col}").eqNullSafe(F.col("p.source")))
+    times = F.array_repeat(F.lit(1), _copies(F.col("r.__hash"), cap))
+    return taken.select(*[F.col(f"r.{c}") for c in docs.columns], F.explode(times).alias("__time")).drop("__time")
