@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.common import durable, read_table, small_side
 from corrobora.llm.exact_dedup import exact_dedup
-from corrobora.llm.mixing import mix_sources
+from corrobora.llm.mixing import mixed_rows
 from corrobora.llm.pieces import default_vocabulary, encode_texts
 from corrobora.llm.quality import THRESHOLD, fit_quality, score_quality
 from corrobora.llm.simhash import simhash_classes
@@ -47,11 +47,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it: not at all, once or twice."""
-    mixed = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    plan = small_side(durable(mixed.select(F.col("doc_id").alias("__id"), "copies")))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    return mixed_rows(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
