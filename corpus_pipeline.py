@@ -1,6 +1,6 @@
 """A training-data pipeline over the documents table, a stage for each operator used.
 
-Quality classifier, exact dedup, SimHash near-dedup, mixing to target weights, SentencePiece
+Quality classifier, exact dedup, near-dedup by shingle similarity, mixing to target weights, SentencePiece
 encoding and decoding. Each stage takes what its predecessor kept; all but the last return
 the columns of documents, whole rows only.
 """
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from corrobora.llm.common import durable, read_table, small_side
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mixed_rows
+from corrobora.llm.near_copies import near_copy_rows, text_hash
 from corrobora.llm.pieces import default_vocabulary, encode_texts
 from corrobora.llm.quality import THRESHOLD, fit_quality, score_quality
-from corrobora.llm.simhash import simhash_classes
 from corrobora.llm.toxicity import in_fold
 
 
@@ -40,9 +40,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one that names the component stays."""
-    gone = simhash_classes(docs).where("doc_id <> component_id")
-    return _matching(docs, gone, "left_anti")
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, the one with the smallest doc_id stays."""
+    gone = durable(near_copy_rows(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")))
+    gone = small_side(gone)
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (text_hash(docs["text"]) == gone["__node"])
+    return docs.join(gone, same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", pieces),
 ]
 
-#: SQL has neither the classifier nor XXH64 fingerprints; the tests use brute force.
+#: SQL has neither the classifier nor XXH64 shingles; the tests use brute force.
 ORACLE_SQL = None
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
+from corrobora.llm import near_copies
+from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.queries import OP9_SQL
 from corrobora.llm.quotes import reply_order
 from corrobora.llm.simhash import fingerprint
@@ -126,3 +130,46 @@ def test_pipeline_on_messy_rows(spark, messy, empty, sf_dir):
             assert out.count() >= 0
             if name != "sentencepiece":
                 assert out.columns == columns
+
+
+def _near_kept(rows, least=0.8):
+    """Rows that stay by brute force over all pairs of distinct texts."""
+    def words5(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+    texts = sorted({r.text or "" for r in rows})
+    sets, up = [words5(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                up = [up[j] if u == up[i] else u for u in up]
+    root = dict(zip(texts, up, strict=True))
+    best = {}
+    for r in rows:
+        best.setdefault(root[r.text or ""], []).append((r.doc_id is None, r.doc_id or 0))
+    return Counter(r for r in rows if (r.doc_id is None, r.doc_id or 0) == min(best[root[r.text or ""]]))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_stage_by_jaccard(spark, monkeypatch, rounds):
+    """Copies with words changed, among them chains and pairs just above and below 0.8."""
+    monkeypatch.setattr(near_copies, "LEADER_ROUNDS", rounds)
+    draw, rows = random.Random(5), []
+    for base in range(12):
+        words = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([30, 90, 400]))]
+        for _ in range(10):
+            words = [f"n{draw.randrange(9999)}" if draw.random() < 0.02 else w for w in words]
+            rows.append((len(rows), " ".join(words)))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _near_kept(docs.collect())
+    bits = [fingerprint(t) for _, t in rows]
+    assert 12 < sum(want.values()) < len(rows) and len(set(bits)) > len(want)
+    assert Counter(corpus_pipeline.near(spark, docs, "").collect()) == want
+
+
+def test_near_stage_on_tables(spark, small, messy):
+    for docs in (small, messy):
+        docs = exact_dedup(docs.select("doc_id", "text"), keep="max").where("kept").select("doc_id", "text")
+        assert Counter(corpus_pipeline.near(spark, docs, "").collect()) == _near_kept(docs.collect())
