@@ -17,21 +17,14 @@ from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mixed_rows
 from corrobora.llm.near_copies import near_copy_rows, text_hash
 from corrobora.llm.pieces import default_vocabulary, encode_texts
-from corrobora.llm.quality import THRESHOLD, fit_quality, score_quality
+from corrobora.llm.quality import fit_quality, rows_of_quality
 from corrobora.llm.toxicity import in_fold
 
 
-def _matching(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or is not (``left_anti``) among ``chosen``."""
-    ids = small_side(durable(chosen.select(F.col("doc_id").alias("__id"))))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold go. Labels of the held-out fold stay unseen."""
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"), ~in_fold(F.col("__id"), 5, 0))
-    rejected = score_quality(docs, model).where(F.col("score") < THRESHOLD)
-    return _matching(docs, rejected, "left_anti")
+    return rows_of_quality(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corrobora.llm import near_copies
 from corrobora.llm.exact_dedup import exact_dedup
+from corrobora.llm.quality import THRESHOLD, apply_model, features, fit_quality
 from corrobora.llm.queries import OP9_SQL
 from corrobora.llm.quotes import reply_order
 from corrobora.llm.simhash import fingerprint
@@ -173,3 +176,25 @@ def test_near_stage_on_tables(spark, small, messy):
     for docs in (small, messy):
         docs = exact_dedup(docs.select("doc_id", "text"), keep="max").where("kept").select("doc_id", "text")
         assert Counter(corpus_pipeline.near(spark, docs, "").collect()) == _near_kept(docs.collect())
+
+
+def test_quality_stage_judges_rows(spark, small, sf_dir, monkeypatch):
+    """A third of the rows lack a doc_id and a third share one; each row stands or falls by its own text."""
+    model = fit_quality(small, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    monkeypatch.setattr(corpus_pipeline, "fit_quality", lambda *_: model)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else r.doc_id, *r[1:]) for i, r in enumerate(small.collect())]
+    got = corpus_pipeline.quality(spark, spark.createDataFrame(rows, small.schema), sf_dir).collect()
+    good = apply_model(np.array([features(r[1]) for r in rows]), model) >= THRESHOLD
+    assert {i % 3 for i, g in enumerate(good) if g} == {i % 3 for i, g in enumerate(good) if not g} == {0, 1, 2}
+    assert Counter(map(tuple, got)) == Counter(r for r, g in zip(rows, good, strict=True) if g)
+
+
+def test_stages_with_null_and_shared_ids(spark, sf_dir):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (3, a + " x"), (3, b), (5, b + " x"), (None, c), (None, c + " x"), (9, c + " y"), (None, d), (None, d), (None, "one of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(1, a), (3, b), (9, c + " y"), (None, d), (None, d), (None, "one of its own")])
+    assert Counter(map(tuple, corpus_pipeline.near(spark, docs, sf_dir).collect())) == want
+    assert Counter(map(tuple, corpus_pipeline.exact(spark, docs, sf_dir).collect())) == Counter(rows)
+    alone = spark.createDataFrame([(None, c), (None, c + " x")], "doc_id long, text string")
+    assert corpus_pipeline.near(spark, alone, sf_dir).count() == 1
