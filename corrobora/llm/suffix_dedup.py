@@ -5,18 +5,25 @@ have equal names wherever they stand, so all occurrences of a window meet under
 Neighbouring windows of one name form a run (about 190 windows); its segment is the bytes
 they span. Only names that occur twice can hold repeats: they are found by counting 8-byte
 names, and equal segments of a name are counted before any bytes are shuffled, so a group of
-copies is one segment with a weight. A name with very many different segments (edits in
-thousands of near copies) is cut down to single windows, named by their own hash.
+copies is one segment with a weight; a segment that is alone under its name needs no bytes.
 
 Tasks build the transform of the segments of complete names, a chunk at a time, and derive
 their common prefixes breadth first: the intervals of one-byte strings are extended to the
 left, each step finds the boundaries of the next value, and it stops at the minimum length.
 Boundaries not found by then separate suffixes that agree in at least that many bytes.
+
+A name with more different segments than a task should hold (edits in thousands of near
+copies, a passage in thousands of contexts) is dealt anew: its windows are put in narrow
+ranges by their distance from the gram that names them, and a range takes the bytes that all
+its windows share as its name. Only ranges whose shared bytes occur twice go on; they meet
+in the same expansion, or in ranges still narrower. A range of one window is its own name,
+so this ends after a few rounds, each with a few rows for a segment.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +37,10 @@ MIN_BYTES = 400
 GRAM = 32
 #: Windows hashed at a time; a longer text is cut into overlapping blocks.
 BLOCK = 1 << 20
-#: Different segments of a name beyond which its windows are told apart one by one.
+#: Different segments of a name that one task expands; the windows of a name with more are dealt anew.
 MANY_SEGMENTS = 512
+#: Windows in a range, round by round.
+RANGES = (64, 8, 1)
 #: Bytes of the segments whose transform is built together (more if one name has more).
 CHUNK = 1 << 18
 
@@ -285,73 +294,119 @@ def _expand(min_bytes: int, chunk: int):
     return run
 
 
-WINDOWS_DDL = "key long, seg long, nwin int, weight long, off int, w long"
+RANGES_DDL = "key long, seg long, nwin int, weight long, name long, form long, n int, offs array<int>"
+_RANGES = pa.schema(
+    [
+        ("key", pa.int64()),
+        ("seg", pa.int64()),
+        ("nwin", pa.int32()),
+        ("weight", pa.int64()),
+        ("name", pa.int64()),
+        ("form", pa.int64()),
+        ("n", pa.int32()),
+        ("offs", pa.list_(pa.int32())),
+    ]
+)
+
 
+def window_ranges(body: bytes, key: int, parts: list[tuple[int, int]], width: int, min_bytes: int, anchors: np.ndarray):
+    """{(name, form, n): offsets}: the windows of a segment in ranges of ``width`` distances.
 
-def _windows(min_bytes: int):
-    """Segments to their single windows, named by the hash of all their bytes."""
+    A window's distance is that to the first of ``anchors``, the places of the naming gram, in
+    it. ``parts`` are (offset, windows) to look at. The name is a hash of the bytes that all
+    windows of such a range share, the form one of the bytes that those present span.
+    """
+    found: dict[tuple[int, int, int], list[int]] = {}
+    digest, sign = xxhash.xxh3_64_intdigest, 1 << 63
+    for off, n in parts:
+        starts = np.arange(off, off + n)
+        anchor = anchors[np.searchsorted(anchors, starts)]
+        block = (anchor - starts) // width
+        edges = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])])
+        for i, j in zip(edges.tolist(), np.r_[edges[1:], n].tolist(), strict=True):
+            last = int(anchor[i]) - int(block[i]) * width  # where the range's last window would start
+            core = body[last : last - width + 1 + min_bytes]
+            name = digest(core, (key + int(block[i]) * 2 * width) % (2 * sign)) - sign
+            span = body[off + i : off + j - 1 + min_bytes]
+            form = digest(span, int(anchor[i]) - off - i) - sign
+            found.setdefault((name, form, j - i), []).append(off + i)
+    return found
+
+
+def _ranges(width: int, min_bytes: int, gram: int):
+    """Segments (key, seg, nwin, weight, body, parts) to their ranges; equal ones of a segment are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = GramHasher(_BASE ^ 0x5555555555555554)
+        hasher = GramHasher()
         for batch in batches:
-            for row in batch.select(["key", "seg", "nwin", "weight", "body"]).to_pylist():
-                w = hasher(np.frombuffer(row["body"], np.uint8), min_bytes).view(np.int64)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row["key"])),
-                        pa.array(np.full(n, row["seg"])),
-                        pa.array(np.full(n, row["nwin"], np.int32)),
-                        pa.array(np.full(n, row["weight"])),
-                        pa.array(np.arange(n, dtype=np.int32)),
-                        pa.array(w.copy()),
-                    ],
-                    names=["key", "seg", "nwin", "weight", "off", "w"],
-                )
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(at, 256).to_pylist():
+                    h = hasher(np.frombuffer(r["body"], np.uint8), gram)
+                    anchors = np.flatnonzero(h.view(np.int64) == r["key"])
+                    parts = [(p["off"], p["n"]) for p in r["parts"]]
+                    ranges = window_ranges(r["body"], r["key"], parts, width, min_bytes, anchors)
+                    out += [(r["key"], r["seg"], r["nwin"], r["weight"], *k, offs) for k, offs in ranges.items()]
+                yield _table(_RANGES, out)
 
     return run
 
 
-def _by_windows(segments: DataFrame, min_bytes: int, chunk: int) -> DataFrame:
-    """The repeated windows of segments whose names have too many of them for one task.
+def _expanded(cut: DataFrame, min_bytes: int, chunk: int) -> DataFrame:
+    """The repeated windows (key, seg, nwin, runs) of segments, each name in one task."""
+    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(min_bytes, chunk), FOUND_DDL)
 
-    A window hash that occurs once is no repeat. Of each other hash, the first and the last
-    bearer go through the same expansion, dealt by the hash, which compares their bytes.
-    """
+
+def _whole(groups: DataFrame) -> DataFrame:
+    """As ``_expanded``, for segments that are alone under their names and occur twice: every window is repeated."""
+    run = F.struct(F.lit(0).alias("i"), F.col("nwin").alias("j"))
+    return groups.select("key", "seg", "nwin", F.array(run).alias("runs"))
+
+
+def _dealt_anew(segments: DataFrame, min_bytes: int, gram: int, most: int, chunk: int) -> list[DataFrame]:
+    """Frames as of ``_expanded`` for the segments (key, seg, nwin, weight, body) of names with more than ``most``."""
     place = ["key", "seg", "nwin"]
-    windows = durable(segments.mapInArrow(_windows(min_bytes), WINDOWS_DDL))
-    where = F.struct("key", "seg", "nwin", "off")
-    twice = (
-        windows.groupBy("w")
-        .agg(F.sum("weight").alias("n"), F.min(where).alias("a"), F.max(where).alias("b"))
-        .where("n > 1")
-    )
-    ends = twice.select(
-        "w",
-        F.explode(
-            F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("at"), F.col("n").alias("weight")))).otherwise(
-                F.array(
-                    F.struct(F.col("a").alias("at"), (F.col("n") - 1).alias("weight")),
-                    F.struct(F.col("b").alias("at"), F.lit(1).cast("long").alias("weight")),
-                )
+    every = F.array(F.struct(F.lit(0).alias("off"), F.col("nwin").alias("n")))
+    pending, found = segments.withColumn("parts", every), []
+    for width in RANGES:
+        ranges = durable(
+            pending.select(*place, "weight", "body", "parts").mapInArrow(_ranges(width, min_bytes, gram), RANGES_DDL)
+        )
+        groups = ranges.groupBy("name", "form", "n").agg(
+            F.sum(F.col("weight") * F.size("offs")).alias("weight"),
+            F.min(F.struct(*place, F.col("offs")[0].alias("start"))).alias("rep"),
+        )
+        names = groups.groupBy("name").agg(F.sum("weight").alias("total"), F.count("*").alias("forms"))
+        groups = groups.join(names.where("total > 1"), "name").select(
+            F.col("name").alias("key"), F.col("form").alias("seg"), F.col("n").alias("nwin"), "weight", "rep", "forms"
+        )
+        groups = durable(groups)
+        few = groups.where(F.col("forms").between(2, most))
+        parts = few.groupBy(*[F.col(f"rep.{c}").alias(c) for c in place]).agg(
+            F.collect_list(F.struct(F.col("rep.start").alias("start"), *place, "weight", F.lit(False).alias("many"))).alias("parts")
+        )
+        cut = segments.select(*place, "body").join(parts, place).select("body", "parts")
+        done = durable(
+            _whole(groups.where("forms = 1")).unionByName(
+                _expanded(cut.mapInArrow(_extract(min_bytes), SEGMENTS_DDL), min_bytes, chunk)
             )
-        ).alias("e"),
-    ).select("w", "e.weight", "e.at.*")
-    wanted = ends.groupBy(*place).agg(F.collect_list(F.struct("w", "weight", "off")).alias("parts"))
-    cut = segments.select(*place, "body").join(wanted, place).select("body", F.explode("parts").alias("p")).select(
-        F.col("p.w").alias("key"),
-        F.lit(0).cast("long").alias("seg"),
-        F.lit(1).alias("nwin"),
-        F.col("p.weight").alias("weight"),
-        F.expr(f"substring(body, p.off + 1, {min_bytes})").alias("body"),
-    )
-    found = durable(
-        cut.repartition("key").sortWithinPartitions("key").mapInArrow(_expand(min_bytes, chunk), FOUND_DDL)
-    )
-    again = windows.join(found.select(F.col("key").alias("w")).distinct(), "w", "left_semi")
-    return again.groupBy(*place).agg(
-        F.collect_list(F.struct(F.col("off").alias("i"), (F.col("off") + 1).alias("j"))).alias("runs")
-    )
+        )
+        done = done.select(F.col("key").alias("name"), F.col("seg").alias("form"), F.col("nwin").alias("n"), "runs")
+        moved = F.transform(
+            "offs", lambda o: F.transform("runs", lambda r: F.struct((r["i"] + o).alias("i"), (r["j"] + o).alias("j")))
+        )
+        found.append(ranges.join(done, ["name", "form", "n"]).select(*place, F.flatten(moved).alias("runs")))
+        still = durable(groups.where(F.col("forms") > most).select(F.col("key").alias("name")).distinct())
+        if still.isEmpty():
+            break
+        parts = (
+            ranges.join(still, "name", "left_semi")
+            .select(*place, "n", F.explode("offs").alias("off"))
+            .groupBy(*place)
+            .agg(F.collect_list(F.struct("off", "n")).alias("parts"))
+        )
+        pending = segments.join(parts, place)
+    return found
 
 
 def _cut(min_bytes: int):
@@ -428,28 +483,20 @@ def repeated_spans(
         .groupBy(*place)
         .agg(F.count("*").alias("weight"), F.min(F.struct("uid", "start", "lead")).alias("rep"))
     )
-    many = durable(groups.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many_segments).select("key"))
-    any_many = not many.isEmpty()
-    marked = groups.join(small_side(many.withColumn("many", F.lit(True))), "key", "left").withColumn(
-        "many", F.coalesce("many", F.lit(False))
-    )
-    parts = marked.groupBy(F.col("rep.uid").alias("uid"), F.col("rep.lead").alias("lead")).agg(
-        F.collect_list(F.struct(F.col("rep.start").alias("start"), *place, "weight", "many")).alias("parts")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("segs"))
+    groups = durable(groups.join(sizes, "key"))
+    alone = (F.col("segs") == 1) & (F.col("weight") > 1)
+    parts = groups.where(~alone).groupBy(F.col("rep.uid").alias("uid"), F.col("rep.lead").alias("lead")).agg(
+        F.collect_list(F.struct(F.col("rep.start").alias("start"), *place, "weight", (F.col("segs") > many_segments).alias("many"))).alias("parts")
     )
     b, p = bodies.alias("b"), parts.alias("p")
     own = (F.col("b.uid") == F.col("p.uid")) & F.col("b.lead").eqNullSafe(F.col("p.lead"))
     segments = durable(
         b.join(p, own).select("b.body", "p.parts").mapInArrow(_extract(min_bytes), SEGMENTS_DDL)
     )
-    found = (
-        segments.where("not many")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_expand(min_bytes, chunk), FOUND_DDL)
-    )
-    if any_many:
-        found = found.unionByName(_by_windows(segments.where("many"), min_bytes, chunk))
-    found = durable(found)
+    found = [_whole(groups.where(alone)), _expanded(segments.where("not many"), min_bytes, chunk)]
+    found += _dealt_anew(segments.where("many"), min_bytes, gram, many_segments, chunk)
+    found = durable(reduce(DataFrame.unionByName, found))
     covered = durable(
         runs.join(found, place)
         .groupBy("uid")

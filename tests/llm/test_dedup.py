@@ -176,13 +176,46 @@ def _removed(rows, size=400):
 @pytest.mark.parametrize("many", [512, 1])
 @pytest.mark.parametrize("name", ["messy", "small"])
 def test_removal(name, many, request, monkeypatch):
-    """With ``many`` 1, names with two different segments are told apart window by window."""
+    """With ``many`` 1, names with two different segments are dealt anew down to single windows."""
     docs = request.getfixturevalue(name)
     defaults = suffix_dedup.repeated_spans.__defaults__
     monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", tuple(many if d == 512 else d for d in defaults))
     assert sorted(map(tuple, removal_report(docs).collect()), key=str) == _removed(docs.collect())
 
 
+@pytest.mark.parametrize("kind", ["passage", "edits", "periods"])
+def test_names_with_many_segments(spark, kind, monkeypatch):
+    """A passage in many contexts, many edited copies, or texts with a period: few rows for a segment, right results."""
+    draw = random.Random(7)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    base, rows = words(130), []
+    for i in range(400):
+        if kind == "passage":
+            text = words(draw.randrange(40)) + base[100:820] + words(draw.randrange(40))
+        elif kind == "edits":
+            at = draw.randrange(len(base))
+            text = base[:at] + words(1) + base[at:]
+        else:
+            text = words(draw.randrange(20)) + words(2) * 60 if i % 9 else "-" * draw.randrange(300, 900)
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = []
+
+    def counted(df):
+        out = durable(df)
+        if "form" in out.columns:
+            made.append(out.count())
+        return out
+
+    durable = suffix_dedup.durable
+    monkeypatch.setattr(suffix_dedup, "durable", counted)
+    defaults = suffix_dedup.repeated_spans.__defaults__
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", tuple(16 if d == 512 else d for d in defaults))
+    assert sorted(map(tuple, removal_report(docs).collect()), key=str) == _removed(docs.collect())
+    windows = sum(max(len(t) - 399, 0) for _, t in rows)
+    assert kind == "periods" or made and sum(made) < windows / 6
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
     draw = random.Random(1)
