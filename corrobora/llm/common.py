@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only below this many rows (a few MB); beyond it joins shuffle.
+
+#: Lists of sources are broadcast up to this many rows (a few MB); beyond it joins shuffle.
 BROADCAST_ROWS = 50_000
 
 
@@ -18,15 +19,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint folder, else the warehouse."""
+    """The folder that all executors share: the session's checkpoint folder.
+
+    Where none is set, a local session uses its warehouse; a cluster must name one, as a
+    folder of the driver's machine would not do.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: no lineage, no lost blocks."""
+    """``df`` written as Parquet to the shared folder and read again: no lineage, no lost blocks.
+
+    The folder is the session's own; what is in it can be deleted when the session has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -34,7 +44,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows at most ``rows`` rows, else unmarked.
+    """``df``, one row per source, marked for broadcast if a count shows at most ``rows`` rows, else unmarked.
 
     Pass a durable frame: the count reads it once more.
     """

@@ -5,72 +5,81 @@ the full byte strings into a compressed radix trie whose terminal nodes keep the
 the string (smallest or largest identifier) and its number of copies, so two texts are
 equal only if all their bytes are. Map tasks run the same trie first, so that a group of
 copies that holds a third of all rows reaches its partition as one row per map task. A trie
-that outgrows its budget hands its largest subtree on as rows for another round (the spill
-by subtree): these go through Spark's shuffle, so an executor can be lost at any time.
+that outgrows its budget hands its largest subtrees on as rows for another round (the spill
+by subtree): these go through Spark's shuffle, so an executor can be lost at any time. The
+subtrees are those under the first fork, so a prefix that all texts share does not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import Collector, durable, small_side
+from corrobora.llm.common import Collector, durable
 
-OWNERS = pa.schema(
-    [
-        ("length", pa.int64()),
-        ("hash", pa.int64()),
-        ("sha", pa.binary()),
-        ("body", pa.binary()),
-        ("owner", pa.int64()),
-        ("copies", pa.int64()),
-        ("spilled", pa.bool_()),
-    ]
-)
-OWNERS_DDL = "length long, hash long, sha binary, body binary, owner long, copies long, spilled boolean"
+#: Memory of a node besides its label, and with the mark of a string, about.
+NODE_BYTES = 450
+TRIE_BYTES = 256 << 20
+
+OWNERS_DDL = "length long, hash long, sha binary, body binary, owner long, tie long, copies long, rest {rest}, spilled boolean"
+_INPUT = ("length", "hash", "sha", "body", "owner", "tie", "copies", "rest")
+
+
+@dataclass(slots=True)
+class Mark:
+    """What a terminal node keeps: a tag, the owner (its tie-break and other columns) and the number of copies."""
+
+    tag: object
+    owner: int | None
+    copies: int = 1
+    tie: int = 0
+    rest: object = None
 
 
 class PatriciaTrie:
-    """A compressed radix trie over byte strings; a terminal node keeps [tag, owner, copies].
+    """A compressed radix trie over byte strings; a terminal node keeps a ``Mark``.
 
-    A node is [label, children by first byte, terminal]. ``held`` counts label bytes by the
-    first byte of the strings below, which names the root's subtrees.
+    A node is [label, children by first byte, mark]; where a subtree has been handed on, its
+    place among the children is held by ``None``. ``size`` counts labels and nodes.
     """
 
     def __init__(self, largest: bool):
         self.largest = largest
         self.root = [b"", {}, None]
-        self.held: dict[int, int] = {}
-        self.out: set[int] = set()
+        self.size = 0
 
-    def add(self, key: bytes, tag, owner: int | None, copies: int) -> bool:
+    def add(self, key: bytes, mark: Mark) -> bool:
         """Insert ``key``; False if its subtree has been handed on."""
-        if key and key[0] in self.out:
-            return False
         node, at, end = self.root, 0, len(key)
         while at < end:
-            child = node[1].get(key[at])
+            child = node[1].get(key[at], self)
             if child is None:
+                return False
+            if child is self:
                 child = node[1][key[at]] = [key[at:], {}, None]
-                self.held[key[0]] = self.held.get(key[0], 0) + end - at
+                self.size += end - at + NODE_BYTES
             elif not key.startswith(child[0], at):
                 child = self._split(node, child, key, at)
+                self.size += NODE_BYTES
             node, at = child, at + len(child[0])
         if node[2] is None:
-            node[2] = [tag, owner, copies]
+            node[2] = mark
         else:
-            mark = node[2]
-            mark[1] = self._better(mark[1], owner)
-            mark[2] += copies
+            node[2] = self._joined(node[2], mark)
         return True
 
-    def _better(self, a: int | None, b: int | None) -> int | None:
-        if a is None or b is None:
-            return b if a is None else a
-        return max(a, b) if self.largest else min(a, b)
+    def _joined(self, a: Mark, b: Mark) -> Mark:
+        """The mark of the better owner: one with an identifier, the largest (smallest), then the smallest tie."""
+        sign = -1 if self.largest else 1
+        order = lambda m: (m.owner is None, sign * (m.owner or 0), m.tie)
+        copies = a.copies + b.copies
+        best = b if order(b) < order(a) else a
+        best.copies = copies
+        return best
 
     @staticmethod
     def _split(node, child, key: bytes, at: int):
@@ -84,64 +93,88 @@ class PatriciaTrie:
         child[0] = label[low:]
         return fork
 
-    def terminals(self, top=None, prefix: bytes = b"") -> Iterator[tuple[bytes, list]]:
+    def terminals(self, top=None, prefix: bytes = b"") -> Iterator[tuple[bytes, Mark]]:
         stack = [(top or self.root, prefix)]
         while stack:
             node, path = stack.pop()
             path += node[0]
             if node[2] is not None:
                 yield path, node[2]
-            stack += [(child, path) for child in node[1].values()]
+            stack += [(child, path) for child in node[1].values() if child is not None]
 
-    @property
-    def size(self) -> int:
-        return sum(self.held.values())
+    @staticmethod
+    def _size(top) -> int:
+        total, stack = 0, [top]
+        while stack:
+            node = stack.pop()
+            total += len(node[0]) + NODE_BYTES
+            stack += [child for child in node[1].values() if child is not None]
+        return total
 
-    def hand_on_largest(self) -> Iterator[tuple[bytes, list]]:
-        """Cut off the largest subtree under the root and yield its strings."""
-        first = max(self.held, key=self.held.get)
-        self.out.add(first)
-        del self.held[first]
-        yield from self.terminals(self.root[1].pop(first))
+    def hand_on(self, most: int) -> Iterator[tuple[bytes, Mark]]:
+        """Cut subtrees off, the largest first, until ``size`` is at most ``most``; yield their strings.
 
+        They hang on the first node that ends a string or forks, whatever prefix all strings
+        share; when only one string is left, it stays.
+        """
+        while self.size > most:
+            node, path = self.root, b""
+            while True:
+                live = [byte for byte, child in node[1].items() if child is not None]
+                if len(live) != 1 or node[2] is not None:
+                    break
+                node = node[1][live[0]]
+                path += node[0]
+            sizes = {byte: self._size(node[1][byte]) for byte in live}
+            for byte in sorted(sizes, key=lambda x: -sizes[x]):
+                if self.size <= most or (node[2] is None and byte == min(sizes, key=lambda x: (sizes[x], x)) and len(sizes) > 1):
+                    break
+                yield from self.terminals(node[1][byte], path)
+                node[1][byte] = None
+                self.size -= sizes[byte]
+            else:
+                if not sizes or node[2] is not None:
+                    return  # one string is left
 
-def _owners(largest: bool, budget: int, final: bool):
-    """mapInArrow function: rows (length, hash, sha, body, owner, copies) to one per string.
 
-    ``final``: drop the bodies and spill by subtree. Otherwise a full trie is emptied and begun anew.
+def _owners(largest: bool, budget: int, final: bool, bodies: bool):
+    """mapInArrow function: rows (length, hash, sha, body, owner, tie, copies, rest) to one per string.
+
+    ``final``: spill by subtree, and drop the bodies unless ``bodies``. Otherwise a full trie is
+    emptied and begun anew.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, trie = Collector(OWNERS), PatriciaTrie(largest)
+        out, trie = None, PatriciaTrie(largest)
 
-        def put(body: bytes, mark: list, whole: bool, spilled: bool) -> None:
-            (length, hashed, sha), owner, copies = mark
-            out.add((length, hashed, sha, body if whole else None, owner, copies, spilled), len(body) if whole else 64)
+        def put(body: bytes, m: Mark, whole: bool, spilled: bool) -> None:
+            row = (*m.tag, body if whole else None, m.owner, m.tie, m.copies, m.rest, spilled)
+            out.add(row, len(body) if whole else 64)
 
         for batch in batches:
+            out = out or Collector(batch.schema.append(pa.field("spilled", pa.bool_())))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = [part.column(c).to_pylist() for c in OWNERS.names[:6]]
-                for length, hashed, sha, body, owner, copies in zip(*columns, strict=True):
-                    tag = (length, hashed, sha)
-                    if not trie.add(body, tag, owner, copies):
-                        put(body, [tag, owner, copies], True, True)
-                while trie.size > budget and (len(trie.held) > 1 or not final):
-                    if final:
-                        for body, mark in trie.hand_on_largest():
-                            put(body, mark, True, True)
-                            if out.full:
-                                yield out.take()
-                    else:
-                        for body, mark in trie.terminals():
-                            put(body, mark, True, False)
-                            if out.full:
-                                yield out.take()
+                columns = [part.column(c).to_pylist() for c in _INPUT]
+                for length, hashed, sha, body, owner, tie, copies, rest in zip(*columns, strict=True):
+                    mark = Mark((length, hashed, sha), owner, copies, tie, rest)
+                    if not trie.add(body, mark):
+                        put(body, mark, True, True)
+                if trie.size > budget:
+                    # Half goes, so that the next spill is not at hand.
+                    gone = trie.hand_on(budget // 2) if final else trie.terminals()
+                    for body, mark in gone:
+                        put(body, mark, True, final)
+                        if out.full:
+                            yield out.take()
+                    if not final:
                         trie = PatriciaTrie(largest)
                 if out.full:
                     yield out.take()
+        if out is None:
+            return
         for body, mark in trie.terminals():
-            put(body, mark, not final, False)
+            put(body, mark, bodies or not final, False)
             if out.full:
                 yield out.take()
         yield out.take()
@@ -149,17 +182,8 @@ def _owners(largest: bool, budget: int, final: bool):
     return run
 
 
-def text_owners(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: str = "max",
-    trie_bytes: int = 48 << 20,
-) -> DataFrame:
-    """One row per distinct text: sha (SHA-256 of its UTF-8), owner, copies. A durable frame.
-
-    A null text is the empty text; an owner is null only if all copies lack an identifier.
-    """
+def _settled(docs: DataFrame, text_col: str, owner, tie, rest, keep: str, trie_bytes: int, bodies: bool) -> DataFrame:
+    """Rows (length, hash, sha, body, owner, tie, copies, rest), one for each distinct text. A durable frame."""
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -168,28 +192,75 @@ def text_owners(
         F.xxhash64(body).alias("hash"),
         F.unhex(F.sha2(body, 256)).alias("sha"),
         body.alias("body"),
-        F.col(id_col).cast("long").alias("owner"),
+        owner.cast("long").alias("owner"),
+        tie.cast("long").alias("tie"),
         F.lit(1).cast("long").alias("copies"),
+        rest.alias("rest"),
     )
-    pending = rows.mapInArrow(_owners(keep == "max", trie_bytes, False), OWNERS_DDL)
+    ddl = OWNERS_DDL.format(rest=rows.schema["rest"].dataType.simpleString())
+    pending = rows.mapInArrow(_owners(keep == "max", trie_bytes, False, True), ddl)
     done, wide = None, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
+        pending = pending.drop("spilled")
         dealt = pending.repartition("length", "hash") if done is None else pending.repartition(wide, "length", "hash")
-        found = durable(dealt.mapInArrow(_owners(keep == "max", trie_bytes, True), OWNERS_DDL))
-        wide *= 2  # what was spilled is dealt to more tasks; each keeps one subtree at least, so the rounds end
-        settled = found.where("not spilled").select("sha", "owner", "copies")
+        found = durable(dealt.mapInArrow(_owners(keep == "max", trie_bytes, True, bodies), ddl))
+        wide *= 2  # what was spilled is dealt to more tasks; each keeps one string at least, so the rounds end
+        settled = found.where("not spilled").drop("spilled")
         done = settled if done is None else done.unionByName(settled)
         pending = found.where("spilled")
         if pending.isEmpty():
             return done
 
 
+def text_owners(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "max",
+    trie_bytes: int = TRIE_BYTES,
+) -> DataFrame:
+    """One row per distinct text: sha (SHA-256 of its UTF-8), owner, copies. A durable frame.
+
+    A null text is the empty text; an owner is null only if all copies lack an identifier.
+    """
+    nothing = F.lit(None).cast("int")
+    found = _settled(docs, text_col, F.col(id_col), F.lit(0), nothing, keep, trie_bytes, False)
+    return found.select("sha", "owner", "copies")
+
+
+def distinct_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "max",
+    trie_bytes: int = TRIE_BYTES,
+) -> DataFrame:
+    """Whole rows of ``docs``, one for each distinct text. A durable frame.
+
+    The row with the largest identifier stays (``keep='min'``: the smallest), one without an
+    identifier only if all copies lack one; rows that tie there are told apart by a hash of
+    all columns. Null and empty texts are equal, and the row that stays keeps its own. The
+    rows travel with their texts, so that texts are shuffled once and nothing is joined.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Numbered, as names may hold any character.
+    rest = F.struct(
+        F.col(text_col).isNull().alias("none"),
+        *[c.alias(f"c{i}") for i, (c, name) in enumerate(zip(columns, docs.columns, strict=True)) if name != text_col],
+    )
+    found = _settled(docs, text_col, F.col(id_col), F.xxhash64(*columns), rest, keep, trie_bytes, True)
+    text = F.when(~F.col("rest.none"), F.col("body").cast("string"))
+    return found.select(
+        *[(text if name == text_col else F.col(f"rest.c{i}")).alias(name) for i, name in enumerate(docs.columns)]
+    )
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "max",
-    trie_bytes: int = 48 << 20,
+    trie_bytes: int = TRIE_BYTES,
 ) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256 added.
 
@@ -202,9 +273,7 @@ def exact_dedup(
     added = ("keep_id", "group_size", "kept", "text_sha256")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     groups = text_owners(docs, id_col, text_col, keep, trie_bytes).where("copies > 1")
-    groups = small_side(
-        groups.select(F.col("sha").alias("__sha"), F.col("owner").alias("__owner"), F.col("copies").alias("__copies"))
-    )
+    groups = groups.select(F.col("sha").alias("__sha"), F.col("owner").alias("__owner"), F.col("copies").alias("__copies"))
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     own = F.col(id_col).cast("long")
     return (

@@ -1,7 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands to find candidates.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash classes first, then MinHash bands.
 
-A text is the set of its five-word shingles. Texts that agree in a band of minimal hashes meet
-under one key; a pair of Jaccard similarity 0.8 shares none of the 40 bands of 5 with a chance
+A text is the set of its five-word shingles. Texts whose SimHash fingerprints are linked by
+multi-index hashing meet the leader of their class and are verified. Distances of 64 bits
+have no bound that follows from a similarity of 0.8, so bands of minimal hashes find the rest.
+Texts that agree in a band meet under one key; a pair of Jaccard similarity 0.8 shares none of the 40 bands of 5 with a chance
 of 1.3e-7 (1e-9 at 0.85), and every pair that meets is verified on the complete sets. Groups of
 copies are not compared all with all: in the first rounds the texts under a key meet one
 leader, and links found join components. Only keys that still hold several components are
@@ -19,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import durable, small_side
+from corrobora.llm.common import durable
 from corrobora.llm.components import connected_components
+from corrobora.llm.simhash import majority, near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -41,13 +44,18 @@ def text_hash(text: Column) -> Column:
 
 
 def shingles(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The distinct XXH64 of a text's ``width``-word shingles; words as in ``simhash.fingerprint``.
+    """The distinct XXH64 of a text's ``width``-word shingles, ascending; see ``shingle_hashes``."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def shingle_hashes(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The XXH64 of a text's ``width``-word shingles, with repeats; words as in ``simhash.fingerprint``.
 
     Fewer words than ``width`` form one shingle, no words an empty one.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     join, digest, n = b" ".join, xxhash.xxh64_intdigest, max(len(words) - width + 1, 1)
-    return np.unique(np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,16 +85,18 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, sketches = [], [], []
+        sizes, keys, sketches, fps = [], [], [], []
         for text in batch.column(1):
-            hashes = shingles(text.as_py())
+            every = shingle_hashes(text.as_py())
+            hashes = np.unique(every)
+            fps.append(majority(every))
             least = minimal_hashes(hashes)
             sizes.append(len(hashes))
             keys.append(band_keys(least))
             sketches.append(least.astype(np.uint16).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            names=["node", "size", "keys", "sketch"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))],
+            names=["node", "size", "keys", "sketch", "fp"],
         )
 
 
@@ -118,7 +128,7 @@ def _exact(least: float):
 
 def _with_both(pairs: DataFrame, named: DataFrame, value: str) -> DataFrame:
     """(a, b, x, y): pairs with the ``value`` that ``named`` (node, value) has for either end."""
-    ends = small_side(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     mine = durable(named.join(ends, "node", "left_semi").select("node", value).dropDuplicates(["node"]))
     first = pairs.join(mine.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
     return first.join(mine.select(F.col("node").alias("a"), F.col(value).alias("x")), "a").select("a", "b", "x", "y")
@@ -131,6 +141,16 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: fl
     return durable(_with_both(alike, texts, "text").mapInArrow(_exact(least), "a long, b long"))
 
 
+def _class_pairs(sketches: DataFrame) -> DataFrame:
+    """(a, b): each text of a SimHash class of several, after the smallest of them."""
+    fps = durable(sketches.select("fp").distinct())
+    roots = connected_components(near_links(fps))
+    named = sketches.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    named = named.select("node", F.coalesce("root", "fp").alias("class"))
+    leaders = named.groupBy("class").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a < high")
+    return named.join(leaders, "class").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(node, root) for the texts (node, text) linked to another: equal roots where a chain of pairs is ``least`` similar.
 
@@ -139,18 +159,15 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     if least < SIMILARITY:
         raise ValueError("the bands find similarities of 0.8 and more")
-    sketches = durable(texts.select("node", "text").mapInArrow(_sketch, "node long, size long, keys array<long>, sketch binary"))
+    sketches = durable(texts.select("node", "text").mapInArrow(_sketch, "node long, size long, keys array<long>, sketch binary, fp long"))
     sketches = durable(sketches.dropDuplicates(["node"]))
     entries = sketches.select("node", "size", F.explode("keys").alias("key"))
     met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    entries = durable(entries.join(small_side(durable(met)), "key", "left_semi"))
-    links, roots = [], None
+    entries = durable(entries.join(met, "key", "left_semi"))
+    links = [_verified(_class_pairs(sketches), sketches, texts, least)]
+    roots = connected_components(links[0])
     for number in range(LEADER_ROUNDS + 1):
-        if roots is None:
-            named = entries.withColumn("root", F.col("node"))
-        else:
-            of = small_side(roots)
-            named = entries.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         order = F.struct(F.xxhash64("node", F.lit(number)).alias("order"), "node", "size", "root")
         open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("l"))
         open_keys = durable(open_keys.where("low < high").select("key", "l.node", "l.size", "l.root"))
@@ -159,9 +176,9 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if number < LEADER_ROUNDS:
             others = open_keys
         else:
-            entries = named = durable(named.join(small_side(open_keys.select("key")), "key", "left_semi"))
+            entries = named = durable(named.join(open_keys.select("key"), "key", "left_semi"))
             others = named
-        x, y = named.alias("x"), small_side(others).alias("y") if number < LEADER_ROUNDS else others.alias("y")
+        x, y = named.alias("x"), others.alias("y")
         enough = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - F.lit(1e-6)
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & enough)
         if number == LEADER_ROUNDS:
@@ -169,7 +186,7 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
         links.append(_verified(pairs, sketches, texts, least))
         roots = connected_components(reduce(DataFrame.unionByName, links))
-    return roots if roots is not None else sketches.select("node", F.col("node").alias("root")).limit(0)
+    return roots
 
 
 def near_copy_rows(
@@ -184,7 +201,7 @@ def near_copy_rows(
     rows = durable(rows.distinct())
     roots = near_copies(docs.select(text_hash(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text")), least)
     named = durable(
-        rows.join(small_side(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+        rows.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     best = named.groupBy("root").agg(F.min(order).alias("best"))

@@ -29,6 +29,9 @@ SEGMENT_BITS = 32
 #: Entries of the segment tables that one task holds.
 ENTRIES_A_TASK = 1_000_000
 
+#: Fingerprints of a bucket beyond which it is split before all are compared.
+SPLIT_BUCKET = 256
+
 _EACH_BYTE = np.uint64(0x0101010101010101)
 
 
@@ -47,6 +50,11 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
         hashes = [digest(join(words), seed)]
     else:
         hashes = [digest(join(words[i : i + width]), seed) for i in range(len(words) - width + 1)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the 64-bit ``hashes``."""
     n = len(hashes)
     padded = np.zeros(-(-n // 255) * 255, np.uint64)
     padded[:n] = hashes
@@ -123,6 +131,26 @@ def forest(filed: np.ndarray, looked_up: np.ndarray, max_bits: int) -> list[tupl
     return links
 
 
+def bucket_links(filed: np.ndarray, looked_up: np.ndarray, max_bits: int, shift: int) -> list[tuple[int, int]]:
+    """Links as of ``forest``; a large bucket is split first.
+
+    All fingerprints of a bucket nearly agree in one half, so those within 3 bits of each
+    other have a byte of the other half (that at ``shift``) in common: four forests over the
+    groups of equal bytes join what one over all would.
+    """
+    if max_bits > 3 or len(filed) + len(looked_up) <= SPLIT_BUCKET:
+        return forest(filed, looked_up, max_bits)
+    at, links = np.concatenate([filed, looked_up]), []
+    is_filed = np.arange(len(at)) < len(filed)
+    for byte in range(4):
+        value = (at >> np.uint64(shift + 8 * byte)) & np.uint64(255)
+        order = np.argsort(value, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(part) > 1 and is_filed[part].any():
+                links += forest(at[part[is_filed[part]]], at[part[~is_filed[part]]], max_bits)
+    return links
+
+
 def _linker(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
@@ -137,7 +165,8 @@ def _linker(max_bits: int):
             worth = (ends - starts > 1) & (np.add.reduceat(filed.astype(np.int64), starts) > 0)
             for i, j in zip(starts[worth].tolist(), ends[worth].tolist(), strict=True):
                 mine = filed[i:j]
-                links += forest(fp[i:j][mine], fp[i:j][~mine], max_bits)
+                # Keys of the low half (even ones) leave the high half to split by.
+                links += bucket_links(fp[i:j][mine], fp[i:j][~mine], max_bits, 0 if key[i] & 1 else 32)
         pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import durable, small_side
+from corrobora.llm.common import durable
 
 MIN_BYTES = 400
 GRAM = 32
@@ -519,7 +519,7 @@ def removal_report(
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("sha"),
     )
-    cut = small_side(durable(cut.dropDuplicates(["uid"])))
+    cut = durable(cut.dropDuplicates(["uid"]))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.llm.common import durable, small_side
+from corrobora.llm.common import durable
 
 # Titles by gender, as used in English, German, French and Spanish.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Sir")
@@ -253,7 +253,7 @@ def replace_personal_data(
         .withColumn("who", identity(F.col("type"), F.col("entity")))
     )
     drawn = draw_surrogates(found, key)
-    dressed = found.join(small_side(drawn), ["type", "who"]).select(
+    dressed = found.join(drawn, ["type", "who"]).select(
         "uid", "entity", "who", _dressed(F.col("type"), F.col("entity"), F.col("drawn")).alias("new")
     )
     plans = durable(

@@ -2,9 +2,9 @@
 
 Features are the presence of words, word stems, bigrams and one-word skip-grams, hashed into
 2**20 coordinates. The learner keeps a rate per coordinate and an L1 threshold, so most
-weights stay exactly zero and the rest fit in a small broadcast. It is fitted on a bounded,
-hash-chosen sample of the labelled rows in one task; scoring runs over whole texts where
-they lie.
+weights stay exactly zero and the rest fit in a small broadcast. Coordinates are made where
+the texts lie; the learner sees those of a bounded, hash-chosen sample of the labelled rows,
+in one task. Scoring runs over whole texts where they lie.
 """
 
 from __future__ import annotations
@@ -108,9 +108,8 @@ def _sigmoid(x: float) -> float:
 
 def _trainer(coordinates: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "text", "label"], na_position="first")
-        features = Featurizer(coordinates)
-        inputs = [features(t).astype(np.int32) for t in rows["text"]]
+        rows = rows.sort_values(["order", "tie", "label"])
+        inputs = [np.frombuffer(x, np.int32) for x in rows["at"]]
         labels = rows["label"].to_numpy(np.float64)
         model = FtrlProximal(coordinates)
         for _ in range(min(EPOCHS[1], max(EPOCHS[0], UPDATES // max(len(labels), 1)))):
@@ -123,6 +122,18 @@ def _trainer(coordinates: int):
     return run
 
 
+def _coordinates(coordinates: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Featurizer(coordinates)
+        for b in batches:
+            at = [features(t.as_py()).astype(np.int32).tobytes() for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(at, pa.binary())], names=["order", "tie", "label", "at"]
+            )
+
+    return run
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: str, text_col: str, rows: int
 ) -> DataFrame:
@@ -155,10 +166,16 @@ def fit_toxicity(
 ) -> list[tuple[int, float]]:
     """The non-zero weights [(coordinate, weight)], the bias at coordinate -1.
 
-    ``train`` is a condition on ``__id``. The list is bounded by ``coordinates``.
+    ``train`` is a condition on ``__id``. The list is bounded by ``coordinates``. The fit holds
+    four bytes for each different feature of a sampled text. Labels of an id apply to every
+    row that bears it, so repeated documents are learnt from as often as they occur.
     """
     sample = labelled_sample(docs, labels, label, train, id_col, text_col, sample_rows)
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(_trainer(coordinates), "at long, weight double")
+    text = F.col("text").cast("string")
+    measured = sample.select("order", F.xxhash64(text).alias("tie"), "label", text.alias("text")).mapInArrow(
+        _coordinates(coordinates), "order long, tie long, label int, at binary"
+    )
+    fitted = measured.groupBy(F.lit(0).alias("all")).applyInPandas(_trainer(coordinates), "at long, weight double")
     return [(r["at"], r["weight"]) for r in fitted.collect()]
 
 

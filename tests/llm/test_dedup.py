@@ -12,9 +12,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corrobora.llm import suffix_dedup
+from corrobora.llm import simhash, suffix_dedup
 from corrobora.llm.components import connected_components
-from corrobora.llm.exact_dedup import PatriciaTrie, exact_dedup
+from corrobora.llm.exact_dedup import NODE_BYTES, Mark, PatriciaTrie, distinct_rows, exact_dedup
 from corrobora.llm.simhash import fingerprint, forest, near_links, simhash_classes
 from corrobora.llm.suffix_dedup import removal_report, repeated_windows
 
@@ -24,19 +24,33 @@ from corrobora.llm.suffix_dedup import removal_report, repeated_windows
 def test_trie_against_a_dict(pairs):
     trie, want = PatriciaTrie(True), {}
     for s, i in pairs:
-        assert trie.add(s.encode(), s, i, 1)
+        assert trie.add(s.encode(), Mark(s, i))
         owner, n = want.get(s.encode(), (i, 0))
         want[s.encode()] = (max(owner, i), n + 1)
-    assert {k: tuple(m[1:]) for k, m in trie.terminals()} == want
+    assert {k: (m.owner, m.copies) for k, m in trie.terminals()} == want
 
 
-def test_trie_hands_on_subtrees():
+@given(st.lists(st.text("ab", max_size=7), min_size=1, max_size=40), st.sampled_from([b"", b"same start "]))
+@settings(max_examples=80, deadline=None)
+def test_trie_hands_on_subtrees(texts, start):
+    """Whatever is asked for, strings leave or stay whole, and one stays."""
+    keys = {start + t.encode() for t in texts}
+    trie = PatriciaTrie(False)
+    for k in keys:
+        trie.add(k, Mark(k, 1))
+    gone = {k for k, _ in trie.hand_on(0)}
+    left = {k for k, _ in trie.terminals()}
+    assert gone | left == keys and not gone & left and len(left) == 1
+    assert not any(trie.add(k, Mark(k, 1)) for k in gone) and all(trie.add(k, Mark(k, 1)) for k in left)
+
+
+def test_trie_keeps_to_its_budget():
     trie = PatriciaTrie(False)
-    for s in (b"apple", b"april", b"bat", b""):
-        trie.add(s, None, 1, 1)
-    assert {k for k, _ in trie.hand_on_largest()} == {b"apple", b"april"}
-    assert not trie.add(b"ape", None, 1, 1)
-    assert {k for k, _ in trie.terminals()} == {b"bat", b""}
+    for i in range(4000):
+        trie.add(b"<html><body>%d</body>" % (i * 7919), Mark(i, i))
+    assert trie.size > 4000 * NODE_BYTES
+    gone = list(trie.hand_on(300_000))
+    assert 100_000 < trie.size <= 300_000 and len(gone) + len(list(trie.terminals())) == 4000
 
 
 def _exact(rows, keep=max):
@@ -61,6 +75,26 @@ def test_exact_dedup(messy, budget):
     assert sorted(map(tuple, rows), key=str) == _exact(messy.collect())
 
 
+def test_exact_dedup_spills_behind_a_common_start(spark):
+    """Many small texts that all begin alike: tries spill over several rounds and lose nothing."""
+    rows = [(i, "<!doctype html> " + str(i % 3000)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in exact_dedup(docs, trie_bytes=100_000).collect()}
+    assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (i % 3000 + 3000, 2, i >= 3000) for i in range(6000))
+
+
+@pytest.mark.parametrize("budget", [1 << 20, 2000])
+def test_distinct_rows(messy, budget):
+    rows, got = messy.collect(), distinct_rows(messy, trie_bytes=budget)
+    assert got.columns == messy.columns and got.dtypes == messy.dtypes
+    kept = [tuple(r) for r in got.collect()]
+    assert {r[1] or "" for r in kept} == {r.text or "" for r in rows} and len(kept) == len({r.text or "" for r in rows})
+    assert all(tuple(k) in {tuple(r) for r in rows} for k in kept)
+    for k in kept:
+        ids = [r.doc_id for r in rows if (r.text or "") == (k[1] or "") and r.doc_id is not None]
+        assert k[0] == (max(ids) if ids else None)
+
+
 def test_exact_dedup_smallest(small):
     got = exact_dedup(small, keep="min").select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got), key=str) == _exact(small.collect(), min)
@@ -68,6 +102,7 @@ def test_exact_dedup_smallest(small):
 
 def test_empty_tables(empty):
     assert exact_dedup(empty).count() == 0
+    assert distinct_rows(empty).columns == empty.columns and distinct_rows(empty).count() == 0
     assert simhash_classes(empty).count() == 0
     assert removal_report(empty).count() == 0
 
@@ -133,6 +168,35 @@ def test_dense_near_links(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_large_buckets_are_split(monkeypatch):
+    """Fingerprints that share a half: splitting by bytes of the other half joins the same components."""
+    draw = random.Random(5)
+    centres = [draw.getrandbits(32) for _ in range(25)]
+    low = {c ^ sum(1 << b for b in draw.sample(range(32), draw.randrange(4))) for c in centres for _ in range(20)}
+    fps = [(77 << 32) | x for x in sorted(low)]
+    filed, looked = fps[::2], [f ^ (1 << 40) for f in fps[1::2]]
+
+    def joined(links):
+        parent = {f: f for f in filed + looked}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[find(a)] = find(b)
+        groups = defaultdict(set)
+        for f in parent:
+            groups[find(f)].add(f)
+        return sorted(map(sorted, groups.values()))
+
+    whole = forest(np.array(filed, np.uint64), np.array(looked, np.uint64), 3)
+    monkeypatch.setattr(simhash, "SPLIT_BUCKET", 10)
+    split = simhash.bucket_links(np.array(filed, np.uint64), np.array(looked, np.uint64), 3, 0)
+    assert joined(split) == joined(whole)
+
+
 def test_forest_spans():
     filed = np.array([0, 1, 3, 7, 1 << 40], np.uint64)
     links = forest(filed, np.array([15], np.uint64), 1)

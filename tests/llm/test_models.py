@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from corrobora.llm.mixing import mix_sources
 from corrobora.llm.pieces import Codec, Vocabulary, decode_ids, default_vocabulary, encode_texts
-from corrobora.llm.quality import FEATURES, features, fit_quality, score_quality
+from corrobora.llm.quality import FEATURES, THRESHOLD, apply_model, features, fit_model, fit_pairs, fit_quality, score_quality
 from corrobora.llm.queries import plans
 from corrobora.llm.topk import best_of_cell, top_k
-from corrobora.llm.toxicity import FtrlProximal, fit_toxicity, in_fold, score_toxicity
+from corrobora.llm.toxicity import Featurizer, FtrlProximal, fit_toxicity, in_fold, score_toxicity
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.97), ("op3_quality", "quality", 0.97)])
@@ -24,6 +24,60 @@ def test_held_out_accuracy(spark, name, label, least):
     rows = plans()[name](spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert all(0 <= r.score <= 1 for r in rows)
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
+    hit = sum(r.predicted and r[label] for r in rows)
+    assert hit / max(sum(r.predicted for r in rows), 1) >= 0.9  # precision
+    assert hit / sum(r[label] for r in rows) >= (0.75 if label == "toxic" else 0.9)  # recall
+
+
+def test_ftrl_by_definition():
+    """Against the update rule written out coordinate by coordinate."""
+    draw = np.random.default_rng(2)
+    model, z, n, w = FtrlProximal(8, alpha=0.5, beta=1.0, l1=0.3, l2=0.2), [0.0] * 9, [0.0] * 9, [0.0] * 9
+    for _ in range(300):
+        at = np.unique(draw.integers(0, 8, 3))
+        label = float(draw.random() < (0.9 if 3 in at else 0.2))
+        model.learn(at, label)
+        p = 1 / (1 + np.exp(-(sum(w[i] for i in at) + w[8])))
+        for i in (*at.tolist(), 8):
+            g, l1 = p - label, 0.0 if i == 8 else 0.3
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[i]
+            n[i] += g * g
+            w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.2)
+    assert model.weights() == pytest.approx(w[:8], abs=1e-9) and model.bias == pytest.approx(w[8], abs=1e-9)
+
+
+def test_toxic_features_by_definition():
+    """Words, stems, bigrams and skip-grams each have a coordinate; two texts share those of what they share."""
+    features = Featurizer(1 << 20)
+    a, b = set(features("Alpha beta gamma").tolist()), set(features("alpha GAMMA").tolist())
+    assert len(a) == 9 and len(b) == 5  # 3 words, 3 stems, 2 bigrams, 1 skip-gram; 2, 2, 1
+    assert len(a & b) == 4 and len(features(None)) == len(features("")) == 0
+    long = "alpha beta " * 40_000
+    assert set(features(long).tolist()) == set(features("alpha beta alpha beta").tolist())
+
+
+def test_pairwise_fit_against_plain_descent():
+    """The weights minimise the mean logistic loss of the pairs' differences."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(60, 3))
+    good = (x @ [1.0, -0.5, 0.0] + draw.normal(size=60) > 0).astype(int)
+    w = fit_pairs(x, good, 4000, 60)
+    draw = np.random.default_rng(0)
+    best, worst = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    d, plain = x[draw.choice(best, 4000)] - x[draw.choice(worst, 4000)], np.zeros(3)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(d @ plain))
+        plain += 0.3 * ((d * p[:, None]).mean(axis=0) - 1e-4 * plain)
+    assert w == pytest.approx(plain, abs=1e-2)
+
+
+def test_quality_cut_is_the_quantile_of_bad_ones():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(400, len(FEATURES)))
+    good = (x[:, 0] > -0.5).astype(int)
+    score = apply_model(x, fit_model(x, good, 5000))
+    assert np.mean(score < THRESHOLD) == pytest.approx(np.mean(good == 0), abs=1 / 400)
+    assert np.mean((score >= THRESHOLD) == good) > 0.97
 
 
 def test_folds(spark):
@@ -124,14 +178,30 @@ def test_top_k(spark):
     assert top_k(df.limit(0), df.where("vec_id = 0")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores past 2**53 are exact; those past 64 bits are the nearest 64-bit number."""
+    rows = [(0, [1.0]), (1, [9000.0]), (2, [10000.0]), (3, [-1e300]), (100, [3e5, 7.0]), (4, [3e12, 0.25]), (5, [3e12, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id % 100 = 0"), k=4)
+    big = (1 << 63) - 1
+    want = []
+    for q in (0, 100):
+        ints = {i: [int(1024 * x) for x in v] for i, v in rows}
+        best = sorted((-max(-big, min(big, sum(a * b for a, b in zip(ints[q], v, strict=False)))), i) for i, v in ints.items() if i != q)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best[:4], 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_bounds_prune_nothing_needed():
     draw = np.random.default_rng(1)
     x = draw.integers(-3, 4, (600, 7))
     ids = np.arange(600)
-    score, found = best_of_cell(x[:20], ids[:20], x, ids, 5)
-    for q in range(20):
-        best = sorted((-int(x[q] @ x[i]), i) for i in range(600) if i != q)[:5]
-        assert [(-s, i) for s, i in best] == list(zip(score[q].tolist(), found[q].tolist(), strict=True))
+    want = [sorted((-int(x[q] @ x[i]), i) for i in range(600) if i != q)[:5] for q in range(20)]
+    fifth = np.array([-w[4][0] for w in want])
+    for floors in (None, fifth, fifth - 3):
+        score, found = best_of_cell(x[:20].astype(float), ids[:20], x.astype(float), ids, 5, floors)
+        for q in range(20):
+            assert [(-s, i) for s, i in want[q]] == list(zip(score[q].tolist(), found[q].tolist(), strict=True))
 
 
 def _levels(sizes, weights, total, cap):
