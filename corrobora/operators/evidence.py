@@ -32,66 +32,174 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """Candidates with ``place`` 1 for the best of each (entity, field); usable ones before verification-only ones."""
-    order = [F.col("verify_only"), F.desc("independent"), F.desc("reliability"), F.col("value")]
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("entity", "field").orderBy(*order)))
+    """Candidates with ``place`` 1 for the best of each (entity, field) and that one's witnesses as ``lead``.
+
+    Usable candidates come before verification-only ones, then by witnesses and corroborated confidence.
+    """
+    order = [F.col("verify_only"), F.desc("independent"), F.desc("confidence"), F.col("value")]
+    best = Window.partitionBy("entity", "field").orderBy(*order)
+    return found.withColumn("place", F.row_number().over(best)).withColumn("lead", F.first("independent").over(best))
 
 
 def contested(top: Column, second: Column) -> Column:
-    """Whether a second candidate (structs with independent, reliability) comes close to the first."""
+    """Whether a second candidate (structs with independent, confidence) comes close to the first."""
     close = (second["independent"] >= 2) & (top["independent"] <= second["independent"] + 1)
-    return F.coalesce(close & (F.abs(top["reliability"] - second["reliability"]) <= 12), F.lit(False))
+    return F.coalesce(close & (F.abs(top["confidence"] - second["confidence"]) <= 12), F.lit(False))
+
+
+# How sure a decision must be, by how much a wrong field harms.
+THRESHOLDS = {"critical": (90, 85, 70), "important": (82, 75, 60), "secondary": (75, 65, 50)}
+OVERWRITE_MARGIN = 8
+
+
+def threshold(criticality: Column, which: int) -> Column:
+    """The bar to update (0), fill (1) or review (2) a field of that criticality."""
+    bars = F.when(criticality == "critical", THRESHOLDS["critical"][which])
+    bars = bars.when(criticality == "important", THRESHOLDS["important"][which])
+    return bars.otherwise(THRESHOLDS["secondary"][which])
+
 
+def comparable(value: Column) -> Column:
+    """A value without case and spacing, so that formatting is not taken for disagreement."""
+    return F.lower(F.trim(F.regexp_replace(value, r"\s+", " ")))
 
-def decide(found: DataFrame, existing: DataFrame, fill: int = 60, update: int = 80, review: int = 45) -> DataFrame:
-    """(entity, field, decision, value, confidence) by the ordered rules; ``existing``: entity, field, old, old_confidence."""
-    places = ranked(found).where("place <= 2")
-    picked = F.struct("value", "independent", "reliability", "confidence", "verify_only")
-    both = places.groupBy("entity", "field").agg(
-        F.max(F.when(F.col("place") == 1, picked)).alias("top"), F.max(F.when(F.col("place") == 2, picked)).alias("second")
+
+def decide(found: DataFrame, existing: DataFrame, criticality: Column) -> DataFrame:
+    """(entity, field, decision, value, confidence, old, old_confidence, independent, sources, dissenting).
+
+    ``found``: candidates. ``existing``: entity, field, old, old_confidence. ``criticality`` is
+    a condition on field. The score starts at the best candidate's corroborated confidence,
+    less 6 for a lone witness and a share of each rival's. What is kept has the stored value.
+    """
+    rival = F.when(
+        F.col("place") > 1,
+        F.round(F.col("confidence") * F.least(F.lit(1.0), F.col("independent") / F.greatest("lead", F.lit(1))) * 0.35),
+    )
+    picked = F.struct("value", "independent", "confidence", "verify_only", "sources")
+    both = ranked(found).groupBy("entity", "field").agg(
+        F.max(F.when(F.col("place") == 1, picked)).alias("top"),
+        F.max(F.when(F.col("place") == 2, picked)).alias("second"),
+        F.coalesce(F.sum(rival), F.lit(0.0)).cast("int").alias("loss"),
+        # A field has few sources: the register's.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("place") > 1, F.col("sources")))))).alias("dissenting"),
     )
-    joined = existing.join(both, ["entity", "field"], "full")
-    conf, empty = F.col("top.confidence"), F.coalesce(F.col("old"), F.lit("")) == ""
+    alone = F.when(F.col("top.independent") <= 1, 6).otherwise(0)
+    conf = F.greatest(F.lit(0), F.least(F.lit(99), F.col("top.confidence") - alone - F.col("loss")))
+    joined = existing.join(both, ["entity", "field"], "full").withColumn("conf", conf).withColumn("level", criticality)
+    joined = joined.withColumn("held", F.coalesce("old_confidence", F.lit(0)))
+    empty, bar = F.coalesce(F.col("old"), F.lit("")) == "", lambda which: threshold(F.col("level"), which)
+    same = comparable(F.col("old")) == comparable(F.col("top.value"))
+    enough = lambda which: F.col("conf") >= bar(which)
     rule = (
         F.when(F.col("top").isNull(), "UNKNOWN")
         .when(empty & F.col("top.verify_only"), "REVIEW")
-        .when(empty & (conf >= fill), "FILL")
-        .when(empty & (conf >= review), "REVIEW")
+        .when(empty & enough(1), "FILL")
+        .when(empty & enough(2), "REVIEW")
         .when(empty, "REJECT")
-        .when(F.lower(F.trim("old")) == F.lower(F.trim("top.value")), "KEEP")
+        .when(same, "KEEP")
         .when(contested(F.col("top"), F.col("second")), "REVIEW")
         .when(F.col("top.verify_only"), "REVIEW")
-        .when((conf >= update) & (conf >= F.coalesce("old_confidence", F.lit(0)) + 8), "UPDATE")
-        .when(conf >= review, "REVIEW")
+        .when(enough(0) & (F.col("conf") >= F.col("held") + OVERWRITE_MARGIN), "UPDATE")
+        .when(enough(2), "REVIEW")
         .otherwise("KEEP")
     )
-    return joined.select("entity", "field", rule.alias("decision"), F.col("top.value").alias("value"), conf.alias("confidence"))
+    out = joined.withColumn("decision", rule).withColumn("same", ~empty & same)
+    kept = F.col("decision") == "KEEP"
+    return out.select(
+        "entity",
+        "field",
+        "decision",
+        F.when(kept, F.col("old")).otherwise(F.col("top.value")).alias("value"),
+        F.when(kept & F.col("same"), F.greatest("conf", "held")).when(kept, F.col("held")).otherwise(F.col("conf")).alias("confidence"),
+        "old",
+        "held",
+        F.col("top.independent").alias("independent"),
+        F.col("top.sources").alias("sources"),
+        "dissenting",
+        "level",
+    )
+
+
+def explained(decided: DataFrame) -> DataFrame:
+    """``decided`` with ``why``: who supports the value, who does not, the witnesses, what is stored and the bar."""
+    n = F.col("independent")
+    lines = F.concat(
+        F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.concat(s, F.lit(" supports this value"))),
+        F.transform(F.coalesce("dissenting", F.array().cast("array<string>")), lambda s: F.concat(s, F.lit(" says otherwise"))),
+        F.array_compact(
+            F.array(
+                F.when(n <= 1, "one independent source").when(n > 1, F.concat(n.cast("string"), F.lit(" independent sources"))),
+                F.when(
+                    F.coalesce("old", F.lit("")) != "",
+                    F.when(F.col("held") > 0, F.concat(F.lit("stored at "), F.col("held").cast("string"))).otherwise("stored without confidence"),
+                ),
+                F.concat(F.col("level"), F.lit(" field, needs "), threshold(F.col("level"), 0).cast("string")),
+            )
+        ),
+    )
+    return decided.withColumn("why", lines)
+
+
+def apply_decisions(existing: DataFrame, decided: DataFrame, vetoed: DataFrame | None = None) -> DataFrame:
+    """(entity, field, old, old_confidence) after the decisions that are safe to write: UPDATE and FILL.
+
+    Fields in ``vetoed`` (entity, field), those that an anomaly touches, stay as they are.
+    """
+    safe = decided.where(F.col("decision").isin("UPDATE", "FILL")).select("entity", "field", F.col("value").alias("__v"), F.col("confidence").alias("__c"))
+    if vetoed is not None:
+        safe = safe.join(vetoed.select("entity", "field").distinct(), ["entity", "field"], "left_anti")
+    joined = existing.select("entity", "field", "old", "old_confidence").join(safe, ["entity", "field"], "full")
+    return joined.select("entity", "field", F.coalesce("__v", "old").alias("old"), F.coalesce("__c", "old_confidence").alias("old_confidence"))
+
+
+def review_queue(decided: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Open reviews (entity, field, value, old, confidence, urgency): those without an answer in ``resolved``."""
+    urgency = F.when(F.col("level") == "critical", 1).when(F.col("level") == "important", 2).otherwise(3)
+    open_ = decided.where("decision = 'REVIEW'").join(resolved.select("entity", "field").distinct(), ["entity", "field"], "left_anti")
+    return open_.select("entity", "field", "value", "old", "confidence", urgency.alias("urgency"))
+
+
+def resolve_reviews(existing: DataFrame, reviews: DataFrame, answers: DataFrame) -> DataFrame:
+    """``existing`` after reviews that ``answers`` (entity, field, accepted, seen) accepts, if the stored value is still what was seen."""
+    said = answers.where("accepted").select("entity", "field", F.col("seen").alias("__seen"))
+    won = reviews.join(said, ["entity", "field"]).select("entity", "field", "__seen", F.col("value").alias("__v"), F.col("confidence").alias("__c"))
+    joined = existing.join(won, ["entity", "field"], "left")
+    take = F.col("__v").isNotNull() & F.col("old").eqNullSafe(F.col("__seen"))
+    return joined.select(
+        "entity", "field", F.when(take, F.col("__v")).otherwise(F.col("old")).alias("old"), F.when(take, F.col("__c")).otherwise(F.col("old_confidence")).alias("old_confidence")
+    )
 
 
-def resolve_scalar(df: DataFrame) -> DataFrame:
+def resolve_scalar(df: DataFrame, key: Column) -> DataFrame:
     """(entity, field, value, source, agree, conflicts, confidence): the value of the best-ranked source, its smallest if it gave several.
 
-    Sources agree by equal values; confidence is CONFLICT, HIGH, MEDIUM or LOW by agreement and tiers.
+    Sources agree by equal ``key``, the field's comparison form. Tiers from 2 up are trusted;
+    confidence is CONFLICT, HIGH, MEDIUM or LOW by the best and the summed tiers of those
+    that agree and of those that do not. Claims are summed once by key, before any is picked.
     """
-    by_rank = Window.partitionBy("entity", "field").orderBy("rank", "source", "value")
-    first = df.withColumn("n", F.row_number().over(by_rank)).where("n = 1")
-    top = first.select("entity", "field", F.col("value").alias("won"), F.col("source").alias("by"), F.col("tier").alias("won_tier"))
-    same = F.col("value") == F.col("won")
-    weight = 4 - F.col("tier")
-    sums = df.join(top, ["entity", "field"]).groupBy("entity", "field", "won", "by", "won_tier").agg(
-        F.count_if(same).alias("agree"),
-        F.countDistinct(F.when(~same, F.col("value"))).alias("conflicts"),
-        F.coalesce(F.bool_or(~same & (F.col("tier") <= 2)), F.lit(False)).alias("strong_conflict"),
-        F.sum(F.when(same, weight).otherwise(0)).alias("weight"),
+    by_key = df.withColumn("k", key).groupBy("entity", "field", "k").agg(
+        F.min(F.struct("rank", "source", "value")).alias("first"),
+        F.count("*").alias("n"),
+        F.sum("tier").alias("weight"),
+        F.max("tier").alias("best"),
+    )
+    part = F.struct("first", "n", "weight", "best")
+    sums = by_key.groupBy("entity", "field").agg(
+        F.min(part).alias("w"), F.count("*").alias("keys"),
+        F.count_if(F.col("best") >= 2).alias("trusted"),
     )
-    strong = F.col("won_tier") <= 2
+    strong = F.col("w.best") >= 2
+    others = F.col("trusted") - strong.cast("int") > 0
     confidence = (
-        F.when(F.col("strong_conflict") & strong, "CONFLICT")
-        .when((F.col("agree") >= 2) & (F.col("weight") >= 4), "HIGH")
-        .when((F.col("agree") >= 2) | strong, "MEDIUM")
+        F.when(others & strong, "CONFLICT")
+        .when((F.col("w.n") >= 2) & (F.col("w.weight") >= 4), "HIGH")
+        .when((F.col("w.n") >= 2) | strong, "MEDIUM")
         .otherwise("LOW")
     )
-    return sums.select("entity", "field", F.col("won").alias("value"), F.col("by").alias("source"), "agree", "conflicts", confidence.alias("confidence"))
+    return sums.select(
+        "entity", "field", F.col("w.first.value").alias("value"), F.col("w.first.source").alias("source"), F.col("w.n").alias("agree"),
+        (F.col("keys") - 1).alias("conflicts"), confidence.alias("confidence"),
+    )
 
 
 def resolve_union(df: DataFrame, key: Column, score: Column) -> DataFrame:
@@ -123,6 +231,15 @@ def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return joined.select(*key, change.alias("change"), "old_value", "new_value")
 
 
+def diff_items(old: DataFrame, new: DataFrame, owner: str, item: str) -> DataFrame:
+    """(owner, item, change): ITEM_ADDED, ITEM_REMOVED or UNCHANGED; an owner for which nothing new came loses nothing."""
+    a = old.select(owner, item).distinct().withColumn("__old", F.lit(True))
+    b = new.select(owner, item).distinct().withColumn("__new", F.lit(True))
+    joined = a.join(b, [owner, item], "full").join(b.select(owner).distinct(), owner, "left_semi")
+    change = F.when(F.col("__old").isNull(), "ITEM_ADDED").when(F.col("__new").isNull(), "ITEM_REMOVED").otherwise("UNCHANGED")
+    return joined.select(owner, item, change.alias("change"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` with the rows of ``new``: columns of ``new`` win where they are not null; other rows stay."""
     renamed = new.select(*key, *[F.col(c).alias(f"__{c}") for c in new.columns if c not in key])

@@ -77,12 +77,12 @@ def latest_items(spark, d):
 
 @query("detail_nested", """SELECT o_orderkey, count(l_orderkey) AS n_items,
 coalesce(string_agg(printf('%03d', l_linenumber) || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS items
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY o_orderkey""")
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
 def detail_nested(spark, d):
     orders, lineitem = tables(spark, d, "orders lineitem")
-    items = lineitem.where("l_orderkey < 500").withColumnRenamed("l_orderkey", "o_orderkey")
+    items = lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
     child = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    nested = ops.nested_children(orders.where("o_orderkey < 500").select("o_orderkey"), items, "o_orderkey", child, "parts")
+    nested = ops.nested_children(orders.select("o_orderkey"), items, "o_orderkey", child, "parts")
     text = F.transform("parts", lambda x: F.concat(F.format_string("%03d", x["l_linenumber"]), F.lit(":"), x["l_partkey"].cast("string")))
     return nested.select("o_orderkey", F.size("parts").cast("long").alias("n_items"), F.array_join(text, ",").alias("items"))
 

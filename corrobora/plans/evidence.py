@@ -51,36 +51,80 @@ def copied_witnesses(spark, d):
     return seen.groupBy("entity").agg(F.count("*").alias("reports"), F.countDistinct("witness").alias("witnesses"))
 
 
-_DECIDE = f"""WITH {_EVIDENCE}, old AS (SELECT p_partkey AS entity, f AS field, CASE WHEN p_size % 4 = 0 THEN NULL WHEN f = 'flag' THEN 'N' WHEN f = 'status' THEN 'O' ELSE '5' END AS old, (p_size % 60)::INT AS oc
-FROM part, (VALUES ('flag'), ('status'), ('cut')) t(f)),
-pl AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY verify_only, independent DESC, reliability DESC, value) AS place FROM cand)
-SELECT coalesce(o.entity, a.entity) AS entity, coalesce(o.field, a.field) AS field, CASE WHEN a.value IS NULL THEN 'UNKNOWN'
-WHEN coalesce(old, '') = '' AND a.verify_only THEN 'REVIEW' WHEN coalesce(old, '') = '' AND a.confidence >= 60 THEN 'FILL' WHEN coalesce(old, '') = '' AND a.confidence >= 45 THEN 'REVIEW' WHEN coalesce(old, '') = '' THEN 'REJECT'
-WHEN lower(trim(old)) = lower(trim(a.value)) THEN 'KEEP'
-WHEN coalesce(b.independent >= 2 AND a.independent <= b.independent + 1 AND abs(a.reliability - b.reliability) <= 12, false) THEN 'REVIEW'
-WHEN a.verify_only THEN 'REVIEW' WHEN a.confidence >= 80 AND a.confidence >= coalesce(oc, 0) + 8 THEN 'UPDATE' WHEN a.confidence >= 45 THEN 'REVIEW' ELSE 'KEEP' END AS decision, a.value, a.confidence
-FROM old o FULL JOIN (SELECT * FROM pl WHERE place = 1) a ON a.entity = o.entity AND a.field = o.field LEFT JOIN (SELECT * FROM pl WHERE place = 2) b ON b.entity = a.entity AND b.field = a.field"""
-
-
-@query("decide", _DECIDE)
-def decide(spark, d):
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("v")) for f, v in (("flag", "N"), ("status", "O"), ("cut", "5"))])
-    old = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), "p_size", F.explode(fields).alias("f")).select(
+#: Fixed value: how much a wrong field harms.
+_LEVEL = F.when(F.col("field") == "flag", "critical").when(F.col("field") == "status", "important").otherwise("secondary")
+_OLD_SQL = """old AS (SELECT p_partkey AS entity, f AS field, CASE WHEN p_size % 4 = 0 THEN NULL WHEN f = 'flag' THEN 'N' WHEN f = 'status' THEN ' o' ELSE '5' END AS old, (p_size % 60)::INT AS oc
+FROM part, (VALUES ('flag'), ('status'), ('cut')) t(f))"""
+_DECIDE = f"""{_EVIDENCE}, {_OLD_SQL},
+bars AS (SELECT * FROM (VALUES ('flag', 'critical', 90, 85, 70), ('status', 'important', 82, 75, 60), ('cut', 'secondary', 75, 65, 50)) t(field, level, up, fill, rev)),
+pl AS (SELECT *, row_number() OVER w AS place, first(independent) OVER w AS lead FROM cand WINDOW w AS (PARTITION BY entity, field ORDER BY verify_only, independent DESC, confidence DESC, value)),
+loss AS (SELECT entity, field, sum(round(confidence * least(1.0::DOUBLE, independent::DOUBLE / greatest(lead, 1)) * 0.35::DOUBLE)) AS loss, array_to_string(list_sort(list_distinct(flatten(list(sources)))), ',') AS dissenting FROM pl WHERE place > 1 GROUP BY 1, 2),
+j AS (SELECT coalesce(o.entity, a.entity) AS entity, coalesce(o.field, a.field) AS field, old, coalesce(oc, 0) AS held, a.value AS top, a.verify_only AS vo, a.independent AS ind, a.sources AS src, coalesce(dissenting, '') AS dissenting,
+greatest(0, least(99, a.confidence - CASE WHEN a.independent <= 1 THEN 6 ELSE 0 END - coalesce(loss, 0)))::INT AS conf, coalesce(old, '') = '' AS empty, coalesce(lower(trim(old)) = lower(trim(a.value)), false) AS same,
+coalesce(b.independent >= 2 AND a.independent <= b.independent + 1 AND abs(a.confidence - b.confidence) <= 12, false) AS contested
+FROM old o FULL JOIN (SELECT * FROM pl WHERE place = 1) a ON a.entity = o.entity AND a.field = o.field LEFT JOIN (SELECT * FROM pl WHERE place = 2) b ON b.entity = a.entity AND b.field = a.field
+LEFT JOIN loss l ON l.entity = a.entity AND l.field = a.field),
+dec AS (SELECT j.*, level, up, CASE WHEN top IS NULL THEN 'UNKNOWN' WHEN empty AND vo THEN 'REVIEW' WHEN empty AND conf >= fill THEN 'FILL' WHEN empty AND conf >= rev THEN 'REVIEW' WHEN empty THEN 'REJECT' WHEN same THEN 'KEEP'
+WHEN contested OR vo THEN 'REVIEW' WHEN conf >= up AND conf >= held + 8 THEN 'UPDATE' WHEN conf >= rev THEN 'REVIEW' ELSE 'KEEP' END AS decision FROM j JOIN bars USING (field)),
+out AS (SELECT *, CASE WHEN decision = 'KEEP' THEN old ELSE top END AS value, CASE WHEN decision = 'KEEP' AND same THEN greatest(conf, held) WHEN decision = 'KEEP' THEN held ELSE conf END AS confidence FROM dec)"""
+
+
+def _existing(spark, d):
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("v")) for f, v in (("flag", "N"), ("status", " o"), ("cut", "5"))])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("entity"), "p_size", F.explode(fields).alias("f")).select(
         "entity", "f.field", F.when(F.col("p_size") % 4 != 0, F.col("f.v")).alias("old"), (F.col("p_size") % 60).cast("int").alias("old_confidence"))
-    return ops.decide(_candidates(spark, d), old)
 
 
-@query("decision_counts", f"SELECT field, decision, count(*) AS n FROM ({_DECIDE}) GROUP BY 1, 2")
+def _decided(spark, d):
+    return ops.decide(_candidates(spark, d), _existing(spark, d), _LEVEL)
+
+
+@query("decide", f"WITH {_DECIDE} SELECT entity, field, decision, value, confidence FROM out")
+def decide(spark, d):
+    return _decided(spark, d).select("entity", "field", "decision", "value", "confidence")
+
+
+@query("decision_counts", f"WITH {_DECIDE} SELECT field, decision, count(*) AS n FROM out GROUP BY 1, 2")
 def decision_counts(spark, d):
-    return decide(spark, d).groupBy("field", "decision").agg(F.count("*").alias("n"))
+    return _decided(spark, d).groupBy("field", "decision").agg(F.count("*").alias("n"))
+
+
+@query("decision_explain", f"""WITH {_DECIDE} SELECT entity, field, coalesce(array_to_string(list_transform(src, lambda x: x || ' supports this value'), ';') || ';', '')
+|| CASE WHEN dissenting = '' THEN '' ELSE replace(dissenting, ',', ' says otherwise;') || ' says otherwise;' END || CASE WHEN ind <= 1 THEN 'one independent source;' WHEN ind > 1 THEN ind || ' independent sources;' ELSE '' END
+|| CASE WHEN empty THEN '' WHEN held > 0 THEN 'stored at ' || held || ';' ELSE 'stored without confidence;' END || level || ' field, needs ' || up AS why FROM out""")
+def decision_explain(spark, d):
+    return ops.explained(_decided(spark, d)).select("entity", "field", F.array_join("why", ";").alias("why"))
+
+
+@query("review_queue", f"""WITH {_DECIDE} SELECT entity, field, value, old, confidence, CASE level WHEN 'critical' THEN 1 WHEN 'important' THEN 2 ELSE 3 END AS urgency FROM out WHERE decision = 'REVIEW'
+AND NOT EXISTS (SELECT 1 FROM partsupp_answers r WHERE r.entity = out.entity AND r.field = out.field)""".replace("partsupp_answers", "(SELECT l_partkey AS entity, 'flag' AS field FROM lineitem WHERE l_quantity > 45)"))
+def review_queue(spark, d):
+    done = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("entity"), F.lit("flag").alias("field"))
+    return ops.review_queue(_decided(spark, d), done)
+
+
+@query("review_resolved", f"""WITH {_DECIDE}, ans AS (SELECT p_partkey AS entity, 'status' AS field, CASE WHEN p_size % 3 = 0 THEN 'changed since' WHEN p_size % 4 <> 0 THEN ' o' END AS seen FROM part WHERE p_size % 5 <> 0)
+SELECT o.entity, o.field, CASE WHEN t THEN r.value ELSE o.old END AS old, CASE WHEN t THEN r.confidence ELSE o.oc END AS old_confidence FROM (SELECT o.*, coalesce(a.entity IS NOT NULL AND q.entity IS NOT NULL AND o.old IS NOT DISTINCT FROM a.seen AND q.value IS NOT NULL, false) AS t
+FROM old o LEFT JOIN ans a USING (entity, field) LEFT JOIN (SELECT * FROM out WHERE decision = 'REVIEW') q USING (entity, field)) o LEFT JOIN out r USING (entity, field)""")
+def review_resolved(spark, d):
+    seen = F.when(F.col("p_size") % 3 == 0, "changed since").when(F.col("p_size") % 4 != 0, " o")
+    answers = table(spark, d, "part").select(F.col("p_partkey").alias("entity"), F.lit("status").alias("field"), (F.col("p_size") % 5 != 0).alias("accepted"), seen.alias("seen"))
+    return ops.resolve_reviews(_existing(spark, d), _decided(spark, d).where("decision = 'REVIEW'"), answers)
+
+
+@query("apply_decisions", f"""WITH {_DECIDE}, veto AS (SELECT DISTINCT l_partkey AS entity FROM lineitem WHERE l_quantity >= 50)
+SELECT entity, field, CASE WHEN ok THEN value ELSE x.old END AS old, CASE WHEN ok THEN confidence ELSE oc END AS old_confidence FROM (SELECT out.*, old.entity AS known, oc, decision IN ('UPDATE', 'FILL') AND NOT (field = 'cut' AND entity IN (SELECT entity FROM veto)) AS ok
+FROM out LEFT JOIN old USING (entity, field)) x WHERE known IS NOT NULL OR ok""")
+def apply_decisions(spark, d):
+    veto = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("entity"), F.lit("cut").alias("field"))
+    return ops.apply_decisions(_existing(spark, d), _decided(spark, d), veto)
 
 
-@query("resolve_scalar", f"""WITH {_EVIDENCE}, top AS (SELECT entity, field, value AS won, source AS src, tier AS wt FROM ev QUALIFY row_number() OVER (PARTITION BY entity, field ORDER BY rank, source, value) = 1)
-SELECT entity, field, won AS value, src AS source, count(*) FILTER (value = won) AS agree, count(DISTINCT value) FILTER (value <> won) AS conflicts,
-CASE WHEN coalesce(bool_or(value <> won AND tier <= 2), false) AND wt <= 2 THEN 'CONFLICT' WHEN count(*) FILTER (value = won) >= 2 AND sum(CASE WHEN value = won THEN 4 - tier ELSE 0 END) >= 4 THEN 'HIGH'
-WHEN count(*) FILTER (value = won) >= 2 OR wt <= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ev JOIN top USING (entity, field) GROUP BY entity, field, won, src, wt""")
+@query("resolve_scalar", f"""WITH {_EVIDENCE}, k AS (SELECT *, CASE WHEN field = 'cut' THEN left(value, 1) ELSE lower(value) END AS k FROM ev), top AS (SELECT entity, field, k AS wk, value AS won, source AS src FROM k QUALIFY row_number() OVER (PARTITION BY entity, field ORDER BY rank, source, value) = 1),
+s AS (SELECT entity, field, won AS value, src AS source, count(*) FILTER (k = wk) AS agree, count(DISTINCT k) - 1 AS conflicts, coalesce(sum(tier) FILTER (k = wk), 0) AS weight, max(tier) FILTER (k = wk) AS best, coalesce(max(tier) FILTER (k <> wk), 0) AS other FROM k JOIN top USING (entity, field) GROUP BY entity, field, won, src)
+SELECT entity, field, value, source, agree, conflicts, CASE WHEN other >= 2 AND best >= 2 THEN 'CONFLICT' WHEN agree >= 2 AND weight >= 4 THEN 'HIGH' WHEN agree >= 2 OR best >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s""")
 def resolve_scalar(spark, d):
-    return ops.resolve_scalar(_evidence(spark, d))
+    return ops.resolve_scalar(_evidence(spark, d), F.when(F.col("field") == "cut", F.substring("value", 1, 1)).otherwise(F.lower("value")))
 
 
 @query("resolve_union", """WITH i AS (SELECT o_custkey AS entity, lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g')) AS k, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS item, o_orderstatus AS source FROM orders),
@@ -95,16 +139,16 @@ def resolve_union(spark, d):
     return union.select("entity", F.array_join(said, ";").alias("items"))
 
 
-_DIFF_SQL = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE left(text, 100) END AS o, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN left(text, 100) WHEN 2 THEN left(text, 60) WHEN 3 THEN upper(left(text, 100)) WHEN 4 THEN 'x' ELSE text END AS n FROM documents)"""
+_DIFF_SQL = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS o, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN text WHEN 2 THEN left(text, (length(text) // 3)::INT) WHEN 3 THEN upper(text) WHEN 4 THEN 'x' ELSE text || ' And more.' END AS n FROM documents)"""
 _DIFF_RULE = """CASE WHEN coalesce(n, '') = '' AND coalesce(o, '') = '' THEN 'UNCHANGED' WHEN coalesce(n, '') = '' THEN 'REJECTED' WHEN coalesce(o, '') = '' THEN 'ADDED' WHEN o = n THEN 'UNCHANGED'
 WHEN (length(n) * 2 < length(o) AND length(o) > 40) OR (starts_with(o, n) AND length(n) < length(o)) THEN 'REJECTED' ELSE 'CHANGED' END"""
 
 
 def _diff(spark, d):
     docs, k = table(spark, d, "documents"), F.col("doc_id") % 6
-    head = F.substring("text", 1, 100)
-    new = (F.when(k == 0, F.lit(None)).when(k == 1, head).when(k == 2, F.substring("text", 1, 60)).when(k == 3, F.upper(head)).when(k == 4, "x").otherwise(F.col("text")))
-    old = F.when(F.col("doc_id") % 5 != 0, head)
+    third = F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
+    new = F.when(k == 0, F.lit(None)).when(k == 1, F.col("text")).when(k == 2, third).when(k == 3, F.upper("text")).when(k == 4, "x").otherwise(F.concat("text", F.lit(" And more.")))
+    old = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
     return ops.diff(docs.select("doc_id", old.alias("value")), docs.select("doc_id", new.alias("value")), ["doc_id"])
 
 

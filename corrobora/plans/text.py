@@ -24,11 +24,11 @@ def paragraph_clean(spark, d):
 
 
 @query("title_canonical", """SELECT p_partkey, 'Episode #' || CASE WHEN p_partkey < 1000 THEN printf('%03d', p_partkey) ELSE p_partkey::VARCHAR END
-|| CASE WHEN p_size % 2 = 0 AND p_partkey <= 2000 OR p_partkey > 9999 THEN ' - ' || trim(regexp_replace(p_name, '\\s+', ' ', 'g')) ELSE '' END AS title FROM part WHERE p_partkey <= 2000""")
+|| CASE WHEN p_size % 2 = 0 AND p_partkey <= 2000 OR p_partkey > 9999 THEN ' - ' || trim(regexp_replace(p_name, '\\s+', ' ', 'g')) ELSE '' END AS title FROM part""")
 def title_canonical(spark, d):
     number = F.col("p_partkey") + F.when(F.col("p_size") % 2 == 0, 0).otherwise(1)
     raw = F.concat(F.lit("Show Ep. "), number.cast("string"), F.lit(": "), F.col("p_name"))
-    return table(spark, d, "part").where("p_partkey <= 2000").select("p_partkey", text.canonical_title(raw, F.col("p_partkey")).alias("title"))
+    return table(spark, d, "part").select("p_partkey", text.canonical_title(raw, F.col("p_partkey")).alias("title"))
 
 
 @query("number_from_text", "SELECT p_partkey, CASE WHEN p_size * 50 BETWEEN 1 AND 2000 THEN p_size * 50 END AS number FROM part")
