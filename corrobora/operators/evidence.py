@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.functions import scores
+from corrobora.functions import scores, text
 
 
 def independence(df: DataFrame, copyable: Column, length: Column, value_hash: Column) -> DataFrame:
@@ -170,6 +170,46 @@ def resolve_reviews(existing: DataFrame, reviews: DataFrame, answers: DataFrame)
     )
 
 
+# What an engine's status says about a source.
+OUTCOMES = {
+    "ok": "FOUND", "empty": "NO_DATA", "missing_episode": "NO_DATA", "not_applicable": "NOT_APPLICABLE", "parser_warning": "PARSER_ERROR",
+    "structure_changed": "STRUCTURE_CHANGED", "needs_javascript": "JAVASCRIPT_REQUIRED", "blocked": "ACCESS_RESTRICTED", "rate_limited": "RATE_LIMITED",
+    "suppressed": "RATE_LIMITED", "disabled": "NOT_APPLICABLE", "skipped": "NOT_APPLICABLE", "fetch_failed": "TEMPORARY_ERROR", "adapter_error": "PARSER_ERROR",
+}
+
+
+def outcome_word(status: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair]), status), F.lit("UNAVAILABLE"))
+
+
+def normal_value(field: Column, value: Column) -> Column:
+    """The form in which values of a field are compared: dates as dates, titles without marks, others without case and spacing."""
+    titles = F.trim(F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}\s]+", " ")))
+    dates = F.coalesce(text.parsed_date(value, 1900, 2100).cast("string"), value)
+    return F.when(field == "air_date", dates).when(F.startswith(field, F.lit("title")), titles).otherwise(comparable(value))
+
+
+def flattened(rows: DataFrame, payload: str) -> DataFrame:
+    """(..., field, raw) for each value of a payload map that is not empty; fields that begin with '_' are about the payload."""
+    keep = F.map_filter(payload, lambda k, v: ~F.startswith(k, F.lit("_")) & (k != "") & (F.coalesce(v, F.lit("")) != ""))
+    others = [c for c in rows.columns if c != payload]
+    return rows.select(*others, F.explode(keep).alias("field", "raw"))
+
+
+def collected(offers: DataFrame, verdict: Column, priority: Column) -> DataFrame:
+    """(entity, field, first, offers, rejected): the first valid offer by priority, how many there are, and why sources were rejected.
+
+    ``verdict`` is the validator's for field and raw. A source's reasons are few, so they are collected.
+    """
+    seen = offers.withColumn("v", verdict).withColumn("rank", priority)
+    ok = F.col("v.valid")
+    return seen.groupBy("entity", "field").agg(
+        F.min(F.when(ok, F.struct("rank", F.col("v.value").alias("value"), "source"))).alias("first"),
+        F.count_if(ok).alias("offers"),
+        F.array_sort(F.collect_set(F.when(~ok, F.concat("source", F.lit(": "), "v.reason")))).alias("rejected"),
+    )
+
+
 def resolve_scalar(df: DataFrame, key: Column) -> DataFrame:
     """(entity, field, value, source, agree, conflicts, confidence): the value of the best-ranked source, its smallest if it gave several.
 
