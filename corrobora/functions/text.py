@@ -171,3 +171,41 @@ def spoken_duration(ms: Column) -> Column:
         .when(s < 60, F.concat(s.cast("string"), F.lit(" s")))
         .otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit(" min "), (s % 60).cast("string"), F.lit(" s")))
     )
+
+
+def truthy(value: Column) -> Column:
+    """The value, or null where it is empty or '0'."""
+    return F.when((value != "") & (value != "0"), value)
+
+
+def weak_int(raw: Column) -> Column:
+    """The whole number that a text begins with; 0 if it begins with none."""
+    return F.coalesce(F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+
+
+def title_descriptor(title: Column) -> Column:
+    """What follows 'Episode #n - '; null if nothing does."""
+    return F.nullif(F.trim(F.regexp_extract(F.trim(title), r"^Episode\s*#\d+\s*-\s*(.+)$", 1)), F.lit(""))
+
+
+def title_key(title: Column) -> Column:
+    """Letters and digits of a title's descriptor, or of the title without one, in lower case."""
+    return F.regexp_replace(F.lower(clean(F.coalesce(title_descriptor(title), title))), r"[^\p{L}\p{N}]+", "")
+
+
+def listed(raw: Column) -> Column:
+    """The items of a list written with commas, '&', dots, new lines or 'and'."""
+    return F.filter(F.transform(F.split(raw, r"\s*(?:[,&·\n]|\band\b)\s*"), F.trim), lambda x: x != "")
+
+
+def unglued(raw: Column) -> Column:
+    """Names that were run together, cut where a small letter meets a capital: only long texts with two such places."""
+    cut = F.split(raw, r"(?<=[a-z])(?=[A-Z])")
+    return F.when((F.length(raw) > 22) & (F.regexp_count(raw, F.lit("[a-z](?=[A-Z])")) >= 2), cut).otherwise(F.array(raw))
+
+
+def merged(base: Column, own: Column) -> Column:
+    """Two maps as one; a value of ``own`` that is not null wins."""
+    keys = F.array_union(F.map_keys(base), F.map_keys(own))
+    value = lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(own, k), F.element_at(base, k)).alias("value"))
+    return F.map_from_entries(F.transform(keys, value))
