@@ -132,7 +132,7 @@ def op9_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT row_number() OVER () AS id, conv_id, turn, role, text, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS parts
   FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM m),
@@ -151,27 +151,55 @@ p AS (
   SELECT id, conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY i) AS quoted
   FROM r WHERE level > 0 GROUP BY ALL),
 a AS (
-  SELECT DISTINCT conv_id, turn, level, quoted, trim(regexp_replace(lower(unnest(string_split(quoted, chr(10)))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
+  SELECT DISTINCT conv_id, turn, level, quoted, trim(regexp_replace(lower(unnest(list_concat(string_split(quoted, chr(10)), regexp_split_to_array(quoted, '\n[ \t]*\n'), [quoted]))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
   FROM p WHERE turn IS NOT NULL),
 o AS (
-  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unnest(string_split(own, chr(10)))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unnest(list_concat(string_split(own, chr(10)), regexp_split_to_array(own, '\n[ \t]*\n'), [own]))), '[^\p{L}\p{N}]+', ' ', 'g')) AS line
   FROM own WHERE turn IS NOT NULL),
 k AS (
   SELECT a.conv_id, a.turn, a.level, a.quoted, a.line, max(o.turn) AS source
   FROM a JOIN o ON a.conv_id IS NOT DISTINCT FROM o.conv_id AND a.line = o.line AND o.turn < a.turn
   WHERE a.line <> '' GROUP BY ALL),
-v AS (SELECT conv_id, turn, source, sum(len(line)) AS letters FROM k GROUP BY ALL),
-best AS (SELECT conv_id, turn, arg_max(source, (letters, source)) AS reply_to FROM v GROUP BY ALL),
-known AS (SELECT conv_id, turn, count(DISTINCT (level, quoted)) AS n_linked FROM k GROUP BY ALL)
-SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn NULLS LAST, m.role NULLS FIRST, m.text NULLS FIRST) AS position,
-       m.turn, m.role, own.own AS text, best.reply_to,
+v AS (SELECT conv_id, turn, level, source, sum(len(line)) AS letters FROM k GROUP BY ALL),
+best AS (SELECT conv_id, turn, arg_max(source, (-level, letters, source)) AS reply_to FROM v GROUP BY ALL),
+known AS (SELECT conv_id, turn, count(DISTINCT (level, quoted)) AS n_linked FROM k GROUP BY ALL),
+up AS (
+  SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM best
+  UNION ALL
+  SELECT up.conv_id, up.turn, b.reply_to, up.depth + 1
+  FROM up JOIN best b ON b.conv_id IS NOT DISTINCT FROM up.conv_id AND b.turn = up.thread),
+threads AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL)
+SELECT m.conv_id, row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(threads.thread, m.turn) NULLS LAST, m.turn NULLS LAST, m.role NULLS FIRST, m.text NULLS FIRST) AS position,
+       m.turn, m.role, own.own AS text, best.reply_to, coalesce(threads.thread, m.turn) AS thread, coalesce(threads.depth, 0)::BIGINT AS depth,
        coalesce((SELECT count(*) FROM p WHERE p.id = m.id), 0) AS n_quotes, coalesce(known.n_linked, 0) AS n_linked
 FROM m JOIN own ON own.id = m.id
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM m.conv_id AND best.turn = m.turn
+LEFT JOIN threads ON threads.conv_id IS NOT DISTINCT FROM m.conv_id AND threads.turn = m.turn
 LEFT JOIN known ON known.conv_id IS NOT DISTINCT FROM m.conv_id AND known.turn = m.turn
 """
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op9_reply_order`` over the conversations with quotes put in: two of three messages quote the one before, or the one before that within it."""
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    texts = said.groupBy("conv_id", "turn").agg(F.max("text").alias("quoted"))
+    back = lambda n: texts.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("quoted").alias(f"q{n}"))
+    joined = said.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    marked = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)))
+    nested = F.concat(marked(F.col("q2"), "> > "), F.lit("\n> "), F.substring("q1", 1, 20), F.lit("\n"), F.col("text"))
+    text = F.when(F.col("turn") % 3 == 1, F.concat(marked(F.col("q1"), "> "), F.lit("\n"), F.col("text"))).when(F.col("turn") % 3 == 2, nested)
+    return reply_order(joined.select("conv_id", "turn", "role", F.coalesce(text, "text").alias("text")))
+
+
+QUOTED_SQL = OP9_SQL.replace(
+    "FROM conversations",
+    """FROM (SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 3 WHEN 1 THEN '> ' || replace(q1.q, chr(10), chr(10) || '> ') || chr(10) || c.text
+    WHEN 2 THEN '> > ' || replace(q2.q, chr(10), chr(10) || '> > ') || chr(10) || '> ' || left(q1.q, 20) || chr(10) || c.text END, c.text) AS text FROM conversations c
+    LEFT JOIN (SELECT conv_id, turn + 1 AS turn, max(text) AS q FROM conversations GROUP BY ALL) q1 ON q1.conv_id = c.conv_id AND q1.turn = c.turn
+    LEFT JOIN (SELECT conv_id, turn + 2 AS turn, max(text) AS q FROM conversations GROUP BY ALL) q2 ON q2.conv_id = c.conv_id AND q2.turn = c.turn)""",
+)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -196,8 +224,9 @@ def plans() -> dict[str, Plan]:
         "op8_mixing": op8_mixing,
         "op9_reply_order": op9_reply_order,
         "op10_exact_dedup": op10_exact_dedup,
+        "quoted_replies": quoted_replies,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op9_reply_order": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op9_reply_order": OP9_SQL, "op10_exact_dedup": OP10_SQL, "quoted_replies": QUOTED_SQL}

@@ -1,16 +1,20 @@
 r"""Reply-ordered conversations from quoting messages, in SQL functions only.
 
 A line's quote level is the number of '>' marks in front of it. Within a message, runs of
-lines of one level are passages. A passage's lines, normalised (lower case, runs of anything
-but letters and digits as one space), are hashed and joined to the hashed lines of earlier
-messages of the same conversation; the message that gave most of the quoted letters is the
-one replied to (ties: the latest). What is left of each message are its own lines, without
-quotes and without the line that introduces one ("... wrote:").
-
-No group of rows is collected. A line's last earlier bearer is found by a window over the
-(conversation, line, block of turns), and over block summaries beyond that; positions in a
-conversation are counted the same way, so that a very long conversation is spread over many
-tasks.
+lines of one level are passages. A passage and its lines, normalised (lower case, runs of
+anything but letters and digits, line breaks too, as one space), are hashed and joined to the
+hashed lines, paragraphs and whole texts of earlier messages of the same conversation, so
+that a passage wrapped anew still finds its paragraph. The shallowest level that finds
+anything decides which message is replied to: the one that gave most of the quoted letters
+(ties: the latest). What is left of each message are its own lines, without quotes and
+without the line that introduces one ("... wrote:").
+
+A conversation is ordered by thread: messages follow the one they reply to, threads come in
+the order of their first messages, by turn within. Threads are found by doubling the links,
+in rounds that grow with the logarithm of the longest chain. No group of rows is collected.
+A line's last earlier bearer is found by a window over the (conversation, line, block of
+turns), and over block summaries beyond that; positions are counted the same way, so that a
+very long conversation, or thread, is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -73,9 +77,11 @@ def _message_parts(messages: DataFrame) -> DataFrame:
     )
 
 
-def _hashed_lines(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("letters"))))
+def _hashed_units(text: Column) -> Column:
+    """array<struct<hash, letters>>: a text's lines, paragraphs and itself, normalised, without repeats."""
+    parts = F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n"), F.array(text))
+    units = F.array_distinct(F.filter(F.transform(parts, normalised), lambda x: x != ""))
+    return F.transform(units, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("letters")))
 
 
 def _last_bearers(asked: DataFrame, borne: DataFrame) -> DataFrame:
@@ -98,18 +104,43 @@ def _last_bearers(asked: DataFrame, borne: DataFrame) -> DataFrame:
     )
 
 
+def _threads(replies: DataFrame) -> DataFrame:
+    """``replies`` (c, t, reply_to, ...) with the first turn of the thread and the number of links to it.
+
+    Every round replaces a link by that of the message it leads to, so that it spans twice as
+    many; a message replies to an earlier one, so the rounds end.
+    """
+    up = replies.withColumn("thread", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long"))
+    rest = [c for c in up.columns if c not in ("thread", "depth")]
+    while True:
+        a, b = up.alias("a"), up.select("c", "t", "thread", "depth").alias("b")
+        same = F.col("a.c").eqNullSafe(F.col("b.c")) & (F.col("a.thread") == F.col("b.t"))
+        longer = durable(
+            a.join(b, same, "left").select(
+                *[F.col(f"a.{c}") for c in rest],
+                F.coalesce("b.thread", "a.thread").alias("thread"),
+                (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
+                F.col("b.t").isNotNull().alias("open"),
+            )
+        )
+        up = longer.drop("open")
+        if longer.where("open").isEmpty():
+            return up
+
+
 def reply_order(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """(conv_id, position, turn, role, text, reply_to, n_quotes, n_linked) per message.
+    """(conv_id, position, turn, role, text, reply_to, thread, depth, n_quotes, n_linked) per message.
 
     text is the message without quotes; reply_to is the turn of the message that its quotes
     come from most, or null; n_quotes counts quoted passages and n_linked those with a known
-    origin. position numbers the messages of a conversation from 1, every message after the
-    one it replies to: by turn, then role and text. Rows that repeat a turn are messages of
-    their own and share their links. Null turns come last and link to nothing; a null
-    conversation is one of its own; null texts are empty. Other columns are ignored; an empty
-    table gives an empty result.
+    origin. thread is the turn its chain of replies leads to (its own if it replies to none)
+    and depth the length of that chain. position numbers the messages of a conversation from
+    1: by thread, then turn, role and text. Rows that repeat a turn are messages of their own
+    and share their links. Null turns come last and link to nothing; a null conversation is
+    one of its own; null texts are empty. Other columns are ignored; an empty table gives an
+    empty result.
     """
     named = messages.select(
         F.col(conv_col).cast("long").alias("conv_id"),
@@ -121,42 +152,47 @@ def reply_order(
     quoting = parts.where((F.size("passages") > 0) & F.col("turn").isNotNull())
     asked = durable(
         quoting.select("conv_id", "turn", F.posexplode(F.array_distinct("passages")).alias("passage", "p"))
-        .select("conv_id", "turn", F.xxhash64("p").alias("passage"), F.explode(_hashed_lines(F.col("p.text"))).alias("l"))
-        .select("conv_id", "turn", "passage", "l.hash", "l.letters")
+        .select("conv_id", "turn", "p.level", F.xxhash64("p").alias("passage"), F.explode(_hashed_units(F.col("p.text"))).alias("l"))
+        .select("conv_id", "turn", "level", "passage", "l.hash", "l.letters")
         .distinct()
     )
     origins = parts.where(F.col("turn").isNotNull()).select(
-        "conv_id", "turn", F.explode(_hashed_lines(F.col("own"))).alias("l")
+        "conv_id", "turn", F.explode(_hashed_units(F.col("own"))).alias("l")
     )
     wanted = durable(asked.select(F.col("conv_id").alias("c"), F.col("hash").alias("h")).distinct())
     o = origins.select("conv_id", "turn", F.col("l.hash").alias("hash"))
     borne = o.join(wanted, o["conv_id"].eqNullSafe(wanted["c"]) & (o["hash"] == wanted["h"]), "left_semi").distinct()
-    links = _last_bearers(asked, borne).where(F.col("source").isNotNull())
-    votes = links.groupBy("conv_id", "turn", "source").agg(F.sum("letters").alias("letters"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("letters", "source")).alias("best"))
+    links = durable(_last_bearers(asked, borne).where(F.col("source").isNotNull()))
+    votes = links.groupBy("conv_id", "turn", "level", "source").agg(F.sum("letters").alias("letters"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "letters", "source")).alias("best"))
     known = links.groupBy("conv_id", "turn").agg(F.countDistinct("passage").alias("n_linked"))
     replies = durable(
         best.alias("b")
         .join(known.alias("k"), F.col("b.conv_id").eqNullSafe(F.col("k.conv_id")) & (F.col("b.turn") == F.col("k.turn")))
         .select(F.col("b.conv_id").alias("c"), F.col("b.turn").alias("t"), F.col("best.source").alias("reply_to"), "n_linked")
     )
-    linked = parts.join(replies, parts["conv_id"].eqNullSafe(replies["c"]) & (parts["turn"] == replies["t"]), "left")
-    # Positions: the messages of earlier blocks of turns, and the rank within the block.
-    blocked = linked.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62))))
-    within = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_last("turn"), "role", "text")
-    sizes = parts.groupBy(
-        "conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit((1 << 62))).alias("block")
-    ).agg(F.count("*").alias("size"))
-    so_far = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = durable(
-        sizes.select(
-            F.col("conv_id").alias("oc"),
-            F.col("block").alias("ob"),
-            F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("skip"),
-        )
+    linked = parts.join(_threads(replies), parts["conv_id"].eqNullSafe(F.col("c")) & (parts["turn"] == F.col("t")), "left")
+    # Positions: messages of earlier blocks of threads, of earlier stretches within the block, and the rank in a stretch,
+    # which is a thread's messages of one block of turns. The keys are never null; nulls come last.
+    last = F.lit(1 << 62)
+    stretch = ["kc", "kr", "kt"]
+    keyed = linked.withColumn("thread", F.coalesce("thread", "turn")).withColumns(
+        {
+            "kc": F.coalesce(F.col("conv_id").cast("string"), F.lit("")),
+            "kr": F.coalesce("thread", last),
+            "kt": F.coalesce(F.floor(F.col("turn") / BLOCK), last),
+        }
     )
-    ranked = blocked.withColumn("rank", F.row_number().over(within))
-    out = ranked.join(offsets, ranked["conv_id"].eqNullSafe(offsets["oc"]) & (ranked["block"] == offsets["ob"]))
+    sizes = keyed.groupBy(*stretch).agg(F.count("*").alias("size")).withColumn("block", F.floor(F.col("kr") / BLOCK))
+    sizes = durable(sizes)
+    before = Window.partitionBy("kc", "block").orderBy("kr", "kt").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("kc", "block").agg(F.sum("size").alias("size"))
+    so_far = Window.partitionBy("kc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("kc", "block", F.coalesce(F.sum("size").over(so_far), F.lit(0)).alias("earlier"))
+    offsets = sizes.withColumn("skip", F.coalesce(F.sum("size").over(before), F.lit(0))).join(blocks, ["kc", "block"])
+    offsets = durable(offsets.select(*stretch, (F.col("skip") + F.col("earlier")).alias("skip")))
+    within = Window.partitionBy(*stretch).orderBy(F.asc_nulls_last("turn"), "role", "text")
+    out = keyed.withColumn("rank", F.row_number().over(within)).join(offsets, stretch)
     return out.select(
         "conv_id",
         (F.col("rank") + F.col("skip")).cast("long").alias("position"),
@@ -164,6 +200,8 @@ def reply_order(
         "role",
         F.col("own").alias("text"),
         "reply_to",
+        "thread",
+        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.size("passages").cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
     )

@@ -82,6 +82,13 @@ QUOTES = [
     (4, 1, "user", "same\nlong text here"),
     (4, 2, "user", "same"),
     (4, 3, "user", "> same\n> long text here\nok"),
+    (5, 0, "user", "One two three\nfour five six.\n\nAnother paragraph."),
+    (5, 1, "user", "A thread of its own."),
+    (5, 2, "user", "> one two\n> three four five six\nwrapped anew"),
+    (5, 3, "user", "> A thread of its own.\nanswer"),
+    (5, 4, "user", "> > one two three four five six\n> wrapped anew\ndeep"),
+    (5, 5, "user", "> > answer\n> not said by anyone\nonly the deeper level links"),
+    *[(6, i, "user", f"> line {i - 1}\nline {i}") for i in range(40)],
 ]
 
 
@@ -95,7 +102,11 @@ def test_reply_order(spark, rows):
         con.execute("insert into conversations values (?, ?, ?, ?)", r)
     assert got == sorted(con.sql(OP9_SQL).fetchall(), key=str)
     if rows:
-        links = {(c, t): to for c, _, t, _, _, to, _, _ in got}
+        links = {(c, t): to for c, _, t, _, _, to, *_ in got}
+        assert links[(1, 2)] == 1  # the shallower quote decides, though the nested one is longer
+        assert [links[(5, t)] for t in range(6)] == [None, None, 0, 1, 2, 3]
+        assert [t for c, _, t, *_ in sorted((r for r in got if r[0] == 5), key=lambda r: r[1])] == [0, 2, 4, 1, 3, 5]
+        assert {(t, thread, depth) for c, _, t, _, _, _, thread, depth, *_ in got if c == 6} == {(i, 0, i) for i in range(40)}
         assert links[(1, 1)] == 0 and links[(4, 3)] == 1 and links[(3, 400)] == 1 and links[(2, 600)] is None
 
 
