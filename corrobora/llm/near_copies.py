@@ -5,9 +5,10 @@ multi-index hashing meet the leader of their class and are verified. Distances o
 have no bound that follows from a similarity of 0.8, so bands of minimal hashes find the rest.
 Texts that agree in a band meet under one key; a pair of Jaccard similarity 0.8 shares none of the 40 bands of 5 with a chance
 of 1.3e-7 (1e-9 at 0.85), and every pair that meets is verified on the complete sets. Groups of
-copies are not compared all with all: in the first rounds the texts under a key meet one
-leader, and links found join components. Only keys that still hold several components are
-then compared pair by pair, across components.
+copies are not compared all with all: in the first rounds every text meets one leader of its
+keys, and links found join components. Only keys
+that still hold several components are then compared across components, inside their task by
+sketches, and what may be similar is verified.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ SIMILARITY = 0.8
 SEED = 42
 BANDS = 40
 BAND_ROWS = 5
-#: Rounds in which the texts under a key meet a leader only.
+#: Rounds in which a text meets one leader only.
 LEADER_ROUNDS = 2
-#: Pairs whose minimal hashes agree by this much less than the similarity (7 deviations) are not compared in full.
-SLACK = 0.2
+#: Minimal hashes in a sketch; the first BANDS * BAND_ROWS make the bands.
+SKETCH_HASHES = 512
+#: Pairs whose sketches agree by this much less than the similarity (5 deviations: a chance of 3e-7) are not compared in full.
+SLACK = 0.09
+#: Texts of a key that are compared at a time with as many others.
+COMPARED = 192
 
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 
@@ -65,11 +70,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def minimal_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The smallest of the upper 32 bits of each of BANDS * BAND_ROWS keyed hashes."""
+    """The smallest of the upper 32 bits of each of SKETCH_HASHES keyed hashes."""
     draw = np.random.default_rng(SEED)
-    by, mask = draw.integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
+    by, mask = draw.integers(0, 1 << 63, (2, SKETCH_HASHES, 1), np.uint64)
     by = by * np.uint64(2) + np.uint64(1)
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint64)
+    least = np.full(SKETCH_HASHES, 0xFFFFFFFF, np.uint64)
     for at in range(0, len(hashes), 256):
         least = np.minimum(least, (((hashes[None, at : at + 256] ^ mask) * by) >> np.uint64(32)).min(axis=1))
     return least
@@ -77,7 +82,7 @@ def minimal_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
+    for column in least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
         keys = (keys ^ column) * _PRIME
         keys ^= keys >> np.uint64(29)
     return keys.view(np.int64)
@@ -136,9 +141,67 @@ def _with_both(pairs: DataFrame, named: DataFrame, value: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts have a similarity of ``least`` or more; durable."""
-    pairs = durable(pairs)
-    alike = durable(_with_both(pairs, sketches, "sketch").mapInArrow(_alike(least - SLACK), "a long, b long"))
-    return durable(_with_both(alike, texts, "text").mapInArrow(_exact(least), "a long, b long"))
+    alike = _with_both(durable(pairs), sketches, "sketch").mapInArrow(_alike(least - SLACK), "a long, b long")
+    return _compared(durable(alike), texts, least)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    return durable(_with_both(pairs, texts, "text").mapInArrow(_exact(least), "a long, b long"))
+
+
+def alike_pairs(key: int, node, root, size, keys, sketch, least: float) -> np.ndarray:
+    """(n, 2) nodes: pairs of different roots under a key that may be ``least`` similar, if the key is the first they share."""
+    found, agree = [np.empty((0, 2), np.int64)], int(np.ceil((least - SLACK) * sketch.shape[1]))
+    for i in range(0, len(node), COMPARED):
+        for j in range(i, len(node), COMPARED):
+            x, y = slice(i, i + COMPARED), slice(j, j + COMPARED)
+            open_ = root[x, None] != root[None, y]
+            open_ &= np.minimum(size[x, None], size[None, y]) >= least * np.maximum(size[x, None], size[None, y]) - 1e-6
+            if i == j:
+                open_ = np.triu(open_, 1)
+            p, q = np.nonzero(open_)
+            for at in range(0, len(p), 8192):
+                a, b = p[at : at + 8192] + i, q[at : at + 8192] + j
+                near = (sketch[a] == sketch[b]).sum(axis=1) >= agree
+                a, b = a[near], b[near]
+                same = keys[a] == keys[b]
+                first = keys[a, same.argmax(axis=1)] == key
+                found.append(np.stack([node[a[first]], node[b[first]]], axis=1))
+    return np.concatenate(found)
+
+
+def _across(least: float):
+    """mapInArrow: rows (key, node, root, size, keys, sketch), sorted by key, to the pairs of ``alike_pairs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, node, root, size = (rows[c].to_numpy() for c in ("key", "node", "root", "size"))
+            keys = np.array(rows["keys"].to_pylist(), np.int64).reshape(len(key), -1)
+            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(key), -1)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                found = alike_pairs(key[i], node[i:j], root[i:j], size[i:j], keys[i:j], sketch[i:j], least)
+                if len(found):
+                    a, b = found.min(axis=1), found.max(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut or held and held[-1].column(0)[-1].as_py() != key[0]:
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
 
 
 def _class_pairs(sketches: DataFrame) -> DataFrame:
@@ -162,29 +225,37 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sketches = durable(texts.select("node", "text").mapInArrow(_sketch, "node long, size long, keys array<long>, sketch binary, fp long"))
     sketches = durable(sketches.dropDuplicates(["node"]))
     entries = sketches.select("node", "size", F.explode("keys").alias("key"))
-    met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    entries = durable(entries.join(met, "key", "left_semi"))
+    met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # A text's weight: how many texts it meets. That of the others' original is large, so it leads first.
+    entries = entries.join(met, "key")
+    weights = entries.groupBy("node").agg(F.sum("n").alias("weight"))
+    entries = durable(entries.drop("n").join(weights, "node"))
     links = [_verified(_class_pairs(sketches), sketches, texts, least)]
     roots = connected_components(links[0])
     for number in range(LEADER_ROUNDS + 1):
         named = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.struct(F.xxhash64("node", F.lit(number)).alias("order"), "node", "size", "root")
+        shuffled = F.xxhash64("node", F.lit(number))
+        order = F.struct((-F.col("weight") if number == 0 else shuffled).alias("order"), "node", "size", "root")
         open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("l"))
-        open_keys = durable(open_keys.where("low < high").select("key", "l.node", "l.size", "l.root"))
+        open_keys = durable(open_keys.where("low < high").select("key", "l.order", "l.node", "l.size", "l.root"))
         if open_keys.isEmpty():
             break
-        if number < LEADER_ROUNDS:
-            others = open_keys
-        else:
-            entries = named = durable(named.join(open_keys.select("key"), "key", "left_semi"))
-            others = named
-        x, y = named.alias("x"), others.alias("y")
-        enough = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - F.lit(1e-6)
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & enough)
         if number == LEADER_ROUNDS:
-            pairs = pairs.where("x.node < y.node")
-        pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-        links.append(_verified(pairs, sketches, texts, least))
+            rest = named.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "root", "size")
+            rest = rest.join(sketches.select("node", "keys", "sketch"), "node").select("key", "node", "root", "size", "keys", "sketch")
+            rest = rest.repartition("key").sortWithinPartitions("key")
+            links.append(_compared(durable(rest.mapInArrow(_across(least), "a long, b long")), texts, least))
+        else:
+            x, y = named.alias("x"), open_keys.alias("y")
+            enough = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - F.lit(1e-6)
+            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & enough)
+            shared = met.groupBy(F.col("x.node").alias("b"), F.col("y.node").alias("a")).agg(
+                F.count("*").alias("n"), F.min("y.order").alias("order")
+            )
+            # The first in order leads at first, then the one that shares most keys.
+            best = F.struct("order", "a") if number == 0 else F.struct((-F.col("n")).alias("n"), "order", "a")
+            pairs = shared.groupBy("b").agg(F.min(best).alias("best")).select("best.a", "b")
+            links.append(_verified(pairs, sketches, texts, least))
         roots = connected_components(reduce(DataFrame.unionByName, links))
     return roots
 
