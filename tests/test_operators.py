@@ -61,7 +61,7 @@ def _decided(spark, rows, old=None):
     ev = _evidence(spark, rows)
     found = evidence.candidates(evidence.independence(ev, F.lit(True), F.length("value"), F.sha1(F.col("value").cast("binary"))))
     existing = spark.createDataFrame([(1, "f", old, 50)], "entity int, field string, old string, old_confidence int")
-    return found.collect(), evidence.decide(found, existing).first().decision
+    return found.collect(), evidence.decide(found, existing, F.lit("secondary")).first().decision
 
 
 def test_copied_texts_are_one_witness(spark):
@@ -81,11 +81,37 @@ def test_verification_only_never_fills(spark):
     assert _decided(spark, [(2, "f", "a", "v", 1, 0, None, False, 95)], "old")[1] in ("UNKNOWN", "FILL")
 
 
+def test_decision_scores(spark):
+    """A lone witness costs 6, a rival its share; what is kept is the stored value; the bar goes by criticality."""
+    rows = [(1, "f", "a", "v", 1, 0, None, False, 90), (1, "f", "b", "v", 1, 0, None, False, 80), (1, "f", "c", "w", 1, 0, None, False, 40)]
+    found = evidence.candidates(evidence.independence(_evidence(spark, rows), F.lit(False), F.length("value"), F.col("value")))
+    existing = spark.createDataFrame([(1, "f", "old", 50)], "entity int, field string, old string, old_confidence int")
+    # 90 + 10 * 0.35 * 0.80 = 93; less round(40 * 1/2 * 0.35) = 7
+    for level, want in (("secondary", "UPDATE"), ("important", "UPDATE"), ("critical", "REVIEW")):
+        got = evidence.decide(found, existing, F.lit(level)).first()
+        assert (got.decision, got.confidence, got.value) == (want, 86, "v")
+    kept = evidence.decide(found.where("value = 'w'"), existing, F.lit("critical")).first()
+    assert (kept.decision, kept.value, kept.confidence) == ("KEEP", "old", 50)
+
+
 def test_agreement_and_conflict(spark):
-    high = evidence.resolve_scalar(_evidence(spark, [(1, "f", "a", "v", 1, 0, None, False, 0), (1, "f", "b", "v", 2, 1, None, False, 0)])).first()
-    assert (high.value, high.source, high.confidence) == ("v", "a", "HIGH")
-    torn = evidence.resolve_scalar(_evidence(spark, [(1, "f", "a", "v", 1, 0, None, False, 0), (1, "f", "b", "w", 2, 1, None, False, 0)])).first()
+    """Tiers from 2 up are trusted; what counts is the best tier among those that agree."""
+    one = lambda *rows: evidence.resolve_scalar(_evidence(spark, list(rows)), F.lower("value")).first()
+    high = one((1, "f", "a", "v", 2, 0, None, False, 0), (1, "f", "b", "V", 3, 1, None, False, 0))
+    assert (high.value, high.source, high.agree, high.confidence) == ("v", "a", 2, "HIGH")
+    torn = one((1, "f", "a", "v", 1, 0, None, False, 0), (1, "f", "c", "v", 2, 2, None, False, 0), (1, "f", "b", "w", 2, 1, None, False, 0))
     assert (torn.confidence, torn.conflicts) == ("CONFLICT", 1)
+    assert one((1, "f", "a", "v", 1, 0, None, False, 0), (1, "f", "b", "w", 2, 1, None, False, 0)).confidence == "LOW"
+
+
+def test_published_together(spark, tmp_path):
+    from corrobora.operators import writes
+
+    root = str(tmp_path / "store")
+    writes.publish(spark, {"a": spark.range(2), "b": spark.range(3)}, root)
+    writes.publish(spark, {"a": spark.range(5)}, root)
+    spark.range(9).write.parquet(f"{root}/a/unfinished")  # no manifest names it
+    assert writes.published(spark, root, "a").count() == 5 and writes.published(spark, root, "b").count() == 3
 
 
 def test_diff_guards(spark):
