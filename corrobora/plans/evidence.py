@@ -52,7 +52,7 @@ def copied_witnesses(spark, d):
 
 
 #: Fixed value: how much a wrong field harms.
-_LEVEL = F.when(F.col("field") == "flag", "critical").when(F.col("field") == "status", "important").otherwise("secondary")
+_LEVELS = {"flag": "critical", "status": "important"}
 _OLD_SQL = """old AS (SELECT p_partkey AS entity, f AS field, CASE WHEN p_size % 4 = 0 THEN NULL WHEN f = 'flag' THEN 'N' WHEN f = 'status' THEN ' o' ELSE '5' END AS old, (p_size % 60)::INT AS oc
 FROM part, (VALUES ('flag'), ('status'), ('cut')) t(f))"""
 _DECIDE = f"""{_EVIDENCE}, {_OLD_SQL},
@@ -76,7 +76,8 @@ def _existing(spark, d):
 
 
 def _decided(spark, d):
-    return ops.decide(_candidates(spark, d), _existing(spark, d), _LEVEL)
+    level = F.coalesce(*[F.when(F.col("field") == f, x) for f, x in _LEVELS.items()], F.lit("secondary"))
+    return ops.decide(_candidates(spark, d), _existing(spark, d), level)
 
 
 @query("decide", f"WITH {_DECIDE} SELECT entity, field, decision, value, confidence FROM out")
