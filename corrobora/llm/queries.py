@@ -49,12 +49,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, QUALITY_THRESHOLD)
 
 
-#: Replacements depend on this; a deployment passes its own secret.
-SURROGATE_KEY = "corrobora"
+#: Replacements depend on the secret in this setting; without it, on the name of the library.
+SURROGATE_KEY = "spark.corrobora.surrogate.key"
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(read_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), spark.conf.get(SURROGATE_KEY, "corrobora"))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

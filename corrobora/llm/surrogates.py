@@ -1,27 +1,42 @@
 r"""Surrogates for personal data: keyed, type-consistent replacements, in SQL functions only.
 
 Entities are found by one pattern over the whole text (addresses, cards, accounts, phones,
-numbers of the form ddd-dd-dddd, IPv4, secrets, names after a title in four languages). Each
-distinct entity gets one replacement everywhere. Its characters come from a keyed SHA-512
-stream: digits become digits, letters become letters of the same case and script, the rest
-of the format stays; cards keep a valid check digit; names take given and family names of
-the title's gender and the name's script. Collision checks compare all replacements with one
-another and with all real entities: of those that clash, all but one are drawn again with
-the next attempt number, until none clash. Equal entities thus stay equal, different ones
-stay different.
+numbers of the form ddd-dd-dddd, IPv4, secrets, names after a title or after words such as
+"my name is", in scripts with capitals and without). Each distinct entity gets one replacement
+everywhere. Its characters come from an HMAC-SHA-512 stream under the caller's key: digits
+become digits, letters become letters of the same case and script, the rest of the format
+stays; cards keep a valid check digit. A name is replaced part by part, so that the family
+name alone and the full name share a surrogate: given and family names follow the title's
+gender and the name's script; particles (van, de) stay. Collision checks compare all
+replacements with one another and with all real entities: of those that clash, all but one
+are drawn again with the next attempt number, until none clash. Equal entities thus stay
+equal, different ones stay different.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.llm.common import durable
 
-# Titles by gender, as used in English, German, French and Spanish.
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Sir")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Madam")
+# Titles by gender, as used in English, German, French, Spanish, Russian, Greek.
+MALE_TITLES = ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Sir", "Господин", "г-н", "Κύριος", "Κος")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Madam", "Госпожа", "г-жа", "Κυρία", "Κα")
 OTHER_TITLES = ("Dr", "Prof")
+# Titles before names in scripts without capitals (Arabic, Hebrew, Hindi).
+MALE_CASELESS = ("السيد", "מר", "श्री")
+FEMALE_CASELESS = ("السيدة", "גברת", "श्रीमती")
+# Titles after Chinese and Korean names, and the commonest family names before them.
+MALE_SUFFIXES, FEMALE_SUFFIXES, OTHER_SUFFIXES = ("先生",), ("女士", "小姐"), ("씨",)
+HAN_FAMILIES = "王李张刘陈杨赵黄周吴徐孙马朱胡林郭何高罗"
+HANGUL_FAMILIES = "김이박최정강조윤장임"
+# Words that introduce a name without a title.
+CUES = ("my name is", "My name is", "Name:", "name:", "Mein Name ist", "mein Name ist", "je m'appelle", "Je m'appelle",
+        "me llamo", "Me llamo", "меня зовут", "Меня зовут")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "la", "le", "da", "di", "bin", "ibn", "al", "el")
 
 # Common given and family names by script.
 NAMES = {
@@ -40,23 +55,59 @@ NAMES = {
         "f": "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ηλέκτρα Θάλεια Ιωάννα Κατερίνα Λυδία Μαρία Νίκη Ξένια Σοφία Χριστίνα",
         "family": "Αγγέλου Βλάχος Γεωργίου Δήμου Ζέρβας Ηλιάδης Θεοδώρου Ιωάννου Καρράς Λάμπρου Μακρής Νικολάου Παππάς Ρήγας Σταύρου Χρήστου",
     },
+    "arabic": {
+        "m": "أحمد محمد علي حسن خالد عمر يوسف سامي",
+        "f": "فاطمة مريم ليلى سارة هدى نور أمل زينب",
+        "family": "حداد نجار خوري منصور صالح ناصر عباس كريم",
+    },
+    "hebrew": {
+        "m": "דוד יוסף משה אברהם יעקב דניאל אורי עמית",
+        "f": "שרה רחל לאה מרים נועה תמר יעל מיכל",
+        "family": "כהן לוי מזרחי פרץ ביטון דהן אברמוב פרידמן",
+    },
+    "devanagari": {
+        "m": "राम अमित विजय सुरेश रोहन अर्जुन मोहन राजेश",
+        "f": "सीता प्रिया अनीता मीरा कविता राधा पूजा सुनीता",
+        "family": "शर्मा वर्मा गुप्ता सिंह पटेल मेहता जोशी यादव",
+    },
+    "han": {"m": "", "f": "", "family": " ".join(HAN_FAMILIES)},
+    "hangul": {"m": "", "f": "", "family": " ".join(HANGUL_FAMILIES)},
 }
 _SYLLABLES = {
     "latin": "an ber dal en fer gan hol in kar lin mar nel or per ros sen",
     "cyrillic": "ан бер дал ен фер ган хол ин кар лин мар нел ор пер рос сен",
     "greek": "αν βερ δαλ εν φερ γαν χολ ιν καρ λιν μαρ νελ ορ περ ρος σεν",
+    "arabic": "ان بر دل ين فر غن هل كر لن مر نل ور",
+    "hebrew": "אן בר דל ין פר גן הל קר לן מר נל ור",
+    "devanagari": "अन बर दल एन फर गन हल कर लन मर",
+    "han": "伟 芳 娜 敏 静 强 磊 洋 艳 勇 军 杰 娟 涛 明 超",
+    "hangul": "민 서 준 지 우 현 수 영 진 호 은 희",
 }
 
-_TITLE = "|".join(sorted({*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES}, key=len, reverse=True))
+
+
+def _any_of(*words: str) -> str:
+    return "|".join(sorted(set(words), key=len, reverse=True))
+
+
+_TITLE = _any_of(*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES)
+_CASELESS = _any_of(*MALE_CASELESS, *FEMALE_CASELESS)
+_SUFFIX = _any_of(*MALE_SUFFIXES, *FEMALE_SUFFIXES)
+_BEFORE = rf"^(?:(?:{_TITLE})\.?|{_any_of(*CUES)}|{_CASELESS}) "
+_AFTER = rf" ?(?:{_SUFFIX}|{_any_of(*OTHER_SUFFIXES)})$"
+_WORD = r"\p{Lu}(?:\p{L}{1,30}(?:['’-]\p{L}{1,30}){0,3}|['’]\p{L}{1,30}(?:-\p{L}{1,30})?)"
+_FULL = rf"(?:\p{{Lu}}\.(?: ?\p{{Lu}}\.){{0,2}} )?{_WORD}(?: (?:(?:{_any_of(*PARTICLES)}) ){{0,2}}(?:\p{{Lu}}\. )?{_WORD}){{0,3}}"
+_PLAIN = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]{2,20}"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,4}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,126}",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]{0,63}[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "social": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
+    "name": rf"(?<!\p{{L}})(?:(?:(?:{_TITLE})\.?|{_any_of(*CUES)}) (?:(?:{_any_of(*PARTICLES)}) ){{0,2}}{_FULL}|(?:{_CASELESS}) {_PLAIN}(?: {_PLAIN})?"
+    rf"|[{HANGUL_FAMILIES}]\p{{IsHangul}}{{2}} ?씨)|[{HAN_FAMILIES}]\p{{IsHan}}{{0,2}}(?:{_SUFFIX})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -76,11 +127,28 @@ def kind(entity: Column) -> Column:
     return found
 
 
+def _bare(entity: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(F.regexp_replace(entity, _BEFORE, ""), _AFTER, "")
+
+
+def _gender(entity: Column) -> Column:
+    """mr, mrs or, where the title leaves it open, dr."""
+    title = F.regexp_extract(entity, rf"^({_TITLE}|{_CASELESS})\.? ", 1)
+    male = title.isin(*MALE_TITLES, *MALE_CASELESS) | entity.rlike(rf"(?:{_any_of(*MALE_SUFFIXES)})$")
+    female = title.isin(*FEMALE_TITLES, *FEMALE_CASELESS) | entity.rlike(rf"(?:{_any_of(*FEMALE_SUFFIXES)})$")
+    return F.when(male, "mr").when(female, "mrs").otherwise("dr")
+
+
 def identity(name: Column, entity: Column) -> Column:
-    """What two mentions of one entity share: letters in lower case, numbers without their layout."""
+    """What two mentions of one entity share: letters in lower case, numbers without their layout.
+
+    Names: mr, mrs or dr by the title's gender, then the words without particles.
+    """
     digits = F.regexp_replace(entity, "[^0-9]", "")
     tight = F.upper(F.regexp_replace(entity, " ", ""))
-    spoken = F.regexp_replace(F.lower(entity), r"[. ]+", " ")
+    words = F.filter(F.split(F.lower(_bare(entity)), " "), lambda w: ~w.isin(*PARTICLES))
+    spoken = F.concat_ws(" ", _gender(entity), F.array_join(words, " "))
     return (
         F.when(name.isin("card", "social"), digits)
         .when(name == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
@@ -90,10 +158,31 @@ def identity(name: Column, entity: Column) -> Column:
     )
 
 
+def parts(name: Column, who: Column) -> Column:
+    """Array of (type, who): a name's given names and, last, its family name; any other entity itself."""
+    words = F.split(who, " ")
+    lead = F.element_at(words, 1)
+    given = F.transform(
+        F.slice(words, 2, F.size(words) - 2), lambda w: F.struct(F.lit("given").alias("type"), F.concat_ws(" ", lead, w).alias("who"))
+    )
+    family = F.struct(F.lit("name").alias("type"), F.concat_ws(" ", lead, F.element_at(words, -1)).alias("who"))
+    own = F.array(F.struct(name.alias("type"), who.alias("who")))
+    return F.when(name == "name", F.concat(given, F.array(family))).otherwise(own)
+
+
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 in hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha512(secret).digest() if len(secret) > 128 else secret).ljust(128, b"\0")
+    pad = lambda by: F.lit(bytes(c ^ by for c in secret))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 512)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 512)
+
+
 def _stream(key: str, name: Column, who: Column, attempt: Column) -> Column:
     """512 hexadecimal digits that key, type, identity and attempt determine."""
-    seed = F.concat_ws("|", F.lit(key), name, attempt.cast("string"), who)
-    return F.concat(*[F.sha2(F.concat_ws("|", F.lit(str(i)), seed), 512) for i in range(4)])
+    seed = F.concat_ws("|", name, attempt.cast("string"), who)
+    return F.concat(*[_hmac(key, F.concat_ws("|", F.lit(str(i)), seed)) for i in range(4)])
 
 
 def _byte(stream: Column, place: Column) -> Column:
@@ -139,26 +228,27 @@ def _checked(digits: Column) -> Column:
     return F.concat(body, ((10 - F.aggregate(places, F.lit(0), add) % 10) % 10).cast("string"))
 
 
-def _new_name(who: Column, stream: Column, attempt: Column) -> Column:
-    """Title, given name if there was one, family name; later attempts add syllables to the family name."""
-    words = F.split(who, " ")
-    title = F.element_at(words, 1)
-    male = title.isin(*[t.lower() for t in MALE_TITLES])
-    female = title.isin(*[t.lower() for t in FEMALE_TITLES])
-    is_male = male | (~female & (_byte(stream, F.lit(0)) % 2 == 0))
+def _new_name(name: Column, who: Column, stream: Column, attempt: Column) -> Column:
+    """One part of a name, given or family; later attempts add syllables. Hyphenated parts stay so."""
+    lead, word = F.element_at(F.split(who, " "), 1), F.element_at(F.split(who, " "), -1)
+    is_male = (lead == "mr") | ((lead != "mrs") & (_byte(stream, F.lit(0)) % 2 == 0))
+    is_given = name == "given"
     out = None
     for script, lists in NAMES.items():
-        given = F.when(is_male, _pick(lists["m"], _byte(stream, F.lit(1)))).otherwise(
-            _pick(lists["f"], _byte(stream, F.lit(1)))
-        )
-        more = F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), attempt + 2), lambda i: _pick(_SYLLABLES[script], _byte(stream, i + 2))
-            ),
-            "",
-        )
-        family = F.concat(_pick(lists["family"], _byte(stream, F.lit(2))), more)
-        made = F.when(F.size(words) > 2, F.concat_ws(" ", given, family)).otherwise(family)
+
+        def one(at: int) -> Column:
+            family = _pick(lists["family"], _byte(stream, F.lit(at)))
+            if not lists["m"]:
+                return family
+            given = F.when(is_male, _pick(lists["m"], _byte(stream, F.lit(at)))).otherwise(_pick(lists["f"], _byte(stream, F.lit(at))))
+            return F.when(is_given, given).otherwise(family)
+
+        # Chinese and Korean names keep their length at first
+        n = attempt + (F.when(is_given, 1).otherwise(2) if lists["m"] else F.length(word) - 1)
+        some = F.transform(F.sequence(F.lit(1), n), lambda i: _pick(_SYLLABLES[script], _byte(stream, i + 2)))
+        made = F.concat(one(1), F.when(n > 0, F.array_join(some, "")).otherwise(""))
+        if lists["m"]:
+            made = F.when(word.contains("-"), F.concat(made, F.lit("-"), one(2))).otherwise(made)
         out = made if out is None else F.when(who.rlike(rf" \p{{Is{script.title()}}}"), made).otherwise(out)
     return out
 
@@ -178,13 +268,17 @@ def _draw(key: str, name: Column, who: Column, attempt: Column) -> Column:
         .when(name == "ip", octets)
         .when(name == "card", _checked(plain))
         .when(name == "account", F.concat(F.substring(who, 1, 2), F.substring(plain, F.lit(3), F.length(who))))
-        .when(name == "name", _new_name(who, stream, attempt))
+        .when(name.isin("name", "given"), _new_name(name, who, stream, attempt))
         .otherwise(plain)
     )
 
 
-def _dressed(name: Column, entity: Column, drawn: Column) -> Column:
-    """The replacement in the layout and case of a mention; phones keep what stands before the last ten digits."""
+def _dressed(name: Column, entity: Column, made: Column) -> Column:
+    """The replacement (its parts ``made``) in the layout and case of a mention.
+
+    Phones keep what stands before the last ten digits, names their title and particles.
+    """
+    drawn = F.element_at(made, 1)
     digits = F.regexp_replace(entity, "[^0-9]", "")
     country = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)))
     drawn = F.when(name == "phone", F.concat(country, drawn)).otherwise(drawn)
@@ -199,7 +293,12 @@ def _dressed(name: Column, entity: Column, drawn: Column) -> Column:
         ),
         "",
     )
-    said = F.concat(F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1), drawn)
+    spoken = F.split(_bare(entity), " ")
+    real = lambda w: ~w.isin(*PARTICLES)
+    renamed = F.transform(
+        spoken, lambda w, i: F.when(real(w), F.element_at(made, F.size(F.filter(F.slice(spoken, F.lit(1), i + 1), real)))).otherwise(w)
+    )
+    said = F.concat(F.regexp_extract(entity, _BEFORE, 0), F.array_join(renamed, " "), F.regexp_extract(entity, _AFTER, 0))
     return (
         F.when(name.isin("card", "social", "phone", "account"), poured)
         .when(name == "name", said)
@@ -208,6 +307,11 @@ def _dressed(name: Column, entity: Column, drawn: Column) -> Column:
     )
 
 
+def _mark(drawn: Column) -> Column:
+    """What replacements are told apart by: names also without regard to case."""
+    return F.when(F.col("type").isin("name", "given"), F.lower(drawn)).otherwise(drawn)
+
+
 def draw_surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
     """(type, who, drawn) for distinct (type, who): replacements that clash with nothing; durable.
 
@@ -222,10 +326,11 @@ def draw_surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> D
                 "type", "who", _draw(key, F.col("type"), F.col("who"), tries).alias("drawn")
             )
         )
-        real = entities.select("type", F.col("who").alias("drawn"))
-        taken = real if settled is None else real.unionByName(settled.select("type", "drawn"))
-        free = drawn.join(durable(taken), ["type", "drawn"], "left_anti")
-        won = durable(free.groupBy("type", "drawn").agg(F.min("who").alias("who")))
+        drawn = drawn.withColumn("mark", _mark(F.col("drawn")))
+        real = entities.select("type", _mark(F.when(F.col("type").isin("name", "given"), F.regexp_replace("who", "^[^ ]* ", "")).otherwise(F.col("who"))).alias("mark"))
+        taken = real if settled is None else real.unionByName(settled.select("type", "mark"))
+        free = drawn.join(durable(taken), ["type", "mark"], "left_anti")
+        won = durable(free.groupBy("type", "mark").agg(F.min_by(F.struct("who", "drawn"), "who").alias("w")).select("type", "mark", "w.*"))
         settled = won if settled is None else settled.unionByName(won)
         open_ = durable(open_.join(won.select("type", "who"), ["type", "who"], "left_anti"))
         if open_.isEmpty():
@@ -252,9 +357,16 @@ def replace_personal_data(
         .withColumn("type", F.coalesce("type", F.lit("secret")))
         .withColumn("who", identity(F.col("type"), F.col("entity")))
     )
-    drawn = draw_surrogates(found, key)
-    dressed = found.join(drawn, ["type", "who"]).select(
-        "uid", "entity", "who", _dressed(F.col("type"), F.col("entity"), F.col("drawn")).alias("new")
+    pieces = found.select("*", F.posexplode(parts(F.col("type"), F.col("who"))).alias("place", "p")).select(
+        "uid", "entity", F.col("type").alias("whole"), F.col("who").alias("whose"), "place", "p.*"
+    )
+    drawn = draw_surrogates(pieces, key)
+    made = F.transform(F.array_sort(F.collect_list(F.struct("place", "drawn"))), lambda x: x["drawn"])
+    dressed = (
+        pieces.join(drawn, ["type", "who"])
+        .groupBy("uid", "entity", F.col("whole").alias("type"), F.col("whose").alias("who"))
+        .agg(made.alias("made"))
+        .select("uid", "entity", "who", _dressed(F.col("type"), F.col("entity"), F.col("made")).alias("new"))
     )
     plans = durable(
         dressed.groupBy("uid").agg(

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -18,7 +19,7 @@ from corrobora.llm.quality import THRESHOLD, apply_model, features, fit_quality
 from corrobora.llm.queries import OP9_SQL
 from corrobora.llm.quotes import reply_order
 from corrobora.llm.simhash import fingerprint
-from corrobora.llm.surrogates import draw_surrogates, replace_personal_data
+from corrobora.llm.surrogates import ENTITY, draw_surrogates, replace_personal_data
 
 PERSONAL = (
     "Mail Ann.Lee@Corp.example.com or ann.lee@corp.example.com, call +1 (437) 555-0689 or 437-555-0689. "
@@ -66,6 +67,56 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.type, r.drawn) for r in rows} & set(who)
 
 
+NAMED = [
+    (1, "Mr John Smith met Dr Ana Maria Lopez and Mr O'Brien. Then Mr Smith left Frau Mueller-Luedenscheidt."),
+    (2, "Mr Jean-Luc Picard, Mrs J. R. Ewing, Herr Ludwig van Beethoven. My name is Ada Lovelace; Name: Alan Turing"),
+    (3, "Господин Иван Петров и госпожа. Госпожа Анна Петрова; Κύριος Νίκος Παππάς."),
+    (4, "王先生认识李小明女士。 김민수씨는 왔다. السيدة ليلى حسن، श्री राम वर्मा, גברת שרה לוי."),
+    (5, "Mr John Smith. " * 20000 + "mail a.b@c.d.e.f.g.h.example.org"),
+    (6, "The Monsoon came. Missing words; Drive on, Mr. president, and the name is plain."),
+]
+
+
+def test_surrogates_of_names(spark):
+    """No part of a name stays, a family name alone follows the full name, other words stay."""
+    rows = replace_personal_data(spark.createDataFrame(NAMED, "doc_id long, text string"), "key").collect()
+    new = {r.doc_id: r.text for r in rows}
+    gone = "John Smith Ana Maria Lopez O'Brien Brien Mueller Luedenscheidt Jean Luc Picard J. R. Ewing Ludwig Beethoven Ada Lovelace Alan Turing "
+    gone += "Иван Петров Анна Петрова Νίκος Παππάς 王先生 小明 민수 ليلى حسن राम वर्मा שרה לוי"
+    for word in gone.split():
+        assert not re.search(rf"(?<!\w){re.escape(word)}(?!\w)", " ".join(new[i] for i in (1, 2, 3, 4))), word
+    family, alone = re.search(r"Mr \w+ (\w+) met Dr \w+ \w+ \w+ and Mr \w+\. Then Mr (\w+) left Frau \w+-\w+\.$", new[1]).groups()
+    assert family == alone
+    assert re.match(r"Mr \w+-\w+ \w+, Mrs \w+ \w+ \w+, Herr \w+ van \w+\. My name is \w+ \w+; Name: \w+ \w+$", new[2])
+    assert re.match(r"Господин [А-Я]\w+ [А-Я]\w+ и госпожа\. Госпожа [А-Я]\w+ [А-Я]\w+; Κύριος [Α-Ϋ]\w+ [Α-Ϋ]\w+\.$", new[3].replace("Ά", "Α").replace("Ή", "Η"))
+    assert re.match(r"[\u4e00-\u9fff]先生认识[\u4e00-\u9fff]{3}女士。 [가-힣]{3}씨는 왔다\.", new[4])
+    full = set(re.findall(r"Mr \w+ \w+\.", new[5]))
+    assert len(full) == 1 and full.pop()[:-1] in new[1] and "c.d.e" not in new[5] and not new[5].endswith("example.org")
+    assert new[6] == NAMED[5][1]
+
+
+def test_surrogates_against_brute_force(spark, small):
+    """Entities by Python's regex: all that is outside them stays, and replacements map one to one."""
+    pattern = regex.compile(ENTITY)
+    extra = spark.createDataFrame([(-i, t) for i, t in NAMED] + [(-9, PERSONAL)], "doc_id long, text string")
+    rows = replace_personal_data(small.select("doc_id", "text").unionByName(extra), "key").collect()
+    old = {r.doc_id: r.text or "" for r in small.select("doc_id", "text").unionByName(extra).collect()}
+    there, back, n = {}, {}, 0
+    for r in rows:
+        text, found = old[r.doc_id], [m.group() for m in pattern.finditer(old[r.doc_id])]
+        assert r.n_entities == len(found)
+        n += len(found)
+        if len(found) > 100:
+            continue
+        rest = "(.*?)".join(regex.escape(x) for x in pattern.split(text))
+        put = regex.fullmatch(rest, r.text or "", regex.DOTALL)
+        assert put is not None, text[:200]
+        for e, s in zip(found, put.groups(), strict=True):
+            assert there.setdefault(e, s) == s and e != s
+            back.setdefault(s.lower(), set()).add(e.lower())
+    assert n > 20000 and all(len(v) == 1 for v in back.values())
+
+
 QUOTES = [
     (1, 0, "user", "Hello there.\nWhat is Spark?"),
     (1, 1, "assistant", "> What is Spark?\nAn engine."),
