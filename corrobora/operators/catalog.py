@@ -8,6 +8,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrobora.operators.quality import numbered
+
 
 def all_of(conditions: list[Column]) -> Column:
     """Conjunction of ``conditions``; true if there are none."""
@@ -91,11 +93,6 @@ def spread_sample(df: DataFrame, key: str, k: int) -> DataFrame:
     spark = df.sparkSession
     n = keys.count()
     wanted = sorted({i * (n - 1) // max(k - 1, 1) for i in range(k) if n})
-    blocked = keys.withColumn("__b", F.floor(F.col(key) / 10_000))
-    sizes = blocked.groupBy("__b").agg(F.count("*").alias("__s"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    skip = sizes.select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__skip"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
-    ranked = blocked.withColumn("__r", rank).join(skip, "__b").withColumn("rank", F.col("__r") + F.col("__skip"))
+    ranked = numbered(keys, key, "__place").withColumn("rank", F.col("__place") - 1)
     picks = spark.createDataFrame([(i,) for i in wanted], "rank long")
     return ranked.join(F.broadcast(picks), "rank", "left_semi").select(key, F.col("rank").cast("long"))

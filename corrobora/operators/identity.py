@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def near_names(df: DataFrame, key: str, name: str, most: int = 2) -> DataFrame:
+def near_names(df: DataFrame, key: str, name: str, most: int = 2, shortest: int = 1, lenient: int = 1) -> DataFrame:
     """Pairs (a, b, distance) of distinct names within ``most`` edits, a before b.
 
+    Names shorter than ``shortest`` take no part; more than one edit is allowed only where both
+    have ``lenient`` letters or more.
+
     Names are cut into most + 1 pieces; within ``most`` edits at least one piece is kept whole
     and moves by at most ``most`` places, so pairs meet on (piece, text) and are verified.
     Equal names are one class: the smallest key stands for it.
     """
-    names = df.where(F.length(name) > 0).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("key"))
+    names = df.where(F.length(name) >= shortest).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("key"))
     parts = most + 1
     size = F.length("name")
     cut = lambda n, i: (F.floor(n * i / parts)).cast("int")
@@ -34,6 +37,8 @@ def near_names(df: DataFrame, key: str, name: str, most: int = 2) -> DataFrame:
     asked = asked.select("k2", "n2", F.col("q.i").alias("i"), F.col("q.n").alias("n"), F.col("q.p").alias("p"))
     met = filed.join(asked, ["i", "n", "p"]).where(F.col("name") < F.col("n2"))
     near = met.withColumn("distance", F.levenshtein("name", "n2", most)).where(F.col("distance") > 0)
+    short = F.least(F.length("name"), F.length("n2")) < lenient
+    near = near.where((F.col("distance") == 1) | ~short)
     return near.select(F.col("name").alias("a"), F.col("n2").alias("b"), "distance").distinct()
 
 

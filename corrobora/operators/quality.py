@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +28,48 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.coalesce(F.round(F.try_divide(part * 100.0, whole), digits), F.lit(0.0))
 
 
-def numbering_gaps(df: DataFrame, key: str) -> DataFrame:
+def blocks(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the number of the block of its integer key: about as many blocks as keys in one.
+
+    Both then grow with the root of the range of keys, so that neither the work within a block
+    nor that over all blocks is large.
+    """
+    ends = df.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    width = F.ceil(F.sqrt(F.col("__hi").cast("double") - F.col("__lo") + 1))
+    block = F.floor((F.col(key) - F.col("__lo")) / F.greatest(width, F.lit(1000)))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, block).drop("__lo", "__hi")  # one row
+
+
+def numbered(df: DataFrame, key: str, name: str, within: Column | None = None) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the order of its integer key, per ``within`` if given.
+
+    Places are counted within blocks of keys, and what stands before a block comes from counts.
+    """
+    df = blocks(df, key, "__b").withColumn("__g", F.lit(0) if within is None else within)
+    sizes = df.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    skip = sizes.select(F.col("__g").alias("__g2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__skip"))
+    place = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(key))
+    same = F.col("__g").eqNullSafe(F.col("__g2")) & F.col("__b").eqNullSafe(F.col("__b2"))
+    ranked = df.withColumn("__r", place).join(skip, same)
+    return ranked.withColumn(name, F.col("__r") + F.col("__skip")).drop("__g", "__b", "__g2", "__b2", "__r", "__skip")
+
+
+def numbering_gaps(df: DataFrame, key: str, step: int = 1 << 20) -> DataFrame:
     """The integers between the smallest and the largest key that no row has.
 
-    Each key looks at its successor; a missing stretch is made where it is, so the numbers are
-    never compared as a whole. Successors beyond a block of keys come from block minima.
+    Each key looks at its successor; a missing stretch is made where it is, in runs of ``step``
+    numbers that are dealt out before they are counted through. Successors beyond a block of
+    keys come from block minima.
     """
     keys = df.select(F.col(key).cast("long").alias("k")).where("k IS NOT NULL").distinct()
-    blocked = keys.withColumn("b", F.floor(F.col("k") / 10_000))
+    blocked = blocks(keys, "k", "b")
     minima = blocked.groupBy("b").agg(F.min("k").alias("m"))
     following = minima.select("b", F.lead("m").over(Window.orderBy("b")).alias("m"))
-    step = F.lead("k").over(Window.partitionBy("b").orderBy("k"))
-    seen = blocked.withColumn("n", step).join(following, "b").withColumn("n", F.coalesce("n", "m"))
-    return seen.where("n > k + 1").select(F.explode(F.sequence(F.col("k") + 1, F.col("n") - 1)).alias(key))
+    after = F.lead("k").over(Window.partitionBy("b").orderBy("k"))
+    seen = blocked.withColumn("n", after).join(following, "b").withColumn("n", F.coalesce("n", "m"))
+    runs = seen.where("n > k + 1").select("n", F.explode(F.sequence(F.col("k") + 1, F.col("n") - 1, F.lit(step))).alias("s"))
+    return runs.select(F.explode(F.sequence(F.col("s"), F.least(F.col("s") + (step - 1), F.col("n") - 1))).alias(key))
 
 
 def duplicate_groups(df: DataFrame, by: list[Column], key: str, most: int | None = None) -> DataFrame:
@@ -49,6 +79,13 @@ def duplicate_groups(df: DataFrame, by: list[Column], key: str, most: int | None
     return kept.withColumn("keys", F.array_join(F.transform("keys", lambda k: k.cast("string")), ","))
 
 
+def duplicate_rows(df: DataFrame, by: Column, key: str) -> DataFrame:
+    """(h, n, key) for each row whose ``by`` others share: no group is gathered anywhere."""
+    hashed = df.select(by.alias("h"), key)
+    groups = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return hashed.join(groups, "h").select("h", "n", key)
+
+
 def streaks(df: DataFrame, entity: str, order: list[str], failed: Column) -> DataFrame:
     """Per entity: failures since its last success, and its longest run of failures."""
     w = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,15 +99,37 @@ def streaks(df: DataFrame, entity: str, order: list[str], failed: Column) -> Dat
 def smoothed(df: DataFrame, entity: str, order: list[str], value: Column) -> DataFrame:
     """Per entity the running mean that gives the newest value a quarter, rounded at each step; 0 starts anew.
 
-    The fold depends on the order, so an entity's values are gathered: meant for logs per source.
+    The fold depends on the order: rows are dealt by entity, sorted where they lie (spilling if
+    need be) and read in batches, with one number held at a time. Null values count as 0.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, value.alias("__v"))))
-    folded = F.aggregate(
-        F.col("__s"),
-        F.lit(0).cast("long"),
-        lambda a, x: F.when(a == 0, x["__v"]).otherwise(F.round((a * 3 + x["__v"]) / 4).cast("long")),
-    )
-    return df.groupBy(entity).agg(ordered.alias("__s"), F.count("*").alias("n")).select(entity, "n", folded.alias("smoothed"))
+    rows = df.select(entity, *order, F.coalesce(value.cast("long"), F.lit(0)).alias("__v"))
+    dealt = rows.repartition(F.col(entity)).sortWithinPartitions(entity, *order).select(entity, "__v")
+    kind = df.schema[entity].dataType.simpleString()
+
+    def table_of(done, arrow):
+        columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (arrow, pa.int64(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[entity, "n", "smoothed"])
+
+    def fold(batches):
+        who, mean, n, arrow = None, 0, 0, None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            done = []
+            for i, v in zip(ids, values, strict=True):
+                if n and i != who:
+                    done.append((who, n, mean))
+                    mean, n = 0, 0
+                who, n = i, n + 1
+                total = 3 * mean + v
+                # quarters round half away from zero
+                mean = v if mean == 0 else (total + 2) // 4 if total >= 0 else -((2 - total) // 4)
+            if done:
+                yield table_of(done, arrow)
+        if n:
+            yield table_of([(who, n, mean)], arrow)
+
+    return dealt.mapInArrow(fold, f"`{entity}` {kind}, n long, smoothed long")
 
 
 def worst_severity(df: DataFrame, group: str, severity: str, ladder: list[str]) -> DataFrame:

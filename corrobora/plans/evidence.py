@@ -208,11 +208,11 @@ def field_locks(spark, d):
     return events.join(locks, locked, "left_anti").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("near_names", """WITH n AS (SELECT DISTINCT left(regexp_replace(text, '[^a-z]', '', 'g'), 12) AS s FROM documents WHERE length(regexp_replace(text, '[^a-z]', '', 'g')) > 0)
-SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s)::INT AS distance FROM n a JOIN n b ON a.s < b.s AND abs(length(a.s) - length(b.s)) <= 2 AND levenshtein(a.s, b.s) <= 2""")
+@query("near_names", """WITH n AS (SELECT DISTINCT p_name AS s FROM part WHERE length(p_name) >= 6)
+SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s)::INT AS distance FROM n a JOIN n b ON a.s < b.s AND abs(length(a.s) - length(b.s)) <= 2
+AND levenshtein(a.s, b.s) <= CASE WHEN least(length(a.s), length(b.s)) >= 8 THEN 2 ELSE 1 END""")
 def near_names(spark, d):
-    s = F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)
-    return identity.near_names(table(spark, d, "documents").select("doc_id", s.alias("s")), "doc_id", "s", 2)
+    return identity.near_names(table(spark, d, "part"), "p_partkey", "p_name", 2, shortest=6, lenient=8)
 
 
 _HASH_SQL = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END)), lambda h, x: h * 2 + x)"

@@ -86,10 +86,9 @@ def dup_groups(spark, d):
     return ops.duplicate_groups(table(spark, d, "orders"), [F.col("o_custkey"), day], "o_orderkey")
 
 
-@query("dup_documents", """SELECT sha1(lower(trim(text))) AS h, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS keys FROM documents GROUP BY 1 HAVING n > 1""")
+@query("dup_documents", """SELECT sha1(lower(trim(text))) AS h, count(*) OVER (PARTITION BY sha1(lower(trim(text)))) AS n, doc_id FROM documents QUALIFY n > 1""")
 def dup_documents(spark, d):
-    h = F.sha1(F.lower(F.trim(F.col("text"))).cast("binary")).alias("h")
-    return ops.duplicate_groups(table(spark, d, "documents"), [h], "doc_id")
+    return ops.duplicate_rows(table(spark, d, "documents"), F.sha1(F.lower(F.trim(F.col("text"))).cast("binary")), "doc_id")
 
 
 @query("hash_group_classify", """SELECT sha1(text) AS h, count(*) AS n, max(n_chars) AS longest,
@@ -255,8 +254,8 @@ def latest_wins(spark, d):
 @query("daily_reference", "SELECT event_id, 'RUN-' || ts::DATE::VARCHAR || '-' || CASE WHEN n < 1000 THEN printf('%03d', n) ELSE n::VARCHAR END AS ref FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS n FROM events)")
 def daily_reference(spark, d):
     day = F.col("ts").cast("date")
-    n = F.row_number().over(Window.partitionBy(day).orderBy("event_id"))
-    return table(spark, d, "events").select("event_id", F.concat(F.lit("RUN-"), day.cast("string"), F.lit("-"), F.format_string("%03d", n)).alias("ref"))
+    placed = ops.numbered(table(spark, d, "events").select("event_id", day.alias("day")), "event_id", "n", F.col("day"))
+    return placed.select("event_id", F.concat(F.lit("RUN-"), F.col("day").cast("string"), F.lit("-"), F.format_string("%03d", "n")).alias("ref"))
 
 
 @query("order_anomaly", """SELECT o_orderkey, (b.d IS NOT NULL AND b.d > a.d) AS after_next, (c.d IS NOT NULL AND c.d < a.d) AS before_previous FROM (SELECT o_orderkey, o_orderdate AS d FROM orders) a

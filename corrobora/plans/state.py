@@ -91,17 +91,10 @@ def priority_queue(spark, d):
 SELECT min(k) AS first_key, max(k) AS last_key, count(*) AS n FROM g GROUP BY island""")
 def coverage_label(spark, d):
     keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    starts = keys.join(keys.select((F.col("k") + 1).alias("k")), "k", "left_anti").select(F.col("k").alias("s"), F.floor(F.col("k") / 1000).alias("b"))
+    starts = keys.join(keys.select((F.col("k") + 1).alias("k")), "k", "left_anti").select(F.col("k").alias("s"))
     ends = keys.join(keys.select((F.col("k") - 1).alias("k")), "k", "left_anti").select(F.col("k").alias("e"))
-    # The n-th start belongs to the n-th end: ranks come from blocks of keys and their running counts.
-    def numbered(df, c):
-        df = df.withColumn("b", F.floor(F.col(c) / 1000))
-        sizes = df.groupBy("b").agg(F.count("*").alias("n"))
-        skip = sizes.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
-        rank = F.row_number().over(Window.partitionBy("b").orderBy(c))
-        return df.withColumn("r", rank).join(skip, "b").select((F.col("r") + F.col("skip")).alias("i"), c)
-
-    paired = numbered(starts.select("s"), "s").join(numbered(ends, "e"), "i")
+    # The n-th start belongs to the n-th end.
+    paired = quality.numbered(starts, "s", "i").join(quality.numbered(ends, "e", "i"), "i")
     return paired.select(F.col("s").alias("first_key"), F.col("e").alias("last_key"), (F.col("e") - F.col("s") + 1).alias("n"))
 
 
@@ -174,6 +167,12 @@ SELECT user_id, event_type, round(100.0::DOUBLE * a / n)::INT AS reliability, ro
 def reputation_profile(spark, d):
     o = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("a"))
     rate = 100.0 * F.col("a") / F.col("n")
+    # Rates are ranked within whole percents; what stands before comes from counts.
+    o = o.withColumn("percent", F.floor(rate))
+    counts = o.groupBy("event_type", "percent").agg(F.count("*").alias("c"))
     field = Window.partitionBy("event_type")
-    return o.select("user_id", "event_type", F.round(rate).cast("int").alias("reliability"),
-                    F.row_number().over(field.orderBy(F.desc(rate), "user_id")).alias("place"), F.count("*").over(field).alias("of"))
+    above = field.orderBy(F.desc("percent")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("event_type", "percent", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("skip"), F.sum("c").over(field).alias("of"))
+    inner = F.row_number().over(Window.partitionBy("event_type", "percent").orderBy(F.desc(rate), "user_id"))
+    placed = o.withColumn("inner", inner).join(F.broadcast(offsets), ["event_type", "percent"])  # 101 rows for an event type
+    return placed.select("user_id", "event_type", F.round(rate).cast("int").alias("reliability"), (F.col("inner") + F.col("skip")).alias("place"), "of")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from corrobora.operators import catalog, evidence, identity, quality, state
@@ -129,6 +132,44 @@ def test_writes(spark):
     assert sorted(map(tuple, evidence.replace_set(old, new, ["k"]).collect())) == [(1, "a", 1), (2, None, 5), (3, "c", 6)]
 
 
+def test_numbering_gaps_of_many_numbers(spark):
+    df = spark.createDataFrame([(0,), (3_000_000,), (3_000_001,), (None,)], "k long")
+    found = quality.numbering_gaps(df, "k", step=1000).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+    assert tuple(found) == (2_999_999, 1, 2_999_999)
+    assert quality.numbering_gaps(df.limit(0), "k").count() == 0
+
+
+def test_numbered_places(spark):
+    rng = random.Random(3)
+    rows = [(k, k % 3 or None) for k in rng.sample(range(-50_000, 10**7), 4000)]
+    df = spark.createDataFrame(rows, "k long, g long")
+    want, seen = {}, {}
+    for k, g in sorted(rows):
+        seen[g] = seen.get(g, 0) + 1
+        want[k] = seen[g]
+    assert {r.k: r.place for r in quality.numbered(df, "k", "place", F.col("g")).collect()} == want
+    every = {r.k: r.place for r in quality.numbered(df, "k", "place").collect()}
+    assert every == {k: i for i, k in enumerate(sorted(k for k, _ in rows), 1)}
+
+
+def test_smoothed_is_the_fold(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), t, rng.randint(-40, 90)) for t in range(3000)] + [("c", 1, None), ("d", 1, -7)]
+    got = quality.smoothed(spark.createDataFrame(rows, "u string, t long, v long").repartition(5), "u", ["t"], F.col("v"))
+    want = {}
+    for u, _, v in sorted(rows, key=lambda r: r[1]):
+        a, v = want.get(u, 0), v or 0
+        x = (3 * a + v) / 4
+        want[u] = v if a == 0 else int(math.copysign(math.floor(abs(x) + 0.5), x))
+    assert {r.u: r.smoothed for r in got.collect()} == want
+
+
+def test_duplicate_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None), (5, None), (2, "x")], "k long, t string")
+    got = sorted((r.h or "", r.n, r.k) for r in quality.duplicate_rows(df, F.coalesce("t", F.lit("")), "k").collect())
+    assert got == [("", 2, 4), ("", 2, 5), ("x", 3, 1), ("x", 3, 2), ("x", 3, 2)]
+
+
 def test_near_names(spark):
     names = ["jonathan", "jonathon", "jnathan", "xonathan", "maria", "marai", "", None, "a", "b", "jonathan"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "k int, n string")
