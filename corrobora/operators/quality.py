@@ -55,6 +55,17 @@ def numbered(df: DataFrame, key: str, name: str, within: Column | None = None) -
     return ranked.withColumn(name, F.col("__r") + F.col("__skip")).drop("__g", "__b", "__g2", "__b2", "__r", "__skip")
 
 
+def neighbours(df: DataFrame, key: str) -> DataFrame:
+    """Distinct integer keys with the nearest smaller one (``prev``) and the nearest larger one (``next``)."""
+    keys = blocks(df.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct(), "k", "b")
+    over = Window.orderBy("b")
+    ends = keys.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    ends = ends.select("b", F.lag("hi").over(over).alias("before"), F.lead("lo").over(over).alias("after"))
+    w = Window.partitionBy("b").orderBy("k")
+    near = keys.withColumn("p", F.lag("k").over(w)).withColumn("n", F.lead("k").over(w)).join(ends, "b")
+    return near.select(F.col("k").alias(key), F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
+
+
 def numbering_gaps(df: DataFrame, key: str, step: int = 1 << 20) -> DataFrame:
     """The integers between the smallest and the largest key that no row has.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corrobora.operators import catalog as ops
+from corrobora.operators import quality
 from corrobora.plans.base import table, tables
 from corrobora.plans.registry import query
 
@@ -173,10 +173,9 @@ def range_bucket(spark, d):
     return part.join(F.broadcast(ranges), inside).groupBy("bucket").agg(F.count("*").alias("n"))  # four literal rows
 
 
-@query("prev_next", """SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+@query("prev_next", """SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderkey)""")
 def prev_next(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("prev"), F.lead("o_orderkey").over(w).alias("next"))
+    return quality.neighbours(table(spark, d, "orders"), "o_orderkey")
 
 
 @query("exact_neighbours", """SELECT a.o_orderkey, b.o_orderdate::DATE::VARCHAR AS before, c.o_orderdate::DATE::VARCHAR AS after FROM orders a

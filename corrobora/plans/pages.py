@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corrobora.functions import grounding as ground
 from corrobora.plans.base import table
 from corrobora.plans.registry import query
 from corrobora.sources import html
@@ -56,16 +57,33 @@ def list_cells(spark, d):
     return html.table_cells(table(spark, d, "pages").select("page_id", as_table.alias("html")), "page_id", "html")
 
 
-@query("grounding", r"""WITH t AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '\pL+')) AS words FROM conversations),
-p AS (SELECT a.conv_id, a.turn, len(a.words) AS n, len(list_intersect(a.words, b.words)) AS known FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant')
-SELECT conv_id, turn, n, known, CASE WHEN n = 0 THEN 'empty' WHEN known >= 0.3 * n THEN 'grounded' ELSE 'ungrounded' END AS status FROM p""")
+_GROUNDING = r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g') AS s, lower(coalesce(text, '')) AS low,
+list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN''-]+')) AS vocab, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations),
+c AS (SELECT a.conv_id, a.turn, a.words, b.vocab, a.low, regexp_extract_all(a.s, '(?:^|[.!?]\s+)([A-Z][a-zA-Z''-]*)\b', 1) AS opening,
+list_distinct(regexp_extract_all(a.s, '\b[A-Z][a-zA-Z''-]*(?:\s+(?:[A-Z][a-zA-Z''-]*|of|the|and))*\b')) AS phrases
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
+u AS (SELECT *, len(list_filter(phrases, lambda p: regexp_matches(p, '\s') OR NOT list_contains(opening, p))) AS n_claims,
+list_sort(list_filter(phrases, lambda p: (regexp_matches(p, '\s') OR NOT list_contains(opening, p))
+AND len(list_filter(regexp_split_to_array(lower(p), '\s+'), lambda w: NOT list_contains(string_split('SAFE', ' '), w) AND NOT list_contains(vocab, w))) > 0)) AS bad,
+regexp_matches(low, '^[ "“\n\t]*(OPENERS)') AS generic FROM c)
+SELECT conv_id, turn, words, n_claims, array_to_string(bad, '|') AS unsupported,
+greatest(0, 96 - CASE WHEN words < 30 THEN 40 WHEN words < 50 OR words > 140 THEN 15 ELSE 0 END - CASE WHEN generic THEN 25 ELSE 0 END - 18 * len(bad)) AS confidence,
+words >= 30 AND NOT generic AND len(bad) = 0 AS valid FROM u""".replace("SAFE", " ".join(ground.SAFE_WORDS)).replace("OPENERS", "|".join(ground.OPENERS).replace("'", "''"))
+
+
+@query("grounding", _GROUNDING)
 def grounding(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
-    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("seen"))
-    p = t.where("role = 'assistant'").join(before, ["conv_id", "turn"])
-    p = p.select("conv_id", "turn", F.size("words").cast("long").alias("n"), F.size(F.array_intersect("words", "seen")).cast("long").alias("known"))
-    status = F.when(F.col("n") == 0, "empty").when(F.col("known") >= 0.3 * F.col("n"), "grounded").otherwise("ungrounded")
-    return p.withColumn("status", status)
+    """Answers against the turn before them as evidence."""
+    t, text = table(spark, d, "conversations"), F.col("text")
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), ground.vocabulary(text).alias("known"))
+    said = t.where("role = 'assistant'").select(
+        "conv_id", "turn", ground.word_count(text).alias("words"), ground.claims(text).alias("claims"), ground.generic_opening(text).alias("generic"))
+    bad = said.join(before, ["conv_id", "turn"]).withColumn("bad", ground.unsupported(F.col("claims"), F.col("known")))
+    n = F.size("bad")
+    return bad.select(
+        "conv_id", "turn", "words", F.size("claims").alias("n_claims"), F.array_join("bad", "|").alias("unsupported"),
+        ground.confidence(F.col("words"), F.col("generic"), n).alias("confidence"),
+        (~ground.too_short(F.col("words")) & ~F.col("generic") & (n == 0)).alias("valid"))
 
 
 @query("turn_order_gaps", "SELECT conv_id, count(*) AS turns, max(turn) + 1 - count(DISTINCT turn) AS missing, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1")

@@ -85,3 +85,19 @@ def test_shrinkage_needs_samples(spark):
     assert of(2, 2, 0) == 70
     assert of(60, 60, 0) == round(70 * 0.35 + 100 * 0.65)
     assert of(0, 0, 0) == 70
+
+
+def test_grounding_of_names(spark):
+    from corrobora.functions import grounding as g
+
+    text = "Anna met Bo in Jeju Island on Monday. Then Bo saw Lake Como. Yes, Études and the Tower of London; Zed."
+    row = spark.createDataFrame([(text, "anna's bo jeju island lake"), (None, None), ("In today's episode Anna won.", "")], "t string, e string")
+    got = row.select(g.claims(F.col("t")).alias("c"), g.unsupported(g.claims(F.col("t")), g.vocabulary(F.col("e"))).alias("u"),
+                     g.word_count(F.col("t")).alias("n"), g.generic_opening(F.col("t")).alias("o")).collect()
+    assert got[0].c == ["Bo", "Jeju Island", "Monday", "Then Bo", "Lake Como", "Tower of London", "Zed"]
+    assert got[0].u == ["Lake Como", "Then Bo", "Tower of London", "Zed"] and got[0].n == 21 and not got[0].o
+    assert got[1].c == [] and got[1].u == [] and got[1].n == 0 and not got[1].o
+    assert got[2].o and got[2].u == ["Anna"]
+    score = spark.range(1).select(g.confidence(F.lit(20), F.lit(False), F.lit(3)).alias("a"), g.confidence(F.lit(60), F.lit(True), F.lit(0)).alias("b"),
+                                  g.confidence(F.lit(40), F.lit(False), F.lit(1)).alias("c")).first()
+    assert tuple(score) == (2, 71, 63)
