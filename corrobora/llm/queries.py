@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrobora.llm import forced_bpe
 from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
@@ -212,6 +213,14 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    coded = forced_bpe.encode_texts(docs, forced_bpe.default_merges(), decoded=True)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def plans() -> dict[str, Plan]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -224,6 +233,7 @@ def plans() -> dict[str, Plan]:
         "op8_mixing": op8_mixing,
         "op9_reply_order": op9_reply_order,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_forced_bpe": op11_forced_bpe,
         "quoted_replies": quoted_replies,
     }
 
