@@ -11,6 +11,7 @@ from corrobora.llm import forced_bpe
 from corrobora.llm.common import read_table
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.mixing import mix_sources
+from corrobora.llm.phrases import collocations
 from corrobora.llm.pieces import default_vocabulary, encode_texts
 from corrobora.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from corrobora.llm.quality import fit_quality, score_quality
@@ -21,6 +22,7 @@ from corrobora.llm.surrogates import replace_personal_data
 from corrobora.llm.topk import top_k
 from corrobora.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from corrobora.llm.toxicity import fit_toxicity, in_fold, score_toxicity
+from corrobora.llm.turns import damage, repair_report
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -221,6 +223,112 @@ def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), size=3, least=10, best=2000, swallow=50)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, w[i] AS phrase FROM spots
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM spots WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM spots WHERE i + 2 <= len(w)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, count(*) AS n FROM spots GROUP BY lang),
+c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE size = 3
+    UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE size = 3) GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, a, w, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS s
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, k, l.n AS l, r.n AS r,
+         ((1000000::HUGEINT * u.a * u.a) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = u.p JOIN f r ON r.lang = u.lang AND r.phrase = u.s),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n AS n, score
+FROM worst LEFT JOIN longer USING (lang, phrase) JOIN total USING (lang)
+WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damage(read_table(spark, sf_dir, "conversations")))
+
+
+#: States are 1 nothing yet, 2 after system, 3 after user, 4 after assistant; [3, 3, 4, 3] follow by an insert.
+OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS name
+  FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, name), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS fault FROM c),
+d AS (
+  SELECT cid, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS seen,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS final
+  FROM n),
+r AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN seen THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS kind,
+         lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS pair
+  FROM o),
+e AS (
+  SELECT *, list_transform([1, 2, 3, 4], lambda s: CASE WHEN fault IN ('b', 'd') THEN 0
+         WHEN kind = 1 AND s = 1 THEN 2 WHEN kind = 2 AND s <> 3 THEN 3 WHEN kind = 3 AND s = 3 THEN 4 ELSE 0 END) AS kept,
+         CASE fault WHEN 't' THEN 5 ELSE 0 END AS stays, CASE WHEN fault IN ('b', 'd') THEN 100000000 ELSE 1 END AS reroled
+  FROM r),
+v AS (
+  SELECT cid, max(i) + 1 AS i, [0, 10, 5, 0]::BIGINT[] AS v FROM r GROUP BY cid
+  UNION ALL
+  SELECT cid, i, list_transform([1, 2, 3, 4], lambda s: least(base[s], 5 + base[[3, 3, 4, 3][s]], 10 + base[[3, 3, 4, 3][[3, 3, 4, 3][s]]]))
+  FROM (
+    SELECT e.cid, e.i, list_transform([1, 2, 3, 4], lambda s: least(2 + v.v[s], stays + reroled + v.v[[3, 3, 4, 3][s]],
+           CASE WHEN kept[s] > 0 THEN stays + v.v[kept[s]] ELSE 100000000 END)::BIGINT) AS base
+    FROM v JOIN e ON e.cid = v.cid AND e.i = v.i - 1)),
+w AS (
+  SELECT cid, 1::BIGINT AS i, 1 AS s, 0::BIGINT AS cost, '' AS audit, '' AS repaired, (SELECT max(i) FROM v x WHERE x.cid = q.cid) AS n
+  FROM (SELECT DISTINCT cid FROM r) q
+  UNION ALL
+  SELECT cid, i + (edit <> 'I')::INT, CASE edit WHEN 'D' THEN s WHEN 'K' THEN keeps ELSE nxt END,
+         cost + CASE edit WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'K' THEN stays ELSE stays + 1 END, audit || edit,
+         repaired || CASE edit WHEN 'D' THEN '' ELSE CASE repaired WHEN '' THEN '' ELSE chr(10) END ||
+           CASE WHEN edit = 'K' THEN role WHEN nxt = 3 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END END, n
+  FROM (
+    SELECT w.*, e.role, e.text, e.stays, [3, 3, 4, 3][w.s] AS nxt, e.kept[w.s] AS keeps,
+           CASE WHEN w.i < n AND a.v[w.s] = 2 + b.v[w.s] THEN 'D' WHEN a.v[w.s] = 5 + a.v[nxt] THEN 'I'
+                WHEN keeps > 0 AND a.v[w.s] = stays + b.v[keeps] THEN 'K' ELSE 'R' END AS edit
+    FROM w JOIN v a ON a.cid = w.cid AND a.i = w.i
+    LEFT JOIN e ON e.cid = w.cid AND e.i = w.i LEFT JOIN v b ON b.cid = w.cid AND b.i = w.i + 1
+    WHERE w.i < n OR w.s IN (2, 3))),
+f AS (SELECT * FROM w WHERE i = n AND s IN (1, 4)),
+t AS (
+  SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY cid)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT cid, conv_id FROM c) q LEFT JOIN t USING (cid) LEFT JOIN f USING (cid)
+"""
+
+
 def plans() -> dict[str, Plan]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -234,9 +342,19 @@ def plans() -> dict[str, Plan]:
         "op9_reply_order": op9_reply_order,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_forced_bpe": op11_forced_bpe,
+        "op12_phrases": op12_phrases,
+        "op13_turns": op13_turns,
         "quoted_replies": quoted_replies,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op8_mixing": OP8_SQL, "op9_reply_order": OP9_SQL, "op10_exact_dedup": OP10_SQL, "quoted_replies": QUOTED_SQL}
+    return {
+        "op7_top_k": OP7_SQL,
+        "op8_mixing": OP8_SQL,
+        "op9_reply_order": OP9_SQL,
+        "op10_exact_dedup": OP10_SQL,
+        "op12_phrases": OP12_SQL,
+        "op13_turns": OP13_SQL,
+        "quoted_replies": QUOTED_SQL,
+    }
