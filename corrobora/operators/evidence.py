@@ -85,10 +85,12 @@ def decide(found: DataFrame, existing: DataFrame, criticality: Column) -> DataFr
     )
     alone = F.when(F.col("top.independent") <= 1, 6).otherwise(0)
     conf = F.greatest(F.lit(0), F.least(F.lit(99), F.col("top.confidence") - alone - F.col("loss")))
+    both = both.withColumn("top_form", normal_value(F.col("field"), F.col("top.value")))
+    existing = existing.withColumn("old_form", normal_value(F.col("field"), F.col("old")))
     joined = existing.join(both, ["entity", "field"], "full").withColumn("conf", conf).withColumn("level", criticality)
     joined = joined.withColumn("held", F.coalesce("old_confidence", F.lit(0)))
     empty, bar = F.coalesce(F.col("old"), F.lit("")) == "", lambda which: threshold(F.col("level"), which)
-    same = comparable(F.col("old")) == comparable(F.col("top.value"))
+    same = F.col("old_form") == F.col("top_form")
     enough = lambda which: F.col("conf") >= bar(which)
     rule = (
         F.when(F.col("top").isNull(), "UNKNOWN")
@@ -297,3 +299,64 @@ def insert_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replace_set(old: DataFrame, new: DataFrame, owner: list[str]) -> DataFrame:
     """``old`` without the rows of the owners that ``new`` has, and all rows of ``new``."""
     return old.join(new.select(*owner).distinct(), owner, "left_anti").unionByName(new.select(*old.columns))
+
+
+def field_form(field: Column, value: Column) -> Column:
+    """What two values of a field must share to say the same: dates as dates, titles and places by key, addresses without their query, else without spacing."""
+    date = F.coalesce(text.parsed_date(value, 1900, 2100).cast("string"), F.trim(value))
+    place, address = F.coalesce(text.identity_key(value), F.lit("")), F.lower(F.regexp_replace(value, r"\?.*$", ""))
+    return (
+        F.when(field == "air_date", date).when(field == "title", text.title_key(value)).when(field == "location", place)
+        .when(field == "image_url", address).otherwise(F.trim(F.regexp_replace(value, r"\s+", " ")))
+    )
+
+
+def refusal(field: Column, old: Column, new: Column, confidence: Column, weaker: Column) -> Column:
+    """Why a differing value must not replace a stored one, or null: a weaker source, lost or shrunken text, thin backing.
+
+    Reasons are tried in this order. A title must keep its descriptor and half its length; a
+    synopsis must keep half its length and not be the old one cut short; dates and places need
+    more than one low-trust source, dates also sources that agree; other texts over 40
+    characters must keep two fifths.
+    """
+    was, now = text.title_descriptor(old), text.title_descriptor(new)
+    letters = lambda v: F.regexp_replace(F.lower(v), r"[^\p{L}\p{N}]+", "")
+    shorter = lambda a, b, share: F.length(b) < F.length(a) * share
+    return (
+        F.when(weaker, "weaker source")
+        .when((field == "title") & was.isNotNull() & now.isNull(), "descriptor lost")
+        .when((field == "title") & shorter(was, now, 0.5), "descriptor shrunk")
+        .when((field == "synopsis") & shorter(old, new, 0.5), "shrunk")
+        .when((field == "synopsis") & (letters(old) != "") & F.startswith(letters(old), letters(new)), "cut short")
+        .when(field.isin("air_date", "location") & (confidence == "LOW"), "one low-trust source")
+        .when((field == "air_date") & (confidence == "CONFLICT"), "sources disagree")
+        .when(~field.isin("title", "synopsis", "air_date", "location", "image_url") & (F.length(old) > 40) & shorter(old, new, 0.4), "shrunk")
+    )
+
+
+def diff_fields(existing: DataFrame, resolved: DataFrame, authority: Column) -> DataFrame:
+    """(entity, field, change, reason, old, new, applied): what a resolved value does to a stored one.
+
+    ``existing``: entity, field, old, old_source. ``resolved``: entity, field, new, source,
+    confidence. ``authority`` ranks the sources by name, as an expression over a column
+    ``source``. change is ADDED, UNCHANGED, REJECTED, CONFLICT (allowed, but sources disagree),
+    CHANGED, or KEPT where nothing new came for a stored value. An empty value never replaces one.
+    """
+    known = existing.withColumnRenamed("old_source", "source").withColumns({"old_rank": authority, "old_form": field_form(F.col("field"), F.col("old"))})
+    fresh = resolved.withColumns({"new_rank": authority, "new_form": field_form(F.col("field"), F.col("new"))})
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    joined = known.withColumnRenamed("source", "old_source").join(fresh, ["entity", "field"], "full").where(has("old") | has("new"))
+    same = has("old") & has("new") & (F.col("old_form") == F.col("new_form"))
+    weaker = F.coalesce((F.col("new_rank") < F.col("old_rank")) & (F.col("source") != F.col("old_source")), F.lit(False))
+    why = refusal(F.col("field"), F.col("old"), F.col("new"), F.coalesce("confidence", F.lit("")), weaker)
+    change = (
+        F.when(~has("new"), "KEPT")
+        .when(~has("old"), "ADDED")
+        .when(F.col("same"), "UNCHANGED")
+        .when(F.col("reason").isNotNull(), "REJECTED")
+        .when(F.col("confidence") == "CONFLICT", "CONFLICT")
+        .otherwise("CHANGED")
+    )
+    told = joined.withColumn("same", F.coalesce(same, F.lit(False)))
+    told = told.withColumn("reason", F.when(has("old") & has("new") & ~F.col("same"), why)).withColumn("change", change)
+    return told.select("entity", "field", "change", "reason", "old", "new", F.col("change").isin("ADDED", "CHANGED", "CONFLICT").alias("applied"))

@@ -163,6 +163,60 @@ def change_summary(spark, d):
     return _diff(spark, d).groupBy("change").agg(F.count("*").alias("n"))
 
 
+# Stored and new values of six fields of a part, from its columns; new ones in other formats, shortened, or gone.
+_FIELDS = """f AS (SELECT p_partkey AS entity, t.f AS field, 's' || p_partkey % 4 AS old_source, 's' || (p_partkey // 4) % 4 AS source,
+CASE p_size % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'CONFLICT' END AS confidence,
+CASE f WHEN 'title' THEN 'Episode #' || p_size || ' - ' || p_name WHEN 'synopsis' THEN p_name || ', ' || p_brand || ' of the ' || p_type || ' kind' WHEN 'air_date' THEN '2024-03-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0')
+WHEN 'location' THEN p_brand || ', ' || p_type WHEN 'image_url' THEN 'https://a.example/' || p_name || '.jpg?v=1' ELSE p_name || ' - ' || p_type || ' - ' || p_brand || ' - ' || p_partkey || ' notes' END AS v
+FROM part, (VALUES ('title'), ('synopsis'), ('air_date'), ('location'), ('image_url'), ('notes')) t(f)),
+p AS (SELECT *, CASE WHEN entity % 11 = 0 THEN NULL ELSE v END AS old, CASE entity % 7 WHEN 0 THEN upper(v) WHEN 1 THEN replace(v, ' ', '  ') WHEN 2 THEN CASE field WHEN 'air_date' THEN replace(v, '-', '.') ELSE left(v, 12) END
+WHEN 3 THEN ' ' WHEN 4 THEN CASE field WHEN 'air_date' THEN '9 May 2023' ELSE v || ' and others' END WHEN 5 THEN replace(v, '?v=1', '?v=2') ELSE left(v, (length(v) * 3 // 4)::INT) END AS new FROM f),
+d AS (SELECT *, trim(regexp_extract(trim(old), '^Episode\\s*#\\d+\\s*-\\s*(.+)$', 1)) AS od, trim(regexp_extract(trim(new), '^Episode\\s*#\\d+\\s*-\\s*(.+)$', 1)) AS nd,
+CASE old_source WHEN 's0' THEN 3 WHEN 's1' THEN 2 ELSE 1 END AS orank, CASE source WHEN 's0' THEN 3 WHEN 's1' THEN 2 ELSE 1 END AS nrank FROM p),
+k AS (SELECT *, lower(regexp_replace(CASE WHEN od <> '' THEN od ELSE old END, '[^A-Za-z0-9]', '', 'g')) AS okey, lower(regexp_replace(CASE WHEN nd <> '' THEN nd ELSE new END, '[^A-Za-z0-9]', '', 'g')) AS nkey,
+coalesce(trim(old), '') <> '' AS ho, coalesce(trim(new), '') <> '' AS hn FROM d),
+s AS (SELECT *, CASE field WHEN 'air_date' THEN old = replace(CASE WHEN new LIKE '%May%' THEN '2023-05-09' ELSE new END, '.', '-') WHEN 'title' THEN okey = nkey
+WHEN 'location' THEN lower(regexp_replace(old, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(new, '[^A-Za-z0-9]', '', 'g')) WHEN 'image_url' THEN lower(regexp_replace(old, '\\?.*$', '')) = lower(regexp_replace(new, '\\?.*$', ''))
+ELSE trim(regexp_replace(old, '\\s+', ' ', 'g')) = trim(regexp_replace(new, '\\s+', ' ', 'g')) END AS same FROM k),
+r AS (SELECT *, CASE WHEN NOT (ho AND hn) OR same THEN NULL WHEN nrank < orank AND source <> old_source THEN 'weaker source' WHEN field = 'title' AND od <> '' AND nd = '' THEN 'descriptor lost'
+WHEN field = 'title' AND od <> '' AND length(nd) < length(od) * 0.5 THEN 'descriptor shrunk' WHEN field = 'synopsis' AND length(new) < length(old) * 0.5 THEN 'shrunk'
+WHEN field = 'synopsis' AND starts_with(lower(regexp_replace(old, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(new, '[^A-Za-z0-9]', '', 'g'))) THEN 'cut short'
+WHEN field IN ('air_date', 'location') AND confidence = 'LOW' THEN 'one low-trust source' WHEN field = 'air_date' AND confidence = 'CONFLICT' THEN 'sources disagree'
+WHEN field = 'notes' AND length(old) > 40 AND length(new) < length(old) * 0.4 THEN 'shrunk' END AS reason FROM s)
+SELECT entity, field, CASE WHEN NOT hn THEN 'KEPT' WHEN NOT ho THEN 'ADDED' WHEN same THEN 'UNCHANGED' WHEN reason IS NOT NULL THEN 'REJECTED' WHEN confidence = 'CONFLICT' THEN 'CONFLICT' ELSE 'CHANGED' END AS change, reason FROM r WHERE ho OR hn"""
+
+
+@query("field_changes", "WITH " + _FIELDS)
+def field_changes(spark, d):
+    part = table(spark, d, "part")
+    c, key = F.concat, F.col("p_partkey")
+    lit = F.lit
+    values = {
+        "title": c(lit("Episode #"), F.col("p_size").cast("string"), lit(" - "), "p_name"),
+        "synopsis": c("p_name", lit(", "), "p_brand", lit(" of the "), "p_type", lit(" kind")),
+        "air_date": c(lit("2024-03-"), F.lpad((1 + F.col("p_size") % 28).cast("string"), 2, "0")),
+        "location": c("p_brand", lit(", "), "p_type"),
+        "image_url": c(lit("https://a.example/"), "p_name", lit(".jpg?v=1")),
+        "notes": c("p_name", lit(" - "), "p_type", lit(" - "), "p_brand", lit(" - "), key.cast("string"), lit(" notes")),
+    }
+    rows = part.select(key.alias("entity"), "p_size", F.explode(F.array(*[F.struct(lit(f).alias("field"), v.alias("v")) for f, v in values.items()])).alias("f"))
+    rows = rows.select("entity", "p_size", "f.*")
+    source = lambda n: c(lit("s"), (n % 4).cast("string"))
+    existing = rows.where("entity % 11 <> 0").select("entity", "field", F.col("v").alias("old"), source(F.col("entity")).alias("old_source"))
+    k, v, dated = F.col("entity") % 7, F.col("v"), F.col("field") == "air_date"
+    new = (
+        F.when(k == 0, F.upper(v)).when(k == 1, F.replace(v, lit(" "), lit("  ")))
+        .when(k == 2, F.when(dated, F.replace(v, lit("-"), lit("."))).otherwise(F.left(v, lit(12))))
+        .when(k == 3, " ").when(k == 4, F.when(dated, "9 May 2023").otherwise(c(v, lit(" and others"))))
+        .when(k == 5, F.replace(v, lit("?v=1"), lit("?v=2"))).otherwise(F.left(v, F.floor(F.length(v) * 3 / 4).cast("int")))
+    )
+    size = F.col("p_size") % 3
+    confidence = F.when(size == 0, "LOW").when(size == 1, "HIGH").otherwise("CONFLICT")
+    resolved = rows.select("entity", "field", new.alias("new"), source(F.floor(F.col("entity") / 4)).alias("source"), confidence.alias("confidence"))
+    authority = F.when(F.col("source") == "s0", 3).when(F.col("source") == "s1", 2).otherwise(1)
+    return ops.diff_fields(existing, resolved, authority).select("entity", "field", "change", "reason")
+
+
 @query("upsert", """SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(a, c_acctbal) AS c_acctbal, c_mktsegment FROM customer FULL JOIN (
 SELECT CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS k, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE max(o_totalprice) END AS a FROM orders GROUP BY o_custkey) ON k = c_custkey""")
 def upsert(spark, d):
