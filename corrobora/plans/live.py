@@ -8,7 +8,7 @@ from corrobora.operators import commits
 from corrobora.plans.base import table, tables
 from corrobora.plans.registry import query
 from corrobora.sources.shared import shared_folder
-from corrobora.streaming import health, resume
+from corrobora.streaming import health, resume, runs
 
 
 @query("resumed_run", """SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'done' END AS outcome FROM events""")
@@ -81,3 +81,41 @@ def manual_create(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+_KINDS = "CASE WHEN event_type IN ('view', 'click') THEN 'beat' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'fail' END"
+_MACHINE = f"""WITH e AS (SELECT user_id AS run, ts, event_id, {_KINDS} AS kind, (SELECT max(ts) FROM events WHERE event_type <> 'signup') - INTERVAL 10 MINUTE AS horizon FROM events WHERE event_type <> 'signup'),
+s AS (SELECT *, CASE kind WHEN 'beat' THEN 'running' WHEN 'done' THEN 'completed' ELSE 'failed' END AS status, ts + INTERVAL 6 HOUR AS quiet, lead(ts) OVER w AS nxt, count(*) FILTER (kind = 'done') OVER w AS finished
+FROM e WINDOW w AS (PARTITION BY run ORDER BY ts, event_id)),
+q AS (SELECT *, status = 'running' AND coalesce(nxt, horizon) >= quiet AS silent, (count(*) FILTER (kind = 'fail') OVER (PARTITION BY run, finished ORDER BY ts, event_id))::INT AS attempts FROM s),
+b AS (SELECT *, coalesce(lag(CASE WHEN silent THEN 'paused' ELSE status END) OVER (PARTITION BY run ORDER BY ts, event_id), 'created') AS before FROM q)
+SELECT run, strftime(t, '%Y-%m-%d %H:%M:%S') AS told_at, before, after, attempts, strftime(next_at, '%Y-%m-%d %H:%M:%S') AS next_at FROM (
+SELECT run, ts AS t, before, status AS after, attempts, CASE WHEN kind = 'fail' THEN ts + to_seconds(least(864000, (3600 * least(16, pow(2, greatest(attempts - 1, 0))))::INT)) END AS next_at FROM b WHERE kind = 'fail' OR status <> before
+UNION ALL SELECT run, quiet, 'running', 'paused', attempts, NULL FROM b WHERE silent)"""
+
+
+def _run_events(events):
+    kind = F.when(F.col("event_type").isin("view", "click"), "beat").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail")
+    return events.select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"))
+
+
+def _told(found):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select("run", text("at").alias("told_at"), "before", "after", "attempts", text("next_at").alias("next_at"))
+
+
+@query("run_transitions", _MACHINE)
+def run_transitions(spark, d):
+    events = _run_events(table(spark, d, "events")).where("kind IS NOT NULL")
+    newest = events.agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("horizon"))
+    return _told(runs.transitions(events.join(F.broadcast(newest)), F.col("horizon"), silence=6 * 3600))  # one row
+
+
+@query("live_runs", _MACHINE)
+def live_runs(spark, d):
+    """``run_transitions`` by a stream with state and timers."""
+    root = shared_folder(spark, "runs")
+    with runs.state_store(spark):
+        stream = runs.live_transitions(_run_events(health.read_events(spark, f"{d}/events.parque[t]")), silence=6 * 3600)
+        health.run_once(stream, f"{root}/out", f"{root}/checkpoint")
+    return _told(spark.read.schema(runs.SCHEMA).parquet(f"{root}/out"))
