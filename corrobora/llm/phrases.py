@@ -31,6 +31,8 @@ POSITIONS, WORDS = 2_000_000, 1_000_000
 #: Parts of a language that are ranked alone before its best phrases are.
 SALTS = 64
 _END = b"."
+#: Between a node's words and its language; line ends part pieces, so no word holds one.
+_LANG = "\n"
 #: A-Z to lower case; marks and line ends that part pieces to one of them.
 _TABLE = bytes(
     _END[0] if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256)
@@ -84,67 +86,94 @@ class _Counter:
             for i in range(0, len(counts), 1 << 16):
                 part = [c[i : i + (1 << 16)] for c in columns]
                 n = len(part[0])
-                arrays = [words.take(pa.array(c, mask=c == 0)) for c in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), *arrays, pa.array(counts[i : i + n], pa.int64())],
-                    names=["lang", *(f"w{k}" for k in range(1, self.size + 1)), "n"],
-                )
+                *first, last = [words.take(pa.array(c, mask=c == 0)) for c in part]
+                node = pc.binary_join_element_wise(*first, " ", null_handling="skip")
+                node = pc.binary_join_element_wise(node, pa.scalar(lang), _LANG)
+                yield pa.RecordBatch.from_arrays([node, last, pa.array(counts[i : i + n], pa.int64())], names=["node", "last", "n"])
         self._clear()
 
 
+def _summed(keys: pa.Array, sums: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    coded = keys.dictionary_encode()
+    out = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(out, coded.indices.to_numpy(), sums)
+    return coded.dictionary, out
+
+
 class _Flow:
-    """Sums of each prefix of sorted rows; what a batch leaves open goes on in the next."""
+    """Sums of edges and nodes over sorted rows; what a batch leaves open goes on in the next."""
 
     def __init__(self, size: int, least: int):
         self.size, self.least = size, least
-        self.key: list | None = None
-        self.open = [0] * (size + 1)
-
-    def _rows(self, level: int, columns: list[pa.Array], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Counts of ``level`` words; those that no other partition adds to must be frequent."""
-        keep = sums >= (self.least if level >= self.size - 1 and level else 1)
-        if level:
-            keep &= ~np.asarray(pc.is_null(columns[level]))
-        if keep.any():
-            columns = [c.filter(pa.array(keep)) for c in columns[: level + 1]]
-            n = int(keep.sum())
-            text = pc.binary_join_element_wise(*columns[1:], " ") if level > 1 else columns[1] if level else pa.array([""] * n)
+        self.key: tuple | None = None
+        self.edge = self.node = 0
+
+    @staticmethod
+    def _rows(size: int, lang: pa.Array, phrase: pa.Array, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(sums):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, level, np.int32)), columns[0], text, pa.array(sums[keep], pa.int64())],
-                names=["size", "lang", "phrase", "n"],
+                [pa.array(np.full(len(sums), size, np.int32)), lang, phrase, pa.array(sums, pa.int64())], names=["size", "lang", "phrase", "n"]
             )
 
-    def _close(self, level: int) -> Iterator[pa.RecordBatch]:
-        columns = [pa.array([v], pa.string()) for v in self.key]
-        yield from self._rows(level, columns, np.array([self.open[level]]))
+    @staticmethod
+    def _parted(keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+        parts = pc.split_pattern(keys, _LANG, max_splits=1)
+        return pc.list_element(parts, 0), pc.list_element(parts, 1)
+
+    def _edges(self, nodes: pa.Array, last: pa.Array, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = pa.array((sums >= self.least) & ~np.asarray(pc.is_null(last)))
+        words, lang = self._parted(nodes.filter(keep))
+        yield from self._rows(self.size, lang, pc.binary_join_element_wise(words, last.filter(keep), " "), sums[np.asarray(keep)])
+
+    def _nodes(self, nodes: pa.Array, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole nodes, which no other partition adds to, if frequent; parts of the counts of all shorter prefixes."""
+        words, lang = self._parted(nodes)
+        held = pc.add(pc.count_substring(words, " "), 1).to_numpy()
+        keep = (held == self.size - 1) & (sums >= self.least)
+        yield from self._rows(self.size - 1, lang.filter(pa.array(keep)), words.filter(pa.array(keep)), sums[keep])
+        langs, total = _summed(lang, sums)
+        yield from self._rows(0, langs, pa.array([""] * len(total)), total)
+        for m in range(1, self.size - 1):
+            mine = held >= m
+            first = pc.binary_join(pc.list_slice(pc.split_pattern(words.filter(pa.array(mine)), " "), 0, m), " ")
+            keys, part = _summed(pc.binary_join_element_wise(first, lang.filter(pa.array(mine)), _LANG), sums[mine])
+            phrase, of = self._parted(keys)
+            yield from self._rows(m, of, phrase, part)
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        columns = [batch.column(i) for i in range(self.size + 1)]
-        n = batch.column(self.size + 1).to_numpy()
-        first = [c[0].as_py() for c in columns]
-        changed = np.zeros(len(n), bool)
-        changed[0] = self.key is None
-        for level, c in enumerate(columns):
-            code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            changed[1:] |= code[1:] != code[:-1]
-            changed[0] |= self.key is not None and first[level] != self.key[level]
-            starts = np.flatnonzero(changed)
-            if self.key is not None and changed[0]:
-                yield from self._close(level)
-                self.open[level] = 0
-            at = starts if changed[0] else np.r_[0, starts]
+        nodes, last, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+        moved, changed = np.zeros(len(n), bool), np.zeros(len(n), bool)
+        for mask, column in ((moved, nodes), (changed, last)):
+            code = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            mask[1:] = code[1:] != code[:-1]
+        if self.key is not None:
+            moved[0] = nodes[0].as_py() != self.key[0]
+            changed[0] = last[0].as_py() != self.key[1]
+        for what, mask in (("edge", moved | changed), ("node", moved)):
+            if mask[0]:
+                yield from self._close(what)
+            at = np.flatnonzero(mask)
+            at = at if mask[0] else np.r_[0, at]
             sums = np.add.reduceat(n, at)
-            sums[0] += self.open[level]
-            self.open[level] = int(sums[-1])
+            sums[0] += getattr(self, what)
+            setattr(self, what, int(sums[-1]))
             if len(at) > 1:
                 done = pa.array(at[:-1])
-                yield from self._rows(level, [x.take(done) for x in columns[: level + 1]], sums[:-1])
-        self.key = [c[-1].as_py() for c in columns]
+                of = nodes.take(done)
+                yield from self._edges(of, last.take(done), sums[:-1]) if what == "edge" else self._nodes(of, sums[:-1])
+        self.key = nodes[-1].as_py(), last[-1].as_py()
 
-    def close(self) -> Iterator[pa.RecordBatch]:
+    def _close(self, what: str) -> Iterator[pa.RecordBatch]:
+        """Hand on the edge or node that is open."""
         if self.key is not None:
-            for level in range(self.size + 1):
-                yield from self._close(level)
+            node, last = (pa.array([k], pa.string()) for k in self.key)
+            sums = np.array([getattr(self, what)])
+            yield from self._edges(node, last, sums) if what == "edge" else self._nodes(node, sums)
+        setattr(self, what, 0)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        yield from self._close("edge")
+        yield from self._close("node")
 
 
 def phrase_counts(docs: DataFrame, size: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -156,7 +185,6 @@ def phrase_counts(docs: DataFrame, size: int = 3, least: int = 10, text_col: str
     """
     if size < 2 or least < 1:
         raise ValueError("phrases have two words at least and come once at least")
-    keys = ["lang", *(f"w{k}" for k in range(1, size + 1))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter(size)
@@ -177,8 +205,8 @@ def phrase_counts(docs: DataFrame, size: int = 3, least: int = 10, text_col: str
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    rows = texts.mapInArrow(count, ", ".join(f"{k} string" for k in keys) + ", n long")
-    dealt = rows.repartition(*keys[:-1]).sortWithinPartitions(*keys)
+    rows = texts.mapInArrow(count, "node string, last string, n long")
+    dealt = rows.repartition("node").sortWithinPartitions("node", "last")
     parts = dealt.mapInArrow(flow, "size int, lang string, phrase string, n long")
     return parts.groupBy("size", "lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("size") == 0) | (F.col("n") >= least))
 
