@@ -1,7 +1,7 @@
 """Text, name, place, link and date expressions as column functions, without UDFs.
 
-Lengths and truncations count code points. Identity keys fold case and Latin accents and keep
-other scripts as they are (there is no built-in romanisation of Hangul).
+Lengths and truncations count code points. Identity keys fold case and Latin accents and
+romanise Cyrillic, Greek and Hangul; other scripts stay as they are.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corrobora.functions import scripts
+
 # The entities that occur in scraped text.
 ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
@@ -36,8 +38,14 @@ def fold(text: Column) -> Column:
 
 
 def identity_key(text: Column) -> Column:
-    """Letters and digits of the folded text; null if there are none."""
-    return F.nullif(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+    """Letters and digits of the folded and romanised text; null if there are none."""
+    return F.nullif(F.regexp_replace(scripts.romanised(fold(text)), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+
+
+def restates(text: Column, other: Column, lead: str = "The mission: ") -> Column:
+    """Whether a text only says what ``other`` says: equal but for a last full stop, or begun with ``lead`` and holding it."""
+    bare = lambda c: F.rtrim(F.trim(c), F.lit("."))
+    return (bare(text) == bare(other)) | (F.startswith(text, F.lit(lead)) & F.contains(F.substr(text, F.lit(len(lead) + 1)), bare(other)))
 
 
 def entity_number(text: Column, low: int = 1, high: int = 2000) -> Column:

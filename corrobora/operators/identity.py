@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.sources.shared import written
+
 
 def near_names(df: DataFrame, key: str, name: str, most: int = 2, shortest: int = 1, lenient: int = 1) -> DataFrame:
     """Pairs (a, b, distance) of distinct names within ``most`` edits, a before b.
@@ -44,7 +46,8 @@ def near_names(df: DataFrame, key: str, name: str, most: int = 2, shortest: int
 
 def gradient_hash(vector: Column) -> Column:
     """A hash whose bit i tells whether component i + 1 exceeds component i, for up to 64 components."""
-    pairs = F.zip_with(F.slice(vector, 2, 63), F.slice(vector, 1, 63), lambda b, a: F.when(b > a, 1).otherwise(0))
+    steps = F.greatest(F.least(F.size(vector) - 1, F.lit(63)), F.lit(0))
+    pairs = F.zip_with(F.slice(vector, F.lit(2), steps), F.slice(vector, F.lit(1), steps), lambda b, a: F.when(b > a, 1).otherwise(0))
     return F.aggregate(pairs, F.lit(0).cast("long"), lambda h, x: h * 2 + x)
 
 
@@ -86,3 +89,51 @@ def suspected_duplicates(reasons: dict[str, DataFrame], strong: str) -> DataFram
         every = every.unionByName(more)
     found = every.groupBy("a", "b").agg(F.array_sort(F.collect_set("why")).alias("reasons"))
     return found.where((F.size("reasons") >= 2) | F.array_contains("reasons", strong))
+
+
+def greedy_groups(pairs: DataFrame) -> DataFrame:
+    """(node, seed): near-duplicate groups as a walk in order makes them, from ``pairs`` (a, b) with a before b.
+
+    Nodes are taken in their order; one that no group has yet is a seed and takes all its
+    neighbours that no group has. Seeds are the first independent set in that order: a node is
+    a seed when none before it can be any more. Each round settles all nodes without an open
+    neighbour before them, and drops those and their neighbours; its open pairs are written
+    out. Groups differ from connected components: two members need not be near each other.
+    Seeds without members and nodes in no pair do not come; a seed comes with itself as seed.
+    """
+    links = pairs.where("a < b").select("a", "b").distinct()
+    links = written(links)
+    open_, taken = links, None
+    while not open_.isEmpty():
+        first = open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+        now = open_.join(first.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        gone = written(first.withColumn("seed", F.lit(True)).unionByName(now.withColumn("seed", F.lit(False))))
+        lost = gone.where("NOT seed").select("node")
+        taken = lost if taken is None else taken.unionByName(lost)
+        for end in ("a", "b"):
+            open_ = open_.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+        open_ = written(open_.select("a", "b"))
+    if taken is None:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("seed"))
+    free = links.join(taken.withColumnRenamed("node", "a"), "a", "left_anti")
+    members = free.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("seed"))
+    return members.unionByName(members.select(F.col("seed").alias("node"), "seed").distinct())
+
+
+def prefix_pairs(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str, longest: int = 1 << 20) -> DataFrame:
+    """``texts`` joined with the ``prefixes`` that they begin with (column names must differ; empty prefixes match nothing).
+
+    A prefix is filed by the hash of its longest beginning of 1, 2, 4, ... characters, a text
+    asks with each of its own such beginnings: about log2 of its length, whatever lengths
+    prefixes have. Pairs that meet are compared whole. Prefixes over ``longest`` characters
+    are filed by that many.
+    """
+    powers = [1 << i for i in range(longest.bit_length())]
+    at = lambda c, n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring(c, 1, n)).alias("h"))
+    filing = F.lit(None)
+    for n in powers:
+        filing = F.when(F.length(prefix) >= n, at(prefix, n)).otherwise(filing)
+    filed = prefixes.where(F.length(prefix) > 0).withColumn("__at", filing)
+    asks = F.array_compact(F.array(*(F.when(F.length(text) >= n, at(text, n)) for n in powers)))
+    asked = texts.withColumn("__at", F.explode(asks))
+    return asked.join(filed, "__at").where(F.startswith(text, prefix)).drop("__at")

@@ -149,3 +149,29 @@ def worst_severity(df: DataFrame, group: str, severity: str, ladder: list[str])
     found = df.groupBy(group).agg(F.count("*").alias("issues"), F.max(rank).alias("__r"))
     name = F.element_at(F.array(*[F.lit(s) for s in ladder]), F.col("__r").cast("int"))
     return found.select(group, "issues", name.alias("worst"))
+
+
+def detected_latest(signals: DataFrame, archive: DataFrame, high: int = 2000, apart: int = 3, jump: int = 30) -> DataFrame:
+    """(entity, latest, spread, confidence, cut): the newest number by what sources report, with disagreement told.
+
+    ``signals``: entity, source, n. ``archive``: entity, known, the largest number that is
+    stored, which is the floor and never a witness. Numbers outside 1 to ``high`` - 1 are no
+    signals. Of three or more signals, those over ``jump`` away from the middle one are cut
+    first. The latest is the largest that is left; signals more than ``apart`` from each other
+    are a conflict, equal ones give high confidence, others medium. A latest over ``jump`` past
+    the archive is taken for an error: the archive's stays. An entity has few sources.
+    """
+    usable = signals.where((F.col("n") > 0) & (F.col("n") < high)).groupBy("entity").agg(F.array_sort(F.collect_list("n")).alias("all"))
+    middle = F.element_at("all", F.floor((F.size("all") + 1) / 2).cast("int"))
+    kept = F.when(F.size("all") >= 3, F.filter("all", lambda n: F.abs(n - F.col("middle")) <= jump)).otherwise(F.col("all"))
+    judged = archive.join(usable.withColumn("middle", middle).withColumn("kept", kept), "entity", "left")
+    latest, spread = F.array_max("kept"), F.array_max("kept") - F.array_min("kept")
+    far = (F.col("known") > 0) & (latest > F.col("known") + jump)
+    confidence = F.when(latest.isNull(), "low").when(far, "conflict").when(spread > apart, "conflict").when(spread == 0, "high").otherwise("medium")
+    return judged.select(
+        "entity",
+        F.when(latest.isNull() | far, F.nullif("known", F.lit(0))).otherwise(latest).alias("latest"),
+        F.coalesce(spread, F.lit(0)).alias("spread"),
+        confidence.alias("confidence"),
+        F.coalesce(F.size("all") - F.size("kept"), F.lit(0)).alias("cut"),
+    )

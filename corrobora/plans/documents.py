@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corrobora.plans.base import table
 from corrobora.plans.registry import query
-from corrobora.sources import documents
+from corrobora.sources import documents, markup
 
 # A payload for each event: its own properties (JSON text) at several depths and in several orders of keys.
 _PAYLOAD = """CASE event_id % 5
@@ -31,3 +31,21 @@ def json_search(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", F.expr(_PAYLOAD.replace("\\", "\\\\")).alias("payload"))
     found = documents.first_node(events, "payload", lambda text: documents.mentions(text, F.col("user_id")))
     return found.where("found IS NOT NULL").select("event_id", "found.path", "found.name", "found.value")
+
+
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&')"
+_PLAIN = "trim(regexp_replace({}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query("page_heading", f"""SELECT page_id, nullif({_PLAIN.format(_ENTITIES.format("regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '<[^>]*>', '', 'g')"))}, '') AS heading FROM pages""")
+def page_heading(spark, d):
+    """The first heading that a page has, by paths over its markup."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    paths = ["//article/h1[contains(@class,'title')]", "//h1", "//head/title", "//body//text()"]
+    return markup.first_text(pages, "html", paths, "heading").select("page_id", "heading")
+
+
+@query("nav_links", f"""SELECT page_id, generate_subscripts(a, 1) - 1 AS pos, {_ENTITIES.format("unnest(a)")} AS text FROM (
+SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href="([^"]*)"', 1) AS a FROM pages)""")
+def nav_links(spark, d):
+    return markup.found_texts(table(spark, d, "pages"), "page_id", "html", "//nav/ul/li/a/@href")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, for rounds that would repeat all before them."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "round")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
