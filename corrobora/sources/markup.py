@@ -40,28 +40,25 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def below(self) -> Iterator[Node]:
-        """Elements below, in document order."""
-        stack = [iter(self.children)]
+    def walk(self) -> Iterator[tuple[Node, Node | str]]:
+        """Elements and texts below, in document order, each with what holds it."""
+        stack = [(self, iter(self.children))]
         while stack:
-            child = next(stack[-1], None)
+            parent, kids = stack[-1]
+            child = next(kids, None)
             if child is None:
                 stack.pop()
-            elif isinstance(child, Node):
-                yield child
-                stack.append(iter(child.children))
+                continue
+            yield parent, child
+            if isinstance(child, Node):
+                stack.append((child, iter(child.children)))
+
+    def below(self) -> Iterator[Node]:
+        """Elements below, in document order."""
+        return (c for _, c in self.walk() if isinstance(c, Node))
 
     def text(self) -> str:
-        parts, stack = [], [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, Node):
-                stack.append(iter(child.children))
-            else:
-                parts.append(child)
-        return "".join(parts)
+        return "".join(c for _, c in self.walk() if isinstance(c, str))
 
 
 class _Builder(HTMLParser):
@@ -158,24 +155,22 @@ def follow(root: Node, path: str) -> list[Node | str]:
     """
     here: list[Node] = [root]
     for deep, name, conditions in _steps(path):
-        if name[0] == "@" or name == "text()":
-            among = [m for n in here for m in ([n, *n.below()] if deep else [n])]
-            if name == "text()":
-                return [c for n in among for c in n.children if isinstance(c, str)]
-            return [n.attrs[name[1:]] for n in among if name[1:] in n.attrs]
-        found, seen = [], set()
-        for parent in [m for n in here for m in ([n, *n.below()] if deep else [n])]:
+        among = [m for n in here for m in ([n, *n.below()] if deep else [n])]
+        if name == "text()":
+            wanted = {id(n) for n in among}
+            return [c for parent, c in root.walk() if isinstance(c, str) and id(parent) in wanted]
+        if name[0] == "@":
+            wanted = {id(n) for n in among}
+            return [n.attrs[name[1:]] for n in [root, *root.below()] if id(n) in wanted and name[1:] in n.attrs]
+        found: dict[int, Node] = {}
+        for parent in among:
             kids = [c for c in parent.children if isinstance(c, Node) and name in ("*", c.tag)]
             for condition in conditions:
                 kids = kids[condition - 1 : condition] if isinstance(condition, int) else [k for k in kids if condition(k)]
-            for k in kids:
-                if id(k) not in seen:
-                    seen.add(id(k))
-                    found.append(k)
-        if deep and len(found) > 1:
-            place = {id(n): i for i, n in enumerate(root.below())}
-            found.sort(key=lambda n: place[id(n)])
-        here = found
+            found |= {id(k): k for k in kids}
+        here = list(found.values())
+        if len(here) > 1 and len(among) > 1:
+            here = [n for n in root.below() if id(n) in found]
     return here
 
 
