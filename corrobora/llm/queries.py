@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,12 +53,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(score_quality(docs, model), 5, 0, QUALITY_THRESHOLD)
 
 
-#: Replacements depend on the secret in this setting; without it, on the name of the library.
+#: Replacements depend on the secret in this setting; without it each run draws its own, so that nobody can repeat them.
 SURROGATE_KEY = "spark.corrobora.surrogate.key"
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(read_table(spark, sf_dir, "documents"), spark.conf.get(SURROGATE_KEY, "corrobora"))
+    return replace_personal_data(read_table(spark, sf_dir, "documents"), spark.conf.get(SURROGATE_KEY, None) or secrets.token_hex(32))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 r"""Surrogates for personal data: keyed, type-consistent replacements, in SQL functions only.
 
 Entities are found by one pattern over the whole text (addresses, cards, accounts, phones,
-numbers of the form ddd-dd-dddd, IPv4, secrets, names after a title or after words such as
+numbers of the form ddd-dd-dddd, IPv4 and IPv6, secrets, keys with an issuer's prefix, names after a title or after words such as
 "my name is", in scripts with capitals and without). Each distinct entity gets one replacement
 everywhere. Its characters come from an HMAC-SHA-512 stream under the caller's key: digits
 become digits, letters become letters of the same case and script, the rest of the format
-stays; cards keep a valid check digit. A name is replaced part by part, so that the family
+stays; cards and accounts keep valid check digits. A name is replaced part by part, so that the family
 name alone and the full name share a surrogate: given and family names follow the title's
 gender and the name's script; particles (van, de) stay. Collision checks compare all
 replacements with one another and with all real entities: of those that clash, all but one
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm.common import durable
@@ -26,6 +26,10 @@ from corrobora.llm.common import durable
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "M", "Señor", "Sr", "Sir", "Господин", "г-н", "Κύριος", "Κος")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Madam", "Госпожа", "г-жа", "Κυρία", "Κα")
 OTHER_TITLES = ("Dr", "Prof")
+# Titles count in capitals too, as in headings.
+MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = (
+    tuple(dict.fromkeys((*titles, *(t.upper() for t in titles)))) for titles in (MALE_TITLES, FEMALE_TITLES, OTHER_TITLES)
+)
 # Titles before names in scripts without capitals (Arabic, Hebrew, Hindi).
 MALE_CASELESS = ("السيد", "מר", "श्री")
 FEMALE_CASELESS = ("السيدة", "גברת", "श्रीमती")
@@ -38,12 +42,19 @@ CUES = ("my name is", "My name is", "Name:", "name:", "Mein Name ist", "mein Nam
         "me llamo", "Me llamo", "меня зовут", "Меня зовут")
 PARTICLES = ("van", "von", "der", "den", "de", "del", "la", "le", "da", "di", "bin", "ibn", "al", "el")
 
+# Family names in Latin letters: each beginning with each ending.
+_ROOTS = "Al Berg Brand Dal Eber Ever Fal Feld Grim Hal Hart Holm Kel Lang Lind Mar Mel Nor Ost Rem Ros Sand Stein Tor Wal Wes"
+_ENDINGS = "berg by dahl den feld gard ham hart holm lund man mann mer more ner quist rick rup sen son stad stein ström ter ton vik ward well"
 # Common given and family names by script.
 NAMES = {
     "latin": {
-        "m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Marc Noel Oscar Paul",
-        "f": "Alma Bella Clara Diana Emma Flora Greta Helen Irma Julia Klara Lena Maria Nora Olga Paula",
-        "family": "Abel Berg Costa Durand Ebert Falk Garcia Holm Iver Janson Keller Lopez Moreau Neumann Ortiz Petit",
+        "m": "Adam Albert Andre Anton Arthur Bruno Carl Cesar Daniel David Edgar Emil Erik Felix Frank Georg Gustav Henri Hugo Ivan "
+        "Jakob Jonas Julian Karl Kurt Leo Louis Lukas Marc Martin Max Noel Olaf Oscar Otto Paul Peter Rafael Robert Samuel Simon Theo "
+        "Thomas Tomas Victor Walter Wilhelm Xavier",
+        "f": "Adele Agnes Alma Anita Anna Bella Carla Celia Clara Diana Edith Elena Emma Erika Eva Flora Frida Greta Hanna Helen "
+        "Ida Ines Irma Irene Julia Karin Klara Laura Lena Lucia Maria Marta Mona Nina Nora Olga Paula Petra Rita Rosa Sara Silvia "
+        "Sofia Stella Teresa Vera Viola Wilma",
+        "family": " ".join(a + b for a in _ROOTS.split() for b in _ENDINGS.split()),
     },
     "cyrillic": {
         "m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Степан Тимур",
@@ -73,6 +84,8 @@ NAMES = {
     "han": {"m": "", "f": "", "family": " ".join(HAN_FAMILIES)},
     "hangul": {"m": "", "f": "", "family": " ".join(HANGUL_FAMILIES)},
 }
+#: Syllables that a first draw adds: none where the lists are long.
+_BARE_FROM = {"latin": 0, "cyrillic": 1, "greek": 1, "arabic": 1, "hebrew": 1, "devanagari": 1}
 _SYLLABLES = {
     "latin": "an ber dal en fer gan hol in kar lin mar nel or per ros sen",
     "cyrillic": "ан бер дал ен фер ган хол ин кар лин мар нел ор пер рос сен",
@@ -97,20 +110,28 @@ _SUFFIX = _any_of(*MALE_SUFFIXES, *FEMALE_SUFFIXES)
 _FIRST = "".join(sorted({w[0] for w in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *CUES) if w[0].isascii()}))
 _BEFORE = rf"^(?:(?:{_TITLE})\.?|{_any_of(*CUES)}|{_CASELESS}) "
 _AFTER = rf" ?(?:{_SUFFIX}|{_any_of(*OTHER_SUFFIXES)})$"
-_WORD = r"\p{Lu}(?:\p{L}{1,30}(?:['’-]\p{L}{1,30}){0,3}|['’]\p{L}{1,30}(?:-\p{L}{1,30})?)"
+_WORD = r"\p{Lu}(?:\p{L}+(?:['’-]\p{L}+)*|['’]\p{L}+(?:-\p{L}+)*)"
 _FULL = rf"(?:\p{{Lu}}\.(?: ?\p{{Lu}}\.){{0,2}} )?{_WORD}(?: (?:(?:{_any_of(*PARTICLES)}) ){{0,2}}(?:\p{{Lu}}\. )?{_WORD}){{0,3}}"
-_PLAIN = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]{2,20}"
+_PLAIN = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]{2,}"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,254}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,126}",
+    # An address starts where its run of letters, digits and marks does, so that each run is read once.
+    "email": r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][._%+-]{1,64})[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "token": r"(?<![0-9A-Za-z_-])(?:(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?[0-9A-Za-z_-]{16,}|gh[pousr]_[0-9A-Za-z]{20,}|github_pat_[0-9A-Za-z_]{20,}"
+    r"|xox[abprs]-[0-9A-Za-z-]{10,}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]{0,63}[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "social": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
+    r"|\+[0-9]{1,3}(?=(?:[ .()-]{1,3}[0-9]{1,4}){2,6}(?![0-9]))(?=(?:[^0-9]{0,3}[0-9]){7,13}(?![0-9]|[ .()-]{1,3}[0-9]))(?:[ .-]{1,2}\(?[0-9]{1,4}\)?){2,6}"
+    r"|0[1-9](?:[ .-][0-9]{2}){4})(?![0-9])",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?=[a-fA-F:]{0,39}[0-9])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![0-9A-Za-z:])",
     "name": rf"(?=[{_FIRST}]|[^\x00-\x7F])(?:(?<!\p{{L}})(?:(?:(?:{_TITLE})\.?|{_any_of(*CUES)}) (?:(?:{_any_of(*PARTICLES)}) ){{0,2}}{_FULL}|(?:{_CASELESS}) {_PLAIN}(?: {_PLAIN})?"
     rf"|[{HANGUL_FAMILIES}]\p{{IsHangul}}{{2}} ?씨)|[{HAN_FAMILIES}]\p{{IsHan}}{{0,2}}(?:{_SUFFIX}))",
 }
+#: What a key's issuer puts before it.
+_PREFIX = r"^(?:(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?|gh[pousr]_|github_pat_|xox[abprs]-|AKIA)"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 _ALPHABETS = {
@@ -156,6 +177,7 @@ def identity(name: Column, entity: Column) -> Column:
         .when(name == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10)))
         .when(name == "account", tight)
         .when(name == "name", spoken)
+        .when(name == "token", entity)
         .otherwise(F.lower(entity))
     )
 
@@ -205,7 +227,7 @@ def _redrawn(who: Column, stream: Column, hexadecimal: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
         return (
-            F.when(hexadecimal, _letter("0123456789abcdef", b))
+            F.when(hexadecimal & c.rlike("[0-9a-f]"), _letter("0123456789abcdef", b))
             .when(c.rlike("[0-9]"), (b % 10).cast("string"))
             .when(c.rlike("[a-z]"), _letter(_ALPHABETS["lower"], b))
             .when(c.rlike("[A-Z]"), F.upper(_letter(_ALPHABETS["lower"], b)))
@@ -230,8 +252,20 @@ def _checked(digits: Column) -> Column:
     return F.concat(body, ((10 - F.aggregate(places, F.lit(0), add) % 10) % 10).cast("string"))
 
 
+def _account(country: Column, body: Column) -> Column:
+    """An account number of a country with valid check digits (modulo 97, letters count from 10)."""
+
+    def add(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    letters = F.split(F.concat(body, country, F.lit("00")), "")
+    check = 98 - F.aggregate(letters, F.lit(0), add)
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
 def _new_name(name: Column, who: Column, stream: Column, attempt: Column) -> Column:
-    """One part of a name, given or family; later attempts add syllables. Hyphenated parts stay so."""
+    """One part of a name, given or family; attempts after the first add syllables. Hyphenated parts stay so."""
     lead, word = F.element_at(F.split(who, " "), 1), F.element_at(F.split(who, " "), -1)
     is_male = (lead == "mr") | ((lead != "mrs") & (_byte(stream, F.lit(0)) % 2 == 0))
     is_given = name == "given"
@@ -239,14 +273,14 @@ def _new_name(name: Column, who: Column, stream: Column, attempt: Column) -> Col
     for script, lists in NAMES.items():
 
         def one(at: int) -> Column:
-            family = _pick(lists["family"], _byte(stream, F.lit(at)))
+            family = _pick(lists["family"], _byte(stream, F.lit(at)) * 256 + _byte(stream, F.lit(at + 7)))
             if not lists["m"]:
                 return family
             given = F.when(is_male, _pick(lists["m"], _byte(stream, F.lit(at)))).otherwise(_pick(lists["f"], _byte(stream, F.lit(at))))
             return F.when(is_given, given).otherwise(family)
 
         # Chinese and Korean names keep their length at first
-        n = attempt + (F.when(is_given, 1).otherwise(2) if lists["m"] else F.length(word) - 1)
+        n = attempt + (F.lit(_BARE_FROM[script]) if lists["m"] else F.length(word) - 1)
         some = F.transform(F.sequence(F.lit(1), n), lambda i: _pick(_SYLLABLES[script], _byte(stream, i + 2)))
         made = F.concat(one(1), F.when(n > 0, F.array_join(some, "")).otherwise(""))
         if lists["m"]:
@@ -258,7 +292,9 @@ def _new_name(name: Column, who: Column, stream: Column, attempt: Column) -> Col
 def _draw(key: str, name: Column, who: Column, attempt: Column) -> Column:
     """The replacement's identity for an attempt."""
     stream = F.col("stream")
-    plain = _redrawn(who, stream, name == "secret")
+    plain = _redrawn(who, stream, name.isin("secret", "ip6"))
+    fixed = F.length(F.regexp_extract(who, _PREFIX, 0))
+    token = F.concat(F.substring(who, F.lit(1), fixed), F.substring(plain, fixed + 1, F.length(who)))
     longer = F.regexp_replace(F.substring(stream, F.lit(3), F.greatest(attempt - 3, F.lit(0))), "[0-9]", "g")
     mail = F.concat(
         longer,  # short addresses have few look-alikes; later attempts lengthen them
@@ -269,7 +305,8 @@ def _draw(key: str, name: Column, who: Column, attempt: Column) -> Column:
         F.when(name == "email", mail)
         .when(name == "ip", octets)
         .when(name == "card", _checked(plain))
-        .when(name == "account", F.concat(F.substring(who, 1, 2), F.substring(plain, F.lit(3), F.length(who))))
+        .when(name == "token", token)
+        .when(name == "account", _account(F.substring(who, 1, 2), F.substring(plain, F.lit(5), F.length(who))))
         .when(name.isin("name", "given"), _new_name(name, who, stream, attempt))
         .otherwise(plain)
     )
@@ -297,8 +334,9 @@ def _dressed(name: Column, entity: Column, made: Column) -> Column:
     )
     spoken = F.split(_bare(entity), " ")
     real = lambda w: ~w.isin(*PARTICLES)
+    cased = lambda w, new: F.when(w.rlike(r"^\p{Lu}[\p{Lu}'’-]+$"), F.upper(new)).otherwise(new)
     renamed = F.transform(
-        spoken, lambda w, i: F.when(real(w), F.element_at(made, F.size(F.filter(F.slice(spoken, F.lit(1), i + 1), real)))).otherwise(w)
+        spoken, lambda w, i: F.when(real(w), cased(w, F.element_at(made, F.size(F.filter(F.slice(spoken, F.lit(1), i + 1), real))))).otherwise(w)
     )
     said = F.concat(F.regexp_extract(entity, _BEFORE, 0), F.array_join(renamed, " "), F.regexp_extract(entity, _AFTER, 0))
     return (
@@ -340,6 +378,17 @@ def draw_surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> D
     raise RuntimeError(f"replacements still clash after {most_attempts} attempts")
 
 
+def _one_person(found: DataFrame) -> DataFrame:
+    """Names whose title leaves the gender open take that of the same family name in the same text, if only one stands there."""
+    family = F.when(F.col("type") == "name", F.element_at(F.split("who", " "), -1))
+    of = Window.partitionBy("uid", "type", "family")
+    lead = F.element_at(F.split("who", " "), 1)
+    seen = found.withColumn("family", family).withColumn("leads", F.collect_set(F.when(lead != "dr", lead)).over(of))
+    taken = F.concat(F.element_at("leads", 1), F.substring("who", 3, 1 << 30))
+    who = F.when((F.col("type") == "name") & (lead == "dr") & (F.size("leads") == 1), taken).otherwise(F.col("who"))
+    return seen.withColumn("who", who).drop("family", "leads")
+
+
 def replace_personal_data(
     docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -359,6 +408,7 @@ def replace_personal_data(
         .withColumn("type", F.coalesce("type", F.lit("secret")))
         .withColumn("who", identity(F.col("type"), F.col("entity")))
     )
+    found = _one_person(found)
     pieces = found.select("*", F.posexplode(parts(F.col("type"), F.col("who"))).alias("place", "p")).select(
         "uid", "entity", F.col("type").alias("whole"), F.col("who").alias("whose"), "place", "p.*"
     )
