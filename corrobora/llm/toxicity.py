@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.llm.common import durable
@@ -24,10 +24,13 @@ from corrobora.llm.common import durable
 COORDINATES = 1 << 20
 #: Labelled rows that the model is fitted on at most; those with the smallest hashes.
 SAMPLE_ROWS = 20_000
+#: Rows that share an identifier and a label of which the sample takes no more.
+SAMPLE_COPIES = 4
 #: Passes over the sample: as many as make this many updates, within these bounds.
-UPDATES, EPOCHS = 60_000, (3, 20)
-ALPHA, BETA, L1, L2 = 0.6, 1.0, 4.0, 0.1
-STEM_LETTERS = 5
+UPDATES, EPOCHS = 30_000, (3, 10)
+#: By cross-validation within training rows.
+ALPHA, BETA, L1, L2 = 0.6, 1.0, 20.0, 0.1
+STEM_LETTERS = 4
 THRESHOLD = 0.3
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -137,9 +140,11 @@ def _coordinates(coordinates: int):
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: str, text_col: str, rows: int
 ) -> DataFrame:
-    """(order, text, label): the labelled rows that ``train`` admits, ``rows`` of them at most, by hash of their id.
+    """(order, text, label): rows of ``rows`` labelled ids that ``train`` admits, those of the smallest hashes.
 
-    Ids labelled more than once take their largest label; null ids and labels are left out.
+    Ids labelled more than once take their largest label; null ids and labels are left out. Of
+    rows that share an id, SAMPLE_COPIES are taken, those of the smallest text hashes, so the
+    sample has at most ``rows`` x SAMPLE_COPIES rows however often an id comes.
     """
     known = (
         labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label"))
@@ -149,9 +154,11 @@ def labelled_sample(
         .withColumn("order", F.xxhash64("__id"))
     )
     chosen = durable(known.orderBy("order", "__id").limit(rows))
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(
         F.broadcast(chosen), "__id"  # bounded by ``rows``
-    ).select("order", "text", "label")
+    )
+    turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
+    return found.withColumn("turn", turn).where(F.col("turn") <= SAMPLE_COPIES).select("order", "text", "label")
 
 
 def fit_toxicity(
@@ -168,7 +175,7 @@ def fit_toxicity(
 
     ``train`` is a condition on ``__id``. The list is bounded by ``coordinates``. The fit holds
     four bytes for each different feature of a sampled text. Labels of an id apply to every
-    row that bears it, so repeated documents are learnt from as often as they occur.
+    row that bears it; the sample takes a few of the rows that share one.
     """
     sample = labelled_sample(docs, labels, label, train, id_col, text_col, sample_rows)
     text = F.col("text").cast("string")

@@ -14,7 +14,7 @@ from corrobora.llm.pieces import Codec, Vocabulary, decode_ids, default_vocabula
 from corrobora.llm.quality import FEATURES, THRESHOLD, apply_model, features, fit_model, fit_pairs, fit_quality, score_quality
 from corrobora.llm.queries import plans
 from corrobora.llm.topk import best_of_cell, top_k
-from corrobora.llm.toxicity import Featurizer, FtrlProximal, fit_toxicity, in_fold, score_toxicity
+from corrobora.llm.toxicity import SAMPLE_COPIES, Featurizer, FtrlProximal, fit_toxicity, in_fold, labelled_sample, score_toxicity
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.97), ("op3_quality", "quality", 0.97)])
@@ -26,7 +26,7 @@ def test_held_out_accuracy(spark, name, label, least):
     assert np.mean([r.predicted == r[label] for r in rows]) >= least
     hit = sum(r.predicted and r[label] for r in rows)
     assert hit / max(sum(r.predicted for r in rows), 1) >= 0.9  # precision
-    assert hit / sum(r[label] for r in rows) >= (0.75 if label == "toxic" else 0.9)  # recall
+    assert hit / sum(r[label] for r in rows) >= (0.85 if label == "toxic" else 0.9)  # recall
 
 
 def test_ftrl_by_definition():
@@ -237,3 +237,13 @@ def test_mixing(name, request):
 
 def test_mixing_nothing(empty):
     assert mix_sources(empty).count() == 0
+
+
+def test_repeated_ids_are_bounded(spark):
+    """An id with very many rows brings only a few of them to the fitting task; the plan ranks within tasks first."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None), (None, "n")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), "doc_id", "text", 10)
+    got = [(r.text, r.label) for r in sample.collect()]
+    assert sum(label for _, label in got) == SAMPLE_COPIES + 1 and len(got) == SAMPLE_COPIES + 2
+    assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
