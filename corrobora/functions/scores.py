@@ -65,11 +65,12 @@ def image_score(source: Column, width: Column, height: Column, relevant: Column,
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw * F.when(duplicate, 0.85).otherwise(1.0))), 2)
 
 
-def confidence_ladder(canonical: Column, agreeing: Column, conflict: Column) -> Column:
+def confidence_ladder(authority: Column, witness: Column, others: Column) -> Column:
+    """How far one source is believed: it leads for the field, others give the same, or it is known for the field at all."""
     return (
-        F.when(conflict, 0.40)
-        .when(canonical & (agreeing >= 2), 0.95)
-        .when(canonical, 0.80)
-        .when(agreeing >= 2, 0.70)
-        .otherwise(0.55)
+        F.when(authority & (others > 0), 0.95)
+        .when(authority, 0.80)
+        .when(others > 0, 0.70)
+        .when(witness, 0.55)
+        .otherwise(0.40)
     )

@@ -217,3 +217,54 @@ def merged(base: Column, own: Column) -> Column:
     keys = F.array_union(F.map_keys(base), F.map_keys(own))
     value = lambda k: F.struct(k.alias("key"), F.coalesce(F.element_at(own, k), F.element_at(base, k)).alias("value"))
     return F.map_from_entries(F.transform(keys, value))
+
+
+def display_title(title: Column, untitled: str) -> Column:
+    """A title without 'Episode #n - '; ``untitled`` where nothing else is left."""
+    said = F.regexp_extract(title, r"(?i)^Episode\s*#\d+\s*-\s*(.+)$", 1)
+    bare = F.coalesce(title, F.lit("")).rlike(r"(?i)^(?:Episode\s*#\d+)?$")
+    return F.when(F.coalesce(said, F.lit("")) != "", said).when(bare, untitled).otherwise(title)
+
+
+def source_title(raw: Column, sites: tuple[str, ...], show: str) -> Column:
+    """A scraped title without a trailing site (patterns) and a leading show name (pattern); null for under four characters or nothing left."""
+    s = F.trim(raw)
+    cut = F.trim(F.regexp_replace(s, rf"(?i)\s*[-–|]\s*(?:{'|'.join(sites)})$", ""))
+    cut = F.trim(F.regexp_replace(cut, rf"(?i)^(?:{show})\s*[–—:|-]?\s*", ""))
+    return F.when(F.length(s) >= 4, F.nullif(cut, F.lit("")))
+
+
+def plain_person(raw: Column, noise: tuple[str, ...] = ()) -> Column:
+    """A scraped name without tags, bullets, numbers, a trailing (role), [note] or dash and role; null if it is noise or not 2 to 60 long."""
+    s = F.regexp_replace(raw, "<[^>]+>", "")
+    for pattern in (r"^[\s–—•*·,;:-]+|[\s–—•*·,;:-]+$", r"^\d+[.)]\s*", r"\s*\([^)]*\)\s*$", r"\s*\[[^\]]*\]\s*$", r"\s+[–—]\s+.*$"):
+        s = F.regexp_replace(s, pattern, "")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.when(F.length(s).between(2, 60) & ~F.lower(s).isin("", *noise), s)
+
+
+def plain_key(raw: Column, noise: tuple[str, ...] = ()) -> Column:
+    """Latin letters, digits and Hangul of a plain name in lower case; empty for none."""
+    return F.coalesce(F.regexp_replace(F.lower(plain_person(raw, noise)), r"[^a-z0-9가-힣]+", ""), F.lit(""))
+
+
+# Numbers in addresses that are picture sizes.
+SIZES = (150, 300, 360, 480, 600, 640, 720, 1080, 1280, 1920)
+
+
+def relevant_url(url: Column, number: Column) -> Column:
+    """Whether an address's path does not name another number: the first of its 2 to 4 digit numbers that tells decides.
+
+    The number itself says yes; years (1900 to 2100), picture sizes and numbers within 2 say nothing.
+    """
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    found = F.transform(F.regexp_extract_all(path, F.lit(r"(?<!\d)(\d{2,4})(?!\d)"), F.lit(1)), lambda x: x.cast("int"))
+    tells = lambda n: (n == number) | ~(n.between(1900, 2100) | n.isin(*SIZES) | (F.abs(n - number) <= 2))
+    first = F.get(F.filter(found, tells), F.lit(0))
+    return F.coalesce(first == number, F.lit(True))
+
+
+def import_date(raw: Column, after: str = "2009-01-01", before: str = "2030-01-01") -> Column:
+    """A date as an import file writes it (with or without a time), if it lies between two days."""
+    day = F.coalesce(F.substring(F.trim(raw), 1, 10).try_cast("date"), parsed_date(raw, 1900, 2100))
+    return F.when((day > F.lit(after).cast("date")) & (day < F.lit(before).cast("date")), day)

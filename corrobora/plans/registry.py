@@ -12,7 +12,7 @@ Plan = Callable[[SparkSession, str], DataFrame]
 _PLANS: dict[str, Plan] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("catalog", "quality", "text", "evidence", "state", "pages", "writes", "checks", "health", "documents", "trace", "live", "matching")
+MODULES = ("catalog", "quality", "text", "evidence", "state", "pages", "writes", "checks", "health", "documents", "trace", "live", "matching", "access")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
