@@ -19,15 +19,20 @@ def independence(df: DataFrame, copyable: Column, length: Column, value_hash: Co
 
 def candidates(df: DataFrame) -> DataFrame:
     """One row per (entity, field, value): sources, witnesses, their corroborated confidence, best reliability."""
-    by_witness = df.groupBy("entity", "field", "value", "witness").agg(
-        F.max("reliability").alias("r"), F.collect_set("source").alias("s"), F.bool_and("verify_only").alias("v")
+    by_source = df.groupBy("entity", "field", "value", "witness", "source").agg(F.max("reliability").alias("r"), F.bool_and("verify_only").alias("v"))
+    # All that follows goes by (entity, field): dealt once here, after claims are summed in their tasks. A field has few sources: the register's.
+    claims = by_source.repartition("entity", "field").groupBy("entity", "field", "value").agg(
+        F.collect_list(F.struct("witness", "source", "r")).alias("claims"), F.max("r").alias("reliability"), F.bool_and("v").alias("verify_only")
     )
-    return by_witness.groupBy("entity", "field", "value").agg(
-        F.count("*").cast("int").alias("independent"),
-        F.max("r").alias("reliability"),
-        scores.corroborated(F.collect_list("r")).alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"),
-        F.bool_and("v").alias("verify_only"),
+    strongest = lambda w: F.array_max(F.transform(F.filter("claims", lambda c: c["witness"] == w), lambda c: c["r"]))
+    witnesses = claims.withColumn("heard", F.transform(F.array_distinct(F.transform("claims", lambda c: c["witness"])), strongest))
+    return witnesses.select(
+        "entity", "field", "value",
+        F.size("heard").alias("independent"),
+        "reliability",
+        scores.corroborated(F.col("heard")).alias("confidence"),
+        F.array_sort(F.array_distinct(F.transform("claims", lambda c: c["source"]))).alias("sources"),
+        "verify_only",
     )
 
 
