@@ -140,3 +140,29 @@ def stored_evidence(evidence: DataFrame, tie: list[str]) -> DataFrame:
     """``evidence`` with ``place``: its order within an entity, by field and falling reliability, then by ``tie``."""
     order = Window.partitionBy("entity").orderBy("field", F.desc("reliability"), *tie)
     return evidence.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def provenance_issues(drafts: DataFrame, decisions: DataFrame, items: DataFrame, states: DataFrame, sources: DataFrame) -> DataFrame:
+    """(issue, severity, entity, field): writes that should not have been possible, and gaps in what was recorded.
+
+    drafts: entity, field, decision, grounding, applied; decisions: entity, field, decision,
+    applied; items: entity, field, value as stored; states: entity, status; sources: entity,
+    field. A draft that failed its grounding, or that no GENERATE decision asked for, must not
+    be applied; nor a decision other than UPDATE or FILL. An applied draft whose field is empty
+    now is an error to look at, a researched entity without any field source a gap.
+    """
+    applied = drafts.where("applied")
+    held = items.where(F.coalesce(F.trim("value"), F.lit("")) != "").select("entity", "field")
+    recorded = sources.select("entity").distinct()
+    found = {
+        ("applied_despite_grounding", "CRITICAL"): applied.where("grounding = 'rejected'"),
+        ("applied_without_generate", "CRITICAL"): applied.where("decision <> 'GENERATE'"),
+        ("decision_applied_unsafe", "CRITICAL"): decisions.where(F.col("applied") & ~F.col("decision").isin("UPDATE", "FILL")),
+        ("applied_but_empty", "ERROR"): applied.join(held, ["entity", "field"], "left_anti"),
+        ("no_field_provenance", "INFO"): states.where("status <> 'never_researched'").join(recorded, "entity", "left_anti").withColumn("field", F.lit(None).cast("string")),
+    }
+    out = None
+    for (issue, severity), rows in found.items():
+        told = rows.select(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), "entity", "field")
+        out = told if out is None else out.unionByName(told)
+    return out

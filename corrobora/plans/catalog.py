@@ -37,9 +37,9 @@ def catalog_count(spark, d):
     return _filtered(spark, d).agg(F.count("*").alias("n"), F.ceil(F.count("*") / 24).alias("pages"))
 
 
-@query("substring_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%re%' OR p_type ILIKE '%steel%'")
+@query("substring_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%re%' OR p_type ILIKE '%econ%'")
 def substring_search(spark, d):
-    return table(spark, d, "part").where(F.ilike("p_name", F.lit("%re%")) | F.ilike("p_type", F.lit("%steel%"))).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.ilike("p_name", F.lit("%re%")) | F.ilike("p_type", F.lit("%econ%"))).select("p_partkey", "p_name")
 
 
 @query("on_this_day", """SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders
@@ -50,9 +50,9 @@ def on_this_day(spark, d):
     return table(spark, d, "orders").where(same).orderBy(F.desc("o_orderkey")).limit(10).select("o_orderkey", F.year(when).alias("y"))
 
 
-@query("regex_filter", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)(brass|copper)$') AND p_name NOT LIKE '% - %'")
+@query("regex_filter", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)(small|promo)$') AND p_type || ' - ' || p_name NOT LIKE '% - blue%'")
 def regex_filter(spark, d):
-    return table(spark, d, "part").where(F.col("p_type").rlike("(?i)(brass|copper)$") & ~F.col("p_name").like("% - %")).select("p_partkey", "p_type")
+    return table(spark, d, "part").where(F.col("p_type").rlike("(?i)(small|promo)$") & ~F.concat("p_type", F.lit(" - "), "p_name").like("% - blue%")).select("p_partkey", "p_type")
 
 
 @query("aired_guard", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate IS NOT NULL AND o_orderdate <= TIMESTAMP '1996-06-30'")

@@ -121,11 +121,11 @@ def apply_decisions(spark, d):
     return ops.apply_decisions(_existing(spark, d), _decided(spark, d), veto)
 
 
-@query("resolve_scalar", f"""WITH {_EVIDENCE}, k AS (SELECT *, CASE WHEN field = 'cut' THEN left(value, 1) ELSE lower(value) END AS k FROM ev), top AS (SELECT entity, field, k AS wk, value AS won, source AS src FROM k QUALIFY row_number() OVER (PARTITION BY entity, field ORDER BY rank, source, value) = 1),
+@query("resolve_scalar", f"""WITH {_EVIDENCE}, k AS (SELECT *, CASE WHEN field = 'cut' THEN (value::INT // 4)::VARCHAR ELSE lower(value) END AS k FROM ev), top AS (SELECT entity, field, k AS wk, value AS won, source AS src FROM k QUALIFY row_number() OVER (PARTITION BY entity, field ORDER BY rank, source, value) = 1),
 s AS (SELECT entity, field, won AS value, src AS source, count(*) FILTER (k = wk) AS agree, count(DISTINCT k) - 1 AS conflicts, coalesce(sum(tier) FILTER (k = wk), 0) AS weight, max(tier) FILTER (k = wk) AS best, coalesce(max(tier) FILTER (k <> wk), 0) AS other FROM k JOIN top USING (entity, field) GROUP BY entity, field, won, src)
 SELECT entity, field, value, source, agree, conflicts, CASE WHEN other >= 2 AND best >= 2 THEN 'CONFLICT' WHEN agree >= 2 AND weight >= 4 THEN 'HIGH' WHEN agree >= 2 OR best >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s""")
 def resolve_scalar(spark, d):
-    return ops.resolve_scalar(_evidence(spark, d), F.when(F.col("field") == "cut", F.substring("value", 1, 1)).otherwise(F.lower("value")))
+    return ops.resolve_scalar(_evidence(spark, d), F.when(F.col("field") == "cut", F.floor(F.try_divide(F.col("value").try_cast("int"), F.lit(4))).cast("string")).otherwise(F.lower("value")))
 
 
 @query("resolve_union", """WITH i AS (SELECT o_custkey AS entity, lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g')) AS k, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS item, o_orderstatus AS source FROM orders),
@@ -272,11 +272,14 @@ def near_names(spark, d):
 _HASH_SQL = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END)), lambda h, x: h * 2 + x)"
 
 
-@query("near_embeddings", f"""WITH h AS (SELECT DISTINCT {_HASH_SQL} AS h FROM embeddings)
-SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 8""")
+@query("near_embeddings", f"""WITH e AS (SELECT embedding FROM embeddings UNION ALL SELECT list_transform(embedding, lambda x, i: CASE WHEN i % 16 = vec_id % 16 THEN -x ELSE x END) FROM embeddings),
+h AS (SELECT DISTINCT {_HASH_SQL} AS h FROM e) SELECT a.h AS a, b.h AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 8""")
 def near_embeddings(spark, d):
-    hashed = table(spark, d, "embeddings").select(identity.gradient_hash(F.col("embedding")).alias("h"))
-    return identity.near_hashes(hashed, "h")
+    """The vectors, and each once more with every sixteenth component turned round."""
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when((i + 1) % 16 == F.col("vec_id") % 16, -x).otherwise(x))
+    every = rows.select("embedding").unionByName(rows.select(turned.alias("embedding")))
+    return identity.near_hashes(every.select(identity.gradient_hash(F.col("embedding")).alias("h")), "h")
 
 
 @query("hash_distances", f"""WITH h AS (SELECT vec_id, lpad(hex({_HASH_SQL}), 16, '0') AS x FROM embeddings) SELECT a.vec_id, bit_count(xor(('0x' || a.x)::BIGINT, ('0x' || b.x)::BIGINT))::INT AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""")

@@ -40,8 +40,8 @@ def sources_for_mode(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", modes.alias("m")).where(F.col("s_suppkey") % 3 + 1 >= F.col("m.least")).select("s_suppkey", "m.mode")
 
 
-_ISSUES = f"""{_STATE}, iss AS (SELECT 'provenance' AS domain, * FROM (SELECT unnest([{{'issue': 'applied_rejected', 'severity': 'CRITICAL', 'n': count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.08)}}, {{'issue': 'applied_unsafe', 'severity': 'CRITICAL', 'n': count(*) FILTER (l_quantity > 60)}},
-{{'issue': 'applied_empty', 'severity': 'ERROR', 'n': count(*) FILTER (l_extendedprice IS NULL)}}, {{'issue': 'unsourced', 'severity': 'WARNING', 'n': count(*) FILTER (l_suppkey % 50 = 0)}}, {{'issue': 'source_missing', 'severity': 'INFO', 'n': count(*) FILTER (l_tax = 0)}}], recursive := true) FROM lineitem)
+_ISSUES = f"""{_STATE}, iss AS (SELECT 'provenance' AS domain, * FROM (SELECT unnest([{{'issue': 'applied_rejected', 'severity': 'CRITICAL', 'n': count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.08)}}, {{'issue': 'applied_unsafe', 'severity': 'CRITICAL', 'n': count(*) FILTER (l_quantity >= 50)}},
+{{'issue': 'applied_empty', 'severity': 'ERROR', 'n': count(*) FILTER (l_tax = 0 AND l_discount = 0)}}, {{'issue': 'unsourced', 'severity': 'WARNING', 'n': count(*) FILTER (l_suppkey % 50 = 0)}}, {{'issue': 'source_missing', 'severity': 'INFO', 'n': count(*) FILTER (l_tax = 0)}}], recursive := true) FROM lineitem)
 UNION ALL SELECT 'research', * FROM (SELECT unnest([{{'issue': 'conflict', 'severity': 'WARNING', 'n': count(*) FILTER (unstable)}}, {{'issue': 'failed', 'severity': 'WARNING', 'n': count(*) FILTER (failed)}}, {{'issue': 'never_researched', 'severity': 'INFO', 'n': count(*) FILTER (lines = 0)}}], recursive := true) FROM st)
 UNION ALL SELECT 'quiet', * FROM (SELECT unnest([{{'issue': 'negative', 'severity': 'ERROR', 'n': count(*) FILTER (number < 0)}}], recursive := true) FROM st))"""
 
@@ -50,8 +50,8 @@ def _issues(spark, d):
     state, line = _state(spark, d), table(spark, d, "lineitem")
     return ops.union_all([
         ops.counted_rules(line, "provenance", {
-            "applied_rejected": ("CRITICAL", (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)), "applied_unsafe": ("CRITICAL", F.col("l_quantity") > 60),
-            "applied_empty": ("ERROR", F.col("l_extendedprice").isNull()), "unsourced": ("WARNING", F.col("l_suppkey") % 50 == 0), "source_missing": ("INFO", F.col("l_tax") == 0)}),
+            "applied_rejected": ("CRITICAL", (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)), "applied_unsafe": ("CRITICAL", F.col("l_quantity") >= 50),
+            "applied_empty": ("ERROR", (F.col("l_tax") == 0) & (F.col("l_discount") == 0)), "unsourced": ("WARNING", F.col("l_suppkey") % 50 == 0), "source_missing": ("INFO", F.col("l_tax") == 0)}),
         ops.counted_rules(state, "research", {"conflict": ("WARNING", F.col("unstable")), "failed": ("WARNING", F.col("failed")), "never_researched": ("INFO", F.col("lines") == 0)}),
         ops.counted_rules(state, "quiet", {"negative": ("ERROR", F.col("number") < 0)})])
 
@@ -72,13 +72,13 @@ def filtered_issues(spark, d):
     return ops.filter_issues(_issues(spark, d), severity=["CRITICAL", "WARNING"], domain="provenance", issue=None)
 
 
-_IMAGES = """im AS (SELECT doc_id, doc_id % 10 <> 0 AS recorded, doc_id % 11 <> 0 AS stored, length(text) >= 200 AS ok, min(doc_id) OVER (PARTITION BY md5(text)) AS first, source = 'src1' AS shared, count(*) OVER (PARTITION BY left(text, 60)) > 1 AS near FROM documents WHERE text IS NOT NULL),
+_IMAGES = """im AS (SELECT doc_id, doc_id % 10 <> 0 AS recorded, doc_id % 11 <> 0 AS stored, length(text) >= 200 AS ok, min(doc_id) OVER (PARTITION BY md5(text)) AS first, source = 'src1' AS shared, count(*) OVER (PARTITION BY md5(regexp_replace(lower(text), '[^\\pL\\pN]+', '', 'g'))) > 1 AS near FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, CASE WHEN NOT recorded THEN 'MISSING' WHEN NOT stored THEN 'BROKEN' WHEN NOT ok THEN 'INVALID' WHEN first <> doc_id AND NOT shared THEN 'DUPLICATE' WHEN near THEN 'SUSPECT_DUPLICATE' ELSE 'VALID' END AS state FROM im)"""
 
 
 def _images(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"), F.substring("text", 1, 60).alias("like"))
+        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("hash"), F.md5(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "").cast("binary")).alias("like"))
     first = docs.groupBy("hash").agg(F.min("doc_id").alias("first"))
     like = docs.groupBy("like").agg((F.count("*") > 1).alias("near"))
     i = F.col("doc_id")

@@ -109,3 +109,25 @@ def stored_evidence(spark, d):
         F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("field"), "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity",
         (85 - 6 * (F.col("l_suppkey") % 5)).cast("int").alias("reliability"))
     return ops.stored_evidence(rows, ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity"]).drop("l_shipdate", "l_quantity")
+
+
+_PROVENANCE = """WITH w AS (SELECT p_partkey AS entity, CASE WHEN p_size % 9 = 0 THEN 'rejected' ELSE 'passed' END AS grounding, CASE WHEN p_size % 7 = 0 THEN 'KEEP' ELSE 'GENERATE' END AS decision, p_partkey % 3 = 0 AS applied, p_size FROM part),
+d AS (SELECT o_orderkey AS entity, CASE o_orderstatus WHEN 'F' THEN 'FILL' WHEN 'O' THEN 'UPDATE' ELSE 'REVIEW' END AS decision FROM orders WHERE o_orderkey % 50 < 2)
+SELECT 'applied_despite_grounding' AS issue, 'CRITICAL' AS severity, count(*) AS n, min(entity) AS first FROM w WHERE applied AND grounding = 'rejected'
+UNION ALL SELECT 'applied_without_generate', 'CRITICAL', count(*), min(entity) FROM w WHERE applied AND decision <> 'GENERATE' UNION ALL SELECT 'decision_applied_unsafe', 'CRITICAL', count(*), min(entity) FROM d WHERE decision = 'REVIEW'
+UNION ALL SELECT 'applied_but_empty', 'ERROR', count(*), min(entity) FROM w WHERE applied AND p_size % 5 = 0
+UNION ALL SELECT 'no_field_provenance', 'INFO', count(*), min(p_partkey) FROM part WHERE p_size <> 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)"""
+
+
+@query("provenance_issues", _PROVENANCE)
+def provenance_issues(spark, d):
+    part, orders, lineitem = tables(spark, d, "part orders lineitem")
+    entity, size, synopsis = F.col("p_partkey").alias("entity"), F.col("p_size"), F.lit("synopsis").alias("field")
+    drafts = part.select(entity, synopsis, F.when(size % 7 == 0, "KEEP").otherwise("GENERATE").alias("decision"), F.when(size % 9 == 0, "rejected").otherwise("passed").alias("grounding"), (F.col("p_partkey") % 3 == 0).alias("applied"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "FILL").when(F.col("o_orderstatus") == "O", "UPDATE").otherwise("REVIEW")
+    decisions = orders.select(F.col("o_orderkey").alias("entity"), F.col("o_orderpriority").alias("field"), verdict.alias("decision"), (F.col("o_orderkey") % 50 < 2).alias("applied"))
+    items = part.select(entity, synopsis, F.when(size % 5 == 0, " ").otherwise(F.col("p_name")).alias("value"))
+    states = part.select(entity, F.when(size == 1, "never_researched").otherwise("done").alias("status"))
+    sources = lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("field"))
+    found = ops.provenance_issues(drafts, decisions, items, states, sources)
+    return found.groupBy("issue", "severity").agg(F.count("*").alias("n"), F.min("entity").alias("first"))
