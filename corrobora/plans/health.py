@@ -188,10 +188,12 @@ def weak_casts(spark, d):
     return table(spark, d, "part").select("p_partkey", text.weak_int(raw).alias("n"))
 
 
-@query("title_keys", r"""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(regexp_replace(p_name, '[^\p{L}\p{N}]+', '', 'g')) ELSE 'episode' || p_partkey END AS key FROM part""")
+_HEADS = """CASE p_size % 5 WHEN 0 THEN 'Episode #' || p_partkey || ' - ' || p_name WHEN 1 THEN 'Episode #' || p_partkey WHEN 2 THEN ' Episode #' || p_partkey || '  -  ' || upper(p_name) || '! ' WHEN 3 THEN 'Part ' || p_name || ' - ' || p_brand ELSE '' END"""
+
+
+@query("title_keys", rf"""SELECT p_partkey, regexp_replace(lower(CASE WHEN d <> '' THEN d ELSE t END), '[^\pL\pN]+', '', 'g') AS key FROM (SELECT p_partkey, t, trim(regexp_extract(trim(t), '^Episode\s*#\d+\s*-\s*(.+)$', 1)) AS d FROM (SELECT p_partkey, {_HEADS} AS t FROM part))""")
 def title_keys(spark, d):
-    head = F.concat(F.lit("Episode #"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select("p_partkey", text.title_key(F.when(F.col("p_size") % 2 == 0, F.concat(head, F.lit(" - "), F.col("p_name"))).otherwise(head)).alias("key"))
+    return table(spark, d, "part").select("p_partkey", text.title_key(F.expr(_HEADS)).alias("key"))
 
 
 @query("name_splits", r"""SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(replace(p_name, ' ', CASE p_size % 4 WHEN 0 THEN ', ' WHEN 1 THEN ' & ' WHEN 2 THEN ' and ' ELSE ' · ' END), '-', ' '), '\s*(?:[,&·\n]|\band\b)\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names FROM part""")

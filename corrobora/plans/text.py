@@ -17,55 +17,76 @@ def text_clean(spark, d):
     return c.select("doc_id", F.length("c").cast("long").alias("n"), F.md5(F.col("c").cast("binary")).alias("h"))
 
 
-@query("paragraph_clean")
+@query("paragraph_clean", r"""SELECT doc_id, length(c) AS n, md5(c) AS h FROM (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(regexp_replace(regexp_replace(regexp_replace(
+replace(replace(replace(replace(replace(replace(replace(p, '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+'\[(?:\d{1,3}|[a-z])\]', '', 'g'), '[\x{200B}-\x{200D}\x{FEFF}\x00-\x08\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS c FROM documents)""")
 def paragraph_clean(spark, d):
     c = text.clean_paragraphs(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.length(c).cast("long").alias("n"), F.md5(c.cast("binary")).alias("h"))
 
 
-@query("title_canonical", """SELECT p_partkey, 'Episode #' || CASE WHEN p_partkey < 1000 THEN printf('%03d', p_partkey) ELSE p_partkey::VARCHAR END
-|| CASE WHEN p_size % 2 = 0 AND p_partkey <= 2000 OR p_partkey > 9999 THEN ' - ' || trim(regexp_replace(p_name, '\\s+', ' ', 'g')) ELSE '' END AS title FROM part""")
+# Raw texts are written the same way for both engines; the SQL then applies the rule to them, with another engine's patterns.
+_TITLES = """CASE p_size % 8 WHEN 0 THEN 'Show Ep. ' || p_partkey || ': ' || p_name WHEN 1 THEN 'Show Ep. ' || (p_partkey + 1) || ': ' || p_name WHEN 2 THEN 'Episode #' || p_partkey || ' - ' || p_name || '  &amp; more'
+WHEN 3 THEN p_name || ' alone' WHEN 4 THEN '#' || p_partkey WHEN 5 THEN 'E' || p_partkey || '|' || p_name WHEN 6 THEN 'Special one #' || p_partkey || ' ' || p_name ELSE '' END"""
+_SAID = r"""coalesce(nullif(regexp_extract(t, '(?i)(?:\b(?:episode|ep\.?|e)\s*#?\s*|#\s*)0*(\d{1,4})(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(t, '^\s*0*(\d{1,4})\s*$', 1), ''))::INT"""
+
+
+@query("title_canonical", rf"""WITH r AS (SELECT p_partkey AS n, {_TITLES} AS t FROM part),
+c AS (SELECT n, {_SAID} AS said, trim(regexp_replace(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g'), '(?i)^.*?(?:\b(?:episode|ep\.?|e)\s*#?\s*|#\s*)\d{{1,4}}\s*[-:|]*\s*', '')) AS rest FROM r)
+SELECT n AS p_partkey, 'Episode #' || CASE WHEN n < 1000 THEN printf('%03d', n) ELSE n::VARCHAR END || CASE WHEN rest <> '' AND coalesce(said BETWEEN 1 AND 2000, false) = false OR rest <> '' AND said = n THEN ' - ' || rest ELSE '' END AS title FROM c""")
 def title_canonical(spark, d):
-    number = F.col("p_partkey") + F.when(F.col("p_size") % 2 == 0, 0).otherwise(1)
-    raw = F.concat(F.lit("Show Ep. "), number.cast("string"), F.lit(": "), F.col("p_name"))
-    return table(spark, d, "part").select("p_partkey", text.canonical_title(raw, F.col("p_partkey")).alias("title"))
+    return table(spark, d, "part").select("p_partkey", text.canonical_title(F.expr(_TITLES), F.col("p_partkey")).alias("title"))
+
+
+_NUMBERED = """CASE p_size % 8 WHEN 0 THEN '  E0' || p_size * 50 || ' ' WHEN 1 THEN 'Ep. 20' || p_partkey || ' and #7' WHEN 2 THEN ' 00' || p_size || ' ' WHEN 3 THEN 'The 12 races' WHEN 4 THEN 'time #' || p_partkey
+WHEN 5 THEN 'one 5 Episode ' || p_size || 'b' WHEN 6 THEN 'episode # ' || p_partkey || p_partkey ELSE p_partkey || '' END"""
 
 
-@query("number_from_text", "SELECT p_partkey, CASE WHEN p_size * 50 BETWEEN 1 AND 2000 THEN p_size * 50 END AS number FROM part")
+@query("number_from_text", rf"""SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 2000 THEN n END AS number FROM (SELECT p_partkey, {_SAID} AS n FROM (SELECT p_partkey, {_NUMBERED} AS t FROM part))""")
 def number_from_text(spark, d):
-    raw = F.concat(F.lit("  E"), F.format_string("%04d", F.col("p_size") * 50), F.lit(" "))
-    return table(spark, d, "part").select("p_partkey", text.entity_number(raw).alias("number"))
+    return table(spark, d, "part").select("p_partkey", text.entity_number(F.expr(_NUMBERED)).alias("number"))
 
 
-@query("person_names", "SELECT c_custkey, replace(c_name, '#', ' No ') AS name, lower(regexp_replace(c_name, '#', 'no')) AS key FROM customer")
+_PEOPLE = """CASE c_custkey % 9 WHEN 0 THEN '• <b>' || c_mktsegment || '</b> Lee (guest)' WHEN 1 THEN '3. Ann-' || c_mktsegment WHEN 2 THEN 'Ünal ' || c_mktsegment || ' [2]' WHEN 3 THEN c_mktsegment || ' Kim - host of all' WHEN 4 THEN 'TBA'
+WHEN 5 THEN '<i></i>' WHEN 6 THEN 'a = b; ' || c_mktsegment WHEN 7 THEN ' ' || c_name || ' ' ELSE 'X' END"""
+_NAME_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '^[\s*·•-]+|^\s*\d+[.)]\s*', '', 'g'), '\s*[(\[][^)\]]*[)\]]\s*$|\s+[-–]\s+.*$', '', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query("person_names", rf"""SELECT c_custkey, name, nullif(lower(regexp_replace(replace(replace(name, 'Ü', 'u'), 'ü', 'u'), '[^\pL\pN]+', '', 'g')), '') AS key FROM (
+SELECT c_custkey, CASE WHEN length(n) BETWEEN 2 AND 60 AND NOT regexp_matches(n, '[{{}}<>;=]|^\W+$') AND lower(n) NOT IN ('guest', 'guests', 'tba', 'none', 'n/a') THEN n END AS name FROM (SELECT c_custkey, {_NAME_SQL} AS n FROM (SELECT c_custkey, {_PEOPLE} AS t FROM customer)))""")
 def person_names(spark, d):
-    raw = F.concat(F.lit("• <b>"), F.regexp_replace("c_name", "#", " No "), F.lit("</b> (guest)"))
-    name = text.person_name(raw)
+    name = text.person_name(F.expr(_PEOPLE))
     return table(spark, d, "customer").select("c_custkey", name.alias("name"), text.identity_key(name).alias("key"))
 
 
-@query("best_spelling", """SELECT p_brand, arg_max(s, (score, -p_partkey)) AS best FROM (SELECT *, CASE WHEN p_partkey % 3 = 1 THEN -3 + 2 WHEN p_partkey % 3 = 2 THEN -2 ELSE 2 + 3 END AS score,
-CASE WHEN p_partkey % 3 = 1 THEN 'ANNA LEE' WHEN p_partkey % 3 = 2 THEN 'anna lee' ELSE 'Anna Lee' END AS s FROM part) GROUP BY 1""")
+_SPELT = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name WHEN 2 THEN upper(left(p_name, 1)) || substr(p_name, 2) WHEN 3 THEN replace(p_name, ' ', '-') ELSE upper(left(p_name, 1)) || replace(substr(p_name, 2), ' ', '-') END"
+
+
+@query("best_spelling", rf"""SELECT k, arg_max(s, (score, -p_partkey)) AS best, max(score)::INT AS score FROM (SELECT p_partkey, replace(lower(s), '-', ' ') AS k, s, CASE WHEN regexp_matches(s, '^\p{{Lu}}') THEN 2 ELSE 0 END + CASE WHEN contains(s, '-') THEN 3 ELSE 0 END
++ CASE WHEN regexp_matches(s, '^(?:\p{{Lu}}\p{{Ll}}+[ -]?)+$') THEN 3 ELSE 0 END - CASE WHEN s = upper(s) AND s <> lower(s) THEN 3 ELSE 0 END - CASE WHEN s = lower(s) AND s <> upper(s) THEN 2 ELSE 0 END AS score FROM (SELECT p_partkey, {_SPELT} AS s FROM part)) GROUP BY 1""")
 def best_spelling(spark, d):
-    raw = F.when(F.col("p_partkey") % 3 == 1, "ANNA LEE").when(F.col("p_partkey") % 3 == 2, "anna lee").otherwise("Anna Lee")
-    named = table(spark, d, "part").select("p_brand", "p_partkey", raw.alias("s"))
-    rank = F.struct(text.spelling_score(F.col("s")), -F.col("p_partkey"))
-    return named.groupBy("p_brand").agg(F.max_by("s", rank).alias("best"))
+    named = table(spark, d, "part").select("p_partkey", F.expr(_SPELT).alias("s")).withColumn("score", text.spelling_score(F.col("s")))
+    return named.groupBy(F.replace(F.lower("s"), F.lit("-"), F.lit(" ")).alias("k")).agg(F.max_by("s", F.struct("score", -F.col("p_partkey"))).alias("best"), F.max("score").alias("score"))
+
 
+_PLACES = """CASE s_suppkey % 6 WHEN 0 THEN s_name || ' , ' || n_name || '-si,Korea' WHEN 1 THEN s_name || ', ' || n_name || ' city,  ' || r_name WHEN 2 THEN n_name WHEN 3 THEN n_name || '-gu, Republic of Korea' WHEN 4 THEN 'Hall A, ' || s_name || ', ' || n_name || ', ' || r_name ELSE s_name || ',' || r_name END"""
 
-@query("location_parse", """SELECT s_suppkey, s_name AS name, n_name AS city, CASE WHEN s_suppkey % 2 = 0 THEN 'South Korea' ELSE r_name END AS country, s_suppkey % 2 <> 0 AS is_overseas
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+
+@query("location_parse", rf"""WITH p AS (SELECT s_suppkey, list_transform(regexp_split_to_array({_PLACES}, '\s*,\s*'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT *, lower(a[-1]) IN ('korea', 'south korea', 'republic of korea') OR len(a) = 1 AS home FROM p)
+SELECT s_suppkey, a[1] AS name, regexp_replace(CASE WHEN len(a) > 2 THEN a[-2] WHEN len(a) = 2 THEN a[1] END, '(?i)[- ](?:si|city|gun|gu)$', '') AS city, CASE WHEN home THEN 'South Korea' ELSE a[-1] END AS country, NOT home AS is_overseas FROM h""")
 def location_parse(spark, d):
     supplier, nation, region = (table(spark, d, n) for n in ("supplier", "nation", "region"))
     joined = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    raw = F.concat_ws(" , ", "s_name", F.concat("n_name", F.lit("-si")), F.when(F.col("s_suppkey") % 2 == 0, "Korea").otherwise(F.col("r_name")))
-    return joined.select("s_suppkey", text.place(raw).alias("p")).select("s_suppkey", "p.*")
+    return joined.select("s_suppkey", text.place(F.expr(_PLACES)).alias("p")).select("s_suppkey", "p.*")
+
 
+_LINKS = """CASE page_id % 8 WHEN 0 THEN '//x.org/a?b=1&amp;c=2' WHEN 1 THEN '/a/' || page_id WHEN 2 THEN url WHEN 3 THEN 'javascript:x' WHEN 4 THEN ' ' || url || ' ' WHEN 5 THEN 'http://a b' WHEN 6 THEN 'ftp://x.org' ELSE replace(url, 'e', '"') END"""
 
-@query("url_normalise", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://x.org/a' WHEN 1 THEN 'https://b.org/a/b' WHEN 2 THEN url END AS link FROM pages""")
+
+@query("url_normalise", rf"""SELECT page_id, CASE WHEN regexp_matches(k, '^https?://[^\s"''<>]+$') THEN k END AS link FROM (SELECT page_id, CASE WHEN starts_with(l, '//') THEN 'https:' || l WHEN starts_with(l, '/') THEN 'https://b.org' || l ELSE l END AS k FROM (SELECT page_id, trim(replace({_LINKS}, '&amp;', '&')) AS l FROM pages))""")
 def url_normalise(spark, d):
-    raw = F.when(F.col("page_id") % 4 == 0, "//x.org/a").when(F.col("page_id") % 4 == 1, "/a/b").when(F.col("page_id") % 4 == 2, F.col("url")).otherwise("javascript:x")
-    return table(spark, d, "pages").select("page_id", text.absolute_url(raw, "https://b.org/").alias("link"))
+    return table(spark, d, "pages").select("page_id", text.absolute_url(F.expr(_LINKS), "https://b.org/").alias("link"))
 
 
 @query("stable_hashes", """SELECT l_orderkey, sha1(string_agg(m, '|' ORDER BY m)) AS h FROM (SELECT DISTINCT l_orderkey, lower(l_returnflag || l_linestatus) AS m FROM lineitem) GROUP BY 1""")
@@ -107,13 +128,25 @@ def shorten(spark, d):
     return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text"), 70).alias("snippet"))
 
 
-@query("date_parse", """SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1998 AND o_orderkey % 5 <> 4 THEN o_orderdate::DATE::VARCHAR END AS day FROM orders""")
+_MONTH = "list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left({}, 3)))"
+_DATES = r"""WITH t AS (SELECT k, regexp_replace(raw, '\s*\([^)]*\)', '', 'g') AS t FROM ({raw})),
+p AS (SELECT k, t, regexp_extract(t, '(\d{{4}})[-./](\d{{1,2}})[-./](\d{{1,2}})', ['y', 'm', 'd']) AS i, regexp_extract(t, '(\d{{4}})년\s*(\d{{1,2}})월\s*(\d{{1,2}})일', ['y', 'm', 'd']) AS o,
+regexp_extract(t, '(\d{{1,2}})\s+([A-Za-z]{{3,9}})\.?\s+(\d{{4}})', ['d', 'm', 'y']) AS a, regexp_extract(t, '([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})', ['m', 'd', 'y']) AS b FROM t),
+f AS (SELECT k, coalesce(try_cast(i.y || '-' || lpad(i.m, 2, '0') || '-' || lpad(i.d, 2, '0') AS DATE), try_cast(o.y || '-' || lpad(o.m, 2, '0') || '-' || lpad(o.d, 2, '0') AS DATE),
+try_cast(a.y || '-' || lpad({am}::VARCHAR, 2, '0') || '-' || lpad(a.d, 2, '0') AS DATE), try_cast(b.y || '-' || lpad({bm}::VARCHAR, 2, '0') || '-' || lpad(b.d, 2, '0') AS DATE)) AS day FROM p)
+SELECT k AS o_orderkey, CASE WHEN year(day) BETWEEN 1995 AND 1998 THEN day::VARCHAR END AS day FROM f"""
+_RAW_DATES = """SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%-m-%-d') WHEN 1 THEN strftime(o_orderdate, '%-d %B %Y') WHEN 2 THEN strftime(o_orderdate, '%b %-d, %Y') || ' (filmed 2 May 2001)'
+WHEN 3 THEN strftime(o_orderdate, '%Y년 %-m월 %-d일') WHEN 4 THEN '1996-02-30' WHEN 5 THEN 'aired ' || strftime(o_orderdate, '%d.%m.%Y') ELSE 'on ' || strftime(o_orderdate, '%Y.%m.%d') || ' at noon' END AS raw FROM orders"""
+
+
+@query("date_parse", _DATES.format(raw=_RAW_DATES, am=_MONTH.format("a.m"), bm=_MONTH.format("b.m")))
 def date_parse(spark, d):
-    when, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    when, k = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    written = lambda form: F.date_format(when, form)
     raw = (
-        F.when(k == 0, F.date_format(when, "yyyy-M-d")).when(k == 1, F.date_format(when, "d MMMM yyyy"))
-        .when(k == 2, F.concat(F.date_format(when, "MMM d, yyyy"), F.lit(" (filmed 2 May 2001)")))
-        .when(k == 3, F.date_format(when, "yyyy'년' M'월' d'일'")).otherwise(F.lit("2026-02-30"))
+        F.when(k == 0, written("yyyy-M-d")).when(k == 1, written("d MMMM yyyy")).when(k == 2, F.concat(written("MMM d, yyyy"), F.lit(" (filmed 2 May 2001)")))
+        .when(k == 3, written("yyyy'년' M'월' d'일'")).when(k == 4, "1996-02-30").when(k == 5, F.concat(F.lit("aired "), written("dd.MM.yyyy")))
+        .otherwise(F.concat(F.lit("on "), written("yyyy.MM.dd"), F.lit(" at noon")))
     )
     return table(spark, d, "orders").select("o_orderkey", text.parsed_date(raw, 1995, 1998).cast("string").alias("day"))
 
