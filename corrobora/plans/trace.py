@@ -113,10 +113,11 @@ def stored_evidence(spark, d):
 
 _PROVENANCE = """WITH w AS (SELECT p_partkey AS entity, CASE WHEN p_size % 9 = 0 THEN 'rejected' ELSE 'passed' END AS grounding, CASE WHEN p_size % 7 = 0 THEN 'KEEP' ELSE 'GENERATE' END AS decision, p_partkey % 3 = 0 AS applied, p_size FROM part),
 d AS (SELECT o_orderkey AS entity, CASE o_orderstatus WHEN 'F' THEN 'FILL' WHEN 'O' THEN 'UPDATE' ELSE 'REVIEW' END AS decision FROM orders WHERE o_orderkey % 50 < 2)
+SELECT * FROM (
 SELECT 'applied_despite_grounding' AS issue, 'CRITICAL' AS severity, count(*) AS n, min(entity) AS first FROM w WHERE applied AND grounding = 'rejected'
 UNION ALL SELECT 'applied_without_generate', 'CRITICAL', count(*), min(entity) FROM w WHERE applied AND decision <> 'GENERATE' UNION ALL SELECT 'decision_applied_unsafe', 'CRITICAL', count(*), min(entity) FROM d WHERE decision = 'REVIEW'
 UNION ALL SELECT 'applied_but_empty', 'ERROR', count(*), min(entity) FROM w WHERE applied AND p_size % 5 = 0
-UNION ALL SELECT 'no_field_provenance', 'INFO', count(*), min(p_partkey) FROM part WHERE p_size <> 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)"""
+UNION ALL SELECT 'no_field_provenance', 'INFO', count(*), min(p_partkey) FROM part WHERE p_size <> 1 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)) WHERE n > 0"""
 
 
 @query("provenance_issues", _PROVENANCE)

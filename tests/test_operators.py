@@ -248,7 +248,10 @@ def test_files(spark, tmp_path):
 def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts")
     source = str(tmp_path / "in")
-    events.repartitionByRange(3, "ts").write.parquet(source)
+    edges = [None, "2024-01-10", "2024-01-20", None]
+    for low, high in zip(edges, edges[1:], strict=False):  # files in order of time
+        part = events.where(f"ts >= '{low}'" if low else "true").where(f"ts < '{high}'" if high else "true")
+        part.coalesce(1).write.mode("append").parquet(source)
     health.run_once(health.failure_rates(health.read_events(spark, source), "1 day", "60 days"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.schema("started timestamp, user_id long, events long, failures long").parquet(str(tmp_path / "out")).count() == 0
     # Files come in order of time, so no event is late and each window that the last event closes is right.
