@@ -190,7 +190,7 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = lambda n: texts.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("quoted").alias(f"q{n}"))
     joined = said.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
     marked = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)))
-    nested = F.concat(marked(F.col("q2"), "> > "), F.lit("\n> "), F.substring("q1", 1, 20), F.lit("\n"), F.col("text"))
+    nested = F.concat(marked(F.col("q2"), "> > "), F.lit("\n> "), F.split_part("q1", F.lit("\n"), F.lit(1)), F.lit("\n"), F.col("text"))
     text = F.when(F.col("turn") % 3 == 1, F.concat(marked(F.col("q1"), "> "), F.lit("\n"), F.col("text"))).when(F.col("turn") % 3 == 2, nested)
     return reply_order(joined.select("conv_id", "turn", "role", F.coalesce(text, "text").alias("text")))
 
@@ -198,7 +198,7 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUOTED_SQL = OP9_SQL.replace(
     "FROM conversations",
     """FROM (SELECT c.conv_id, c.turn, c.role, coalesce(CASE c.turn % 3 WHEN 1 THEN '> ' || replace(q1.q, chr(10), chr(10) || '> ') || chr(10) || c.text
-    WHEN 2 THEN '> > ' || replace(q2.q, chr(10), chr(10) || '> > ') || chr(10) || '> ' || left(q1.q, 20) || chr(10) || c.text END, c.text) AS text FROM conversations c
+    WHEN 2 THEN '> > ' || replace(q2.q, chr(10), chr(10) || '> > ') || chr(10) || '> ' || split_part(q1.q, chr(10), 1) || chr(10) || c.text END, c.text) AS text FROM conversations c
     LEFT JOIN (SELECT conv_id, turn + 1 AS turn, max(text) AS q FROM conversations GROUP BY ALL) q1 ON q1.conv_id = c.conv_id AND q1.turn = c.turn
     LEFT JOIN (SELECT conv_id, turn + 2 AS turn, max(text) AS q FROM conversations GROUP BY ALL) q2 ON q2.conv_id = c.conv_id AND q2.turn = c.turn)""",
 )
