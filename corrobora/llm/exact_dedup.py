@@ -126,7 +126,7 @@ class PatriciaTrie:
                 node = node[1][live[0]]
                 path += node[0]
             sizes = {byte: self._size(node[1][byte]) for byte in live}
-            for byte in sorted(sizes, key=lambda x: -sizes[x]):
+            for byte in sorted(sizes, key=lambda x: (-sizes[x], -x)):  # the one that may stay comes last, also among equals
                 if self.size <= most or (node[2] is None and byte == min(sizes, key=lambda x: (sizes[x], x)) and len(sizes) > 1):
                     break
                 yield from self.terminals(node[1][byte], path)

@@ -44,6 +44,14 @@ def test_trie_hands_on_subtrees(texts, start):
     assert not any(trie.add(k, Mark(k, 1)) for k in gone) and all(trie.add(k, Mark(k, 1)) for k in left)
 
 
+def test_trie_hands_on_equal_subtrees():
+    """Subtrees of one size, the smallest byte first: all but one go, and it ends."""
+    trie = PatriciaTrie(False)
+    for k in (b"a", b"b", b"c"):
+        trie.add(k, Mark(k, 1))
+    assert len(list(trie.hand_on(0))) == 2 and len(list(trie.terminals())) == 1
+
+
 def test_trie_keeps_to_its_budget():
     trie = PatriciaTrie(False)
     for i in range(4000):
