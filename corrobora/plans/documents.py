@@ -37,7 +37,11 @@ _ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '
 _PLAIN = "trim(regexp_replace({}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
 
 
-@query("page_heading", f"""SELECT page_id, nullif({_PLAIN.format(_ENTITIES.format("regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '<[^>]*>', '', 'g')"))}, '') AS heading FROM pages""")
+# A heading may be cut within an entity; in a text HTML reads these five without their semicolon too.
+_TEXT_ENTITIES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&nbsp;?', '\u00a0', 'g'), '&amp;?', '&', 'g')"
+
+
+@query("page_heading", f"""SELECT page_id, nullif({_PLAIN.format(_TEXT_ENTITIES.format("regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '<[^>]*>', '', 'g')"))}, '') AS heading FROM pages""")
 def page_heading(spark, d):
     """The first heading that a page has, by paths over its markup."""
     pages = table(spark, d, "pages").select("page_id", "html")

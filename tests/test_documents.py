@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corrobora import plans
 from corrobora.functions import scripts, text
 from corrobora.sources import documents, markup
 
@@ -106,6 +108,16 @@ def test_first_text(spark):
     assert [tuple(r) for r in found] == [(4, 0, "second")]
 
 
+def test_heading_cut_within_an_entity(spark, tmp_path):
+    pages = ["<h1>a &lt;b&gt; &quot;c&quot; d&amp</h1>", "<head><title>x&nbsp;y&am</title></head>", "<head><title>a&quot</title></head><h1></h1>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.heading for r in plans.plans()["page_heading"](spark, str(tmp_path)).collect()}
+    assert got == {0: 'a <b> "c" d&', 1: "x y&am", 2: 'a"'}
+    said = duckdb.connect()
+    said.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert dict(said.sql(plans.oracles()["page_heading"]).fetchall()) == got
+
+
 def test_names_across_scripts(spark):
     six = ["Lee Kwang-soo", "Lee Kwang Soo", "Lee Kwangsoo", "lee kwang-soo", "LEE KWANG SOO", "  Lee  Kwang-Soo  "]
     same = [("유재석", "Yu Jae-seok"), ("김종국", "Gim Jong-guk"), ("Иван Петров", "Ivan Petrov"), ("Νίκος Παππάς", "Nikos Pappas"), ("Жукова", "Zukova"), ("Ψυχή", "psyche")]
