@@ -61,7 +61,9 @@ def stalled(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     last = events.groupBy(key).agg(F.max(ts).alias("last"))
     newest = last.agg(F.max("last").alias("now"))
     gap = F.expr("timestampdiff(SECOND, last, now)")
-    return last.join(F.broadcast(newest)).withColumn("silent", gap).where(F.col("silent") > seconds).drop("now")  # one row
+    # Compared as moments: silent is cut to whole seconds.
+    over = F.expr(f"timestampadd(SECOND, {seconds}, last) < now")
+    return last.join(F.broadcast(newest)).withColumn("silent", gap).where(over).drop("now")  # one row
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -204,6 +204,11 @@ def test_claim_and_recency(spark):
     assert [(r.i, r.place) for r in state.recency_list(v, "u", "i", ["t"]).orderBy("place").collect()] == [("a", 1), ("b", 2)]
 
 
+def test_stalled_by_part_of_a_second(spark):
+    beats = spark.sql("SELECT * FROM VALUES ('now', TIMESTAMP_NTZ'2024-01-02 06:00:00.5'), ('just', TIMESTAMP_NTZ'2024-01-02 00:00:00.5'), ('over', TIMESTAMP_NTZ'2024-01-02 00:00:00.2') t(k, ts)")
+    assert [tuple(r) for r in state.stalled(beats, "k", "ts", 6 * 3600).select("k", "silent").collect()] == [("over", 21600)]
+
+
 def test_tables_with_spans(spark):
     page = "<table><tr><th>No</th><th>Title</th></tr><tr><td rowspan=2>1</td><td>A &amp; B</td></tr><tr><td>C</td></tr><tr><td colspan='2'>end</td></tr></table>"
     cells = html.table_cells(spark.createDataFrame([(1, page), (2, None), (3, "no table")], "id int, html string"), "id", "html")
