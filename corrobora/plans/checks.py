@@ -95,7 +95,8 @@ def validate_urls(spark, d):
     return v.select("page_id", "v.reason", "u")
 
 
-@query("validate_places", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unusable' WHEN c_custkey % 4 = 1 THEN 'navigation' WHEN c_custkey % 4 = 2 THEN 'too long' END AS reason, CASE WHEN c_custkey % 4 = 3 THEN c_name END AS name FROM customer""")
+@query("validate_places", f"""SELECT c_custkey, reason, CASE WHEN reason IS NULL THEN n END AS name FROM (SELECT c_custkey, n, CASE WHEN coalesce(trim(n), '') = '' THEN 'unusable' WHEN {_nav('n')} THEN 'navigation' WHEN length(n) > 120 THEN 'too long' END AS reason
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Skip to content ' || c_name WHEN 2 THEN repeat(c_name, 20) ELSE c_name END AS n FROM customer))""")
 def validate_places(spark, d):
     k, name = F.col("c_custkey") % 4, F.col("c_name")
     raw = F.when(k == 0, "  , Seoul").when(k == 1, F.concat(F.lit("Skip to content "), name)).when(k == 2, F.repeat(name, F.lit(20))).otherwise(F.concat(name, F.lit("  , Busan, South Korea")))

@@ -30,6 +30,16 @@ def test_query(name, spark, sf_dir, duck):
     assert rows(got, got.columns) == rows(want, want.columns)
 
 
+def test_places_whose_numbers_read_as_error_pages(spark, tmp_path):
+    rows_ = [(i, f"Customer#{i:09}") for i in (4, 404, 4041, 4042, 4043, 1404, 14043, 5043)]
+    spark.createDataFrame(rows_, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(map(tuple, PLANS["validate_places"](spark, str(tmp_path)).select("c_custkey", "reason", "name").collect()))
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(con.sql(f"SELECT c_custkey, reason, name FROM ({ORACLES['validate_places']})").fetchall()) == got
+    assert (14043, "navigation", None) in got and (5043, None, "Customer#000005043") in got
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(PLANS)
 
