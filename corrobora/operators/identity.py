@@ -67,18 +67,31 @@ def hex_hamming(a: Column, b: Column) -> Column:
 def near_hashes(df: DataFrame, hash_: str, bits: int = 63, most: int = 8, bands: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of distinct hashes within ``most`` bits, a before b.
 
-    The bits are cut into most + 1 bands; near hashes agree in one at least. Equal hashes are one class.
+    The bits are cut into few wide ``bands``; near hashes differ by ``most // bands`` bits at most
+    in one of them, two by default. Each side is filed under its band and the bands a bit away,
+    so such pairs meet half way, once a band. Equal hashes are one class.
     """
-    bands = bands or most + 1
+    bands = bands or -(-(most + 1) // 3)
+    radius = most // bands
+    if radius > 2:
+        raise ValueError(f"{bands} bands are too few for {most} bits")
     size = -(-bits // bands)
     distinct = df.select(F.col(hash_).alias("h")).where("h IS NOT NULL").distinct()
-    pieces = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.shiftright("h", i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("value")) for i in range(bands)
-    ])
-    filed = distinct.select("h", F.explode(pieces).alias("p")).select("h", "p.*")
-    met = filed.alias("x").join(filed.alias("y"), ["band", "value"]).where("x.h < y.h")
-    near = met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).withColumn("distance", hamming(F.col("a"), F.col("b")))
-    return near.where(F.col("distance") <= most).distinct()
+
+    def filed(flipped: bool) -> DataFrame:
+        def turned(i: int) -> Column:
+            piece = F.shiftright("h", i * size).bitwiseAND(F.lit((1 << size) - 1))
+            flips = F.array(*[F.lit(f).cast("long") for f in [0] + [1 << j for j in range(size)][: size * flipped]])
+            return F.transform(flips, lambda f: F.struct(F.lit(i).alias("band"), piece.bitwiseXOR(f).alias("value"), f.alias("flip")))
+
+        return distinct.select("h", F.inline(F.flatten(F.array(*map(turned, range(bands))))))
+
+    x, y = filed(radius > 1).alias("x"), filed(radius > 0).alias("y")
+    # Of the places where two bands meet, one has the smaller flip on the left, or none at all.
+    once = (F.col("x.flip") < F.col("y.flip")) | (F.col("y.flip") == 0) & (F.col("x.flip") == 0)
+    distance = hamming(F.col("x.h"), F.col("y.h"))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & once & (F.col("x.h") < F.col("y.h")) & (distance <= most))
+    return met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), distance.alias("distance")).distinct()
 
 
 def suspected_duplicates(reasons: dict[str, DataFrame], strong: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corrobora.operators import catalog, evidence, identity, quality, state
@@ -197,6 +198,19 @@ def test_hamming(spark):
     assert {(r.a, r.b) for r in identity.near_hashes(df, "h", most=5).collect()} == {(0, 7), (7, 255), (0, 1 << 62), (7, 1 << 62)}
 
 
+def test_near_hashes_by_brute_force(spark):
+    rng = random.Random(8)
+    for bits, most in ((63, 8), (19, 2), (30, 3), (12, 1), (10, 0)):
+        base = [rng.getrandbits(bits) for _ in range(60)]
+        near = [h ^ sum(1 << i for i in rng.sample(range(bits), rng.randint(0, most + 1))) for h in base for _ in range(3)]
+        all_ = sorted({*base, *near})
+        want = sorted((a, b, (a ^ b).bit_count()) for i, a in enumerate(all_) for b in all_[i + 1 :] if (a ^ b).bit_count() <= most)
+        df = spark.createDataFrame([(h,) for h in [*base, *near, None]], "h long")
+        assert sorted(map(tuple, identity.near_hashes(df, "h", bits, most).collect())) == want
+    with pytest.raises(ValueError, match="too few"):
+        identity.near_hashes(df, "h", 63, 8, bands=2)
+
+
 def test_claim_and_recency(spark):
     q = spark.createDataFrame([(1, 10, 1, "queued", 0), (1, 11, 0, "done", 0), (1, 12, 0, "queued", 2)], "run int, item int, position int, state string, attempts int")
     assert tuple(state.claim_next(q, "run").select("item", "state", "attempts").first()) == (12, "researching", 3)
