@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json as json_lib
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,61 +21,46 @@ def mentions(text: Column, number: Column) -> Column:
     return F.contains(text, number.cast("string")) & F.regexp_like(text, F.concat(F.lit(r"(?<![0-9])0*"), number.cast("string"), F.lit("(?![0-9])")))
 
 
-def _kind(node: Column) -> Column:
-    return F.schema_of_variant(node)
+def _strings(node: dict | list, names: tuple[str, ...], depth: int, at: tuple[int, ...] = (), path: str = "$") -> Iterator[tuple]:
+    """(at, path, name, value) of the strings under ``names``, in the order of the document, an object before what it holds."""
+    if isinstance(node, dict):
+        yield from ((at, path, name, value) for name in names if isinstance(value := node.get(name), str))
+    if depth:
+        for i, (key, child) in enumerate(node.items() if isinstance(node, dict) else enumerate(node)):
+            if isinstance(child, dict | list):
+                step = f".{key}" if isinstance(node, dict) else f"[{key}]"
+                yield from _strings(child, names, depth - 1, (*at, i), path + step)
 
 
-def _container(node: Column) -> Column:
-    kind = _kind(node)
-    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+_DECODER = json_lib.JSONDecoder(parse_int=float)  # numbers are not looked at, however long
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, wherever the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _said(text: str | None, names: tuple[str, ...], depth: int) -> list[tuple]:
+    try:
+        root, _ = _DECODER.raw_decode((text or "").lstrip(" \t\r\n"))
+    except (ValueError, RecursionError):
+        return []
+    return list(_strings(root, names, depth)) if isinstance(root, dict | list) else []
 
 
-def _children(node: Column) -> Column:
-    """The objects and arrays right below a node, in the order of the document.
+def _texts(values: list[str]) -> pa.Array:
+    # Halves of surrogate pairs are no text; the JVM makes them "?" too.
+    return pa.array([v if v.isascii() else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
-    A node is its place (the positions on the way to it), its path, its text and its variant.
-    The variant knows what is an object and what is a string that looks like one; the text
-    knows the order of an object's keys, which variants sort.
-    """
-
-    def child(position: Column, step: Column, text: Column, value: Column) -> Column:
-        return F.struct(
-            F.concat(node["at"], F.array(position.cast("int"))).alias("at"),
-            F.concat(node["path"], step).alias("path"),
-            text.alias("text"),
-            value.alias("value"),
-        )
-
-    values = F.try_variant_get(node["value"], "$", "array<variant>")
-    items = _let(
-        F.from_json(node["text"], "array<string>"),
-        lambda texts: F.transform(values, lambda v, i: child(i, F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.get(texts, i), v)),
-    )
-    entries = F.map_entries(F.from_json(node["text"], "map<string,string>"))
-    fields = _let(
-        F.try_variant_get(node["value"], "$", "map<string,variant>"),
-        lambda named: F.transform(entries, lambda e, i: child(i, F.concat(F.lit("."), e["key"]), e["value"], F.try_element_at(named, e["key"]))),
-    )
-    below = F.when(F.startswith(_kind(node["value"]), F.lit("ARRAY")), items).otherwise(fields)
-    return F.filter(F.coalesce(below, F.array()), lambda n: F.coalesce(_container(n["value"]), F.lit(False)))
 
+def _starts(sizes: list[int]) -> pa.Array:
+    return pa.array([0, *accumulate(sizes)], pa.int32())
 
-def _found(node: Column, names: tuple[str, ...], match: Callable[[Column], Column]) -> Column:
-    """(name, value) of the first of ``names`` that stands in a node as a matching string, else null."""
 
-    def tried(name: str) -> Column:
-        def told(value: Column) -> Column:
-            text = F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
-            return _let(text, lambda t: F.when(F.coalesce(match(t), F.lit(False)), F.struct(F.lit(name).alias("name"), t.alias("value"))))
+def _child(node: Column, i: Column) -> Column:
+    """The i-th child of an object or array, both as (text, value).
 
-        return _let(F.try_variant_get(node["value"], f"$['{name}']", "variant"), told)
-
-    return F.coalesce(*map(tried, names))
+    The text knows the order of an object's keys, which variants sort.
+    """
+    item = F.struct(F.get(F.from_json(node["text"], "array<string>"), i).alias("text"), F.get(F.try_variant_get(node["value"], "$", "array<variant>"), i).alias("value"))
+    entry = F.get(F.map_entries(F.from_json(node["text"], "map<string,string>")), i)
+    field = F.struct(entry["value"].alias("text"), F.try_element_at(F.try_variant_get(node["value"], "$", "map<string,variant>"), entry["key"]).alias("value"))
+    return F.when(F.startswith(F.schema_of_variant(node["value"]), F.lit("ARRAY")), item).otherwise(field)
 
 
 def first_node(
@@ -81,37 +69,39 @@ def first_node(
     match: Callable[[Column], Column],
     names: tuple[str, ...] = TITLE_NAMES,
     depth: int = MAX_DEPTH,
+    with_node: bool = True,
 ) -> DataFrame:
     """``rows`` with ``found`` (at, path, name, value, node): the first object with a matching string under one of ``names``.
 
     First in the order of the document, an object before what it holds; at most ``depth``
     levels below the root. ``match`` makes a condition of the string's column and may use the
     row's others. found is null where nothing matches or the text is no JSON (a repeated key in
-    an object counts as none). Each row is searched within itself, level by level, so nothing
-    is shuffled; a level's nodes are held for one row at a time.
+    an object counts as none); node, the object as JSON, is left out on request. A row's strings
+    are listed in its batch and matched within the row, so nothing is shuffled.
     """
-    root = F.try_parse_json(F.col(json))
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit("$").alias("path"), F.col(json).alias("text"), root.alias("value"))
-    out = rows.withColumn("__nodes", F.filter(F.array(start), lambda n: F.coalesce(_container(n["value"]), F.lit(False))))
-    for level in range(depth + 1):
-        hit = f"__hit{level}"
-
-        def told(node: Column) -> Column:
-            def with_place(said: Column) -> Column:
-                place = F.struct(node["at"].alias("at"), node["path"].alias("path"), said["name"].alias("name"), said["value"].alias("value"), F.to_json(node["value"]).alias("node"))
-                return F.when(said.isNotNull(), place)
-
-            return _let(_found(node, names, match), with_place)
-
-        # Nodes of a level stand in document order, so the first hit is the level's first.
-        hits = F.filter(F.transform("__nodes", told), lambda x: x.isNotNull())
-        out = out.withColumn(hit, F.get(hits, F.lit(0)))
-        if level < depth:
-            out = out.withColumn("__nodes", F.flatten(F.transform("__nodes", _children)))
-    every = F.array(*(F.col(f"__hit{level}") for level in range(depth + 1)))
-    best = F.array_min(F.filter(every, lambda x: x.isNotNull()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_said(t, names, depth) for t in batch.column(batch.schema.get_field_index(json)).to_pylist()]
+            flat = list(chain.from_iterable(lists))
+            places, paths, keys, values = ([x[i] for x in flat] for i in range(4))
+            at = pa.ListArray.from_arrays(_starts([len(p) for p in places]), pa.array(list(chain.from_iterable(places)), pa.int32()))
+            each = pa.StructArray.from_arrays([at, _texts(paths), _texts(keys), _texts(values)], ["at", "path", "name", "value"])
+            said = pa.ListArray.from_arrays(_starts([len(x) for x in lists]), each)
+            yield pa.RecordBatch.from_arrays([*batch.columns, said], names=[*batch.schema.names, "__said"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    said = rows.mapInArrow(run, schema + ", `__said` array<struct<at: array<int>, path: string, name: string, value: string>>")
+    first = F.get(F.filter("__said", lambda s: F.coalesce(match(s["value"]), F.lit(False))), F.lit(0))
+    # What is JSON, the parser of variants decides.
+    hit = F.when(F.try_parse_json(F.col(json)).isNotNull(), F.col("__first"))
+    out = said.withColumn("__first", first).withColumn("__first", F.when(F.col("__first").isNotNull(), hit))
+    fields = [F.col(f"__first.{f}").alias(f) for f in ("at", "path", "name", "value")]
+    if with_node:
+        root = F.struct(F.col(json).alias("text"), F.try_parse_json(F.col(json)).alias("value"))
+        fields.append(F.to_json(F.aggregate("__first.at", root, _child)["value"]).alias("node"))
     kept = [F.col(c) for c in rows.columns]
-    return out.select(*kept, best.alias("found"))
+    return out.select(*kept, F.when(F.col("__first").isNotNull(), F.struct(*fields)).alias("found"))
 
 
 def first_of(rows: DataFrame, node: str, names: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -60,6 +60,22 @@ def test_first_node_as_by_recursion(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_node_of_odd_texts(spark):
+    rows = [
+        (0, ' {"a": [{"z": 1.50, "title": "x5", "b": {"y": [2, 1e3]}}]} '), (1, '{"title": "5", "n": ' + "9" * 5000 + "}"), (2, '{"title": "5", "n": NaN}'), (3, "[" * 1200 + "]" * 1200),
+        (4, '{"title": "5 \\ud800", "k.[0]": 1}'), (5, '[{"a": {"title": "5"}, "a": 1}]'), (6, '{"b": 1, "a": {"x\'\\"y": {"name": "5"}}}'), (7, '{"title": "5\t"}'), (8, '{"ti\\u0074le": "\\u0035"}')]
+    frame = spark.createDataFrame(rows, "id int, payload string")
+    found = documents.first_node(frame, "payload", lambda t: documents.mentions(t, F.lit(5)))
+    got = {r.id: tuple(r.found) if r.found else None for r in found.collect()}
+    assert got[0] == ([0, 0], "$.a[0]", "title", "x5", '{"b":{"y":[2,1000.0]},"title":"x5","z":1.5}')
+    assert got[4] == ([], "$", "title", "5 ?", '{"k.[0]":1,"title":"5 ?"}')
+    assert got[6] == ([1, 0], "$.a.x'\"y", "name", "5", '{"name":"5"}')
+    assert got[8] == ([], "$", "title", "5", '{"title":"5"}')
+    assert [got[i] for i in (2, 3, 5, 7)] == [None] * 4
+    # One parse a text, not one a level: strings are listed once, whatever the depth.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 4
+
+
 def test_first_of(spark):
     frame = spark.createDataFrame([('{"desc": " ", "summary": "s", "thumb": 3}',), ("no json",)], "node string")
     got = documents.first_of(frame, "node", {"text": ("desc", "summary"), "image": ("thumb", "poster")}).collect()
