@@ -31,6 +31,8 @@ RESOLUTIONS = (4, 16)
 STEP = 512
 #: Components multiplied at a time.
 PRODUCTS = 1 << 22
+#: Where one pair in so many is left by the bounds, a step is multiplied whole.
+DENSE = 16
 #: Scores beyond 64 bits are given as the nearest of these.
 LOWEST, HIGHEST = -(1 << 63) + 1, (1 << 63) - 1
 _NONE = -(1 << 63)
@@ -75,7 +77,9 @@ def best_of_cell(
     top = max(1.0, np.abs(queries).max(initial=0), np.abs(rows).max(initial=0))
     q_small, r_small = queries / top, rows / top  # so that no square overflows
     q_norm, r_norm = (q_small**2).sum(axis=1), (r_small**2).sum(axis=1)
-    levels = [(statistics(q_small, s), statistics(r_small, s)) for s in resolutions]
+    levels = [(q, (q**2).sum(axis=1)[:, None], statistics(r_small, s)) for s in resolutions for q in [statistics(q_small, s)]]
+    # Doubles hold every partial sum of such products exactly.
+    doubles = np.sqrt(q_norm.max(initial=0) * r_norm.max(initial=0)) * top * top < 2.0**52
     slack = 1e-9 * (q_norm.max(initial=0) + r_norm.max(initial=0)) + 1e-6 / top / top  # far above the rounding errors
     order = np.argsort(-r_norm, kind="stable")  # long vectors raise the k-th best scores early
     pairs = max(1, PRODUCTS // max(1, queries.shape[1]))
@@ -86,9 +90,9 @@ def best_of_cell(
         floor = np.maximum(score[:, -1], floors)
         open_ = (floor <= LOWEST)[:, None]
         most = q_norm[:, None] + r_norm[batch] - 2.0 * (floor[:, None].astype(np.float64) / top / top)
-        for q_stat, r_stat in levels:
+        for q_stat, q_part, r_stat in levels:
             r_part = r_stat[batch]
-            least = (q_stat**2).sum(axis=1)[:, None] + (r_part**2).sum(axis=1) - 2.0 * (q_stat @ r_part.T)
+            least = q_part + (r_part**2).sum(axis=1) - 2.0 * (q_stat @ r_part.T)
             alive &= (least <= most + slack) | open_
             if not alive.any():
                 break
@@ -96,12 +100,19 @@ def best_of_cell(
         at_q, at_r = np.nonzero(alive)
         if not len(at_q):
             continue
-        value = np.concatenate(
-            [
-                inner_products(queries[at_q[i : i + pairs]], rows[batch[at_r[i : i + pairs]]])
-                for i in range(0, len(at_q), pairs)
-            ]
-        )
+        if doubles and len(at_q) * DENSE >= alive.size:
+            value = (queries @ rows[batch].T)[at_q, at_r].astype(np.int64)
+        else:
+            value = np.concatenate(
+                [
+                    inner_products(queries[at_q[i : i + pairs]], rows[batch[at_r[i : i + pairs]]])
+                    for i in range(0, len(at_q), pairs)
+                ]
+            )
+        reach = value >= floor[at_q]
+        at_q, at_r, value = at_q[reach], at_r[reach], value[reach]
+        if not len(at_q):
+            continue
         starts = np.flatnonzero(np.r_[True, at_q[1:] != at_q[:-1]])
         for i, j in zip(starts.tolist(), np.r_[starts[1:], len(at_q)].tolist(), strict=True):
             q = at_q[i]

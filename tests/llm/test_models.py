@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corrobora.llm import topk
 from corrobora.llm.mixing import mix_sources
 from corrobora.llm.pieces import Codec, Vocabulary, decode_ids, default_vocabulary, encode_texts
 from corrobora.llm.quality import FEATURES, THRESHOLD, apply_model, features, fit_model, fit_pairs, fit_quality, score_quality
 from corrobora.llm.queries import plans
-from corrobora.llm.topk import best_of_cell, top_k
+from corrobora.llm.topk import best_of_cell, inner_products, top_k
 from corrobora.llm.toxicity import SAMPLE_COPIES, Featurizer, FtrlProximal, fit_toxicity, in_fold, labelled_sample, score_toxicity
 
 
@@ -204,6 +205,20 @@ def test_bounds_prune_nothing_needed():
             assert [(-s, i) for s, i in want[q]] == list(zip(score[q].tolist(), found[q].tolist(), strict=True))
 
 
+def test_pairs_that_no_bound_drops_are_multiplied_together(monkeypatch):
+    draw = np.random.default_rng(6)
+    q, r = np.floor(draw.normal(size=(30, 64)) * 1024), np.floor(draw.normal(size=(2000, 64)) * 1024)
+    r[1000:] = r[:1000]  # ties
+    alone = []
+    monkeypatch.setattr(topk, "inner_products", lambda a, b: alone.append(len(a)) or inner_products(a, b))
+    score, found = best_of_cell(q, np.arange(30) * 100, r, np.arange(2000), 10)
+    every = q.astype(np.int64) @ r.astype(np.int64).T
+    for i in range(30):
+        want = sorted((-int(v), j) for j, v in enumerate(every[i]) if j != i * 100)[:10]
+        assert [(-s, j) for s, j in zip(score[i].tolist(), found[i].tolist(), strict=True)] == want
+    assert sum(alone) < every.size / 8
+
+
 def _levels(sizes, weights, total, cap):
     left, full = set(sizes), {}
     while True:
