@@ -7,8 +7,8 @@ Texts that agree in a band meet under one key; a pair of Jaccard similarity 0.8
 of 1.3e-7 (1e-9 at 0.85), and every pair that meets is verified on the complete sets. Groups of
 copies are not compared all with all: in the first rounds every text meets one leader of its
 keys, and links found join components. Only keys
-that still hold several components are then compared across components, inside their task by
-sketches, and what may be similar is verified.
+that still hold several components are then compared across components, inside their task: by
+sketches, and what may be similar by complete sets unless it is joined by then.
 """
 
 from __future__ import annotations
@@ -142,20 +142,19 @@ def _with_both(pairs: DataFrame, named: DataFrame, value: str) -> DataFrame:
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts have a similarity of ``least`` or more; durable."""
     alike = _with_both(durable(pairs), sketches, "sketch").mapInArrow(_alike(least - SLACK), "a long, b long")
-    return _compared(durable(alike), texts, least)
+    return durable(_with_both(durable(alike), texts, "text").mapInArrow(_exact(least), "a long, b long"))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    return durable(_with_both(pairs, texts, "text").mapInArrow(_exact(least), "a long, b long"))
+def alike_pairs(key: int, size, keys, sketch, least: float, roots) -> Iterator[np.ndarray]:
+    """(n, 2) places of pairs under a key that may be ``least`` similar, if the key is the first they share; a chunk at a time.
 
-
-def alike_pairs(key: int, node, root, size, keys, sketch, least: float) -> np.ndarray:
-    """(n, 2) nodes: pairs of different roots under a key that may be ``least`` similar, if the key is the first they share."""
-    found, agree = [np.empty((0, 2), np.int64)], int(np.ceil((least - SLACK) * sketch.shape[1]))
-    for i in range(0, len(node), COMPARED):
-        for j in range(i, len(node), COMPARED):
+    ``roots`` has the roots of a slice of places as they are then; pairs of equal roots are left out.
+    """
+    agree = int(np.ceil((least - SLACK) * sketch.shape[1]))
+    for i in range(0, len(size), COMPARED):
+        for j in range(i, len(size), COMPARED):
             x, y = slice(i, i + COMPARED), slice(j, j + COMPARED)
-            open_ = root[x, None] != root[None, y]
+            open_ = roots(x)[:, None] != roots(y)[None]
             open_ &= np.minimum(size[x, None], size[None, y]) >= least * np.maximum(size[x, None], size[None, y]) - 1e-6
             if i == j:
                 open_ = np.triu(open_, 1)
@@ -166,26 +165,53 @@ def alike_pairs(key: int, node, root, size, keys, sketch, least: float) -> np.nd
                 a, b = a[near], b[near]
                 same = keys[a] == keys[b]
                 first = keys[a, same.argmax(axis=1)] == key
-                found.append(np.stack([node[a[first]], node[b[first]]], axis=1))
-    return np.concatenate(found)
+                yield np.stack([a[first], b[first]], axis=1)
 
 
-def _across(least: float):
-    """mapInArrow: rows (key, node, root, size, keys, sketch), sorted by key, to the pairs of ``alike_pairs``."""
+def meeting(key: int, node, root, size, keys, sketch, least: float) -> np.ndarray:
+    """The (distinct) nodes that stand in one of the ``alike_pairs``."""
+    met = np.zeros(len(node), bool)
+    for pairs in alike_pairs(key, size, keys, sketch, least, lambda at: root[at]):
+        met[pairs.ravel()] = True
+    return node[met]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def forest(key: int, node, root, size, keys, sketch, hashes, least: float) -> np.ndarray:
+    """(n, 2) nodes: links that join the same components as all ``least`` similar ``alike_pairs``, each of them compared exactly.
+
+    ``hashes`` are the shingles of the places. A pair whose ends are joined by then adds
+    nothing and is not compared, so there are fewer links than nodes.
+    """
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    found, named = [], root.tolist()
+    for pairs in alike_pairs(key, size, keys, sketch, least, lambda at: np.array([top(r) for r in named[at]], np.int64)):
+        for a, b in pairs.tolist():
+            x, y = top(named[a]), top(named[b])
+            if x != y and similarity(hashes[a], hashes[b]) >= least:
+                up[max(x, y)] = min(x, y)
+                found.append((node[a], node[b]))
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _by_key(run, names: list[str]):
+    """mapInArrow: rows (key, ...) sorted by key; what ``run`` makes of the rows of each as columns ``names``."""
+
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, node, root, size = (rows[c].to_numpy() for c in ("key", "node", "root", "size"))
-            keys = np.array(rows["keys"].to_pylist(), np.int64).reshape(len(key), -1)
-            sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(key), -1)
+        def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = rows["key"].to_numpy()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                found = alike_pairs(key[i], node[i:j], root[i:j], size[i:j], keys[i:j], sketch[i:j], least)
-                if len(found):
-                    a, b = found.min(axis=1), found.max(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                columns = run(int(key[i]), rows.slice(i, j - i))
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -195,13 +221,49 @@ def _across(least: float):
             if cut or held and held[-1].column(0)[-1].as_py() != key[0]:
                 if cut:
                     held.append(batch.slice(0, cut))
-                yield from pairs(pa.Table.from_batches(held))
+                yield from found(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held))
 
-    return run
+    return all_rows
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """node, root, size, keys and sketch of the rows of a key."""
+    keys = np.array(rows["keys"].to_pylist(), np.int64).reshape(len(rows), -1)
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(len(rows), -1)
+    return *(rows[c].to_numpy() for c in ("node", "root", "size")), keys, sketch
+
+
+def _across(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) across the roots of each key of ``rows`` (key, node, root, size, keys, sketch), as in ``forest``; durable.
+
+    Shingles are read only for the texts that sketches leave in some pair.
+    """
+
+    def met(key: int, rows: pa.Table):
+        nodes = meeting(key, *_arrays(rows), least)
+        return np.full(len(nodes), key), nodes
+
+    def linked(key: int, rows: pa.Table):
+        hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
+        links = forest(key, *_arrays(rows), hashes, least)
+        return links.min(axis=1), links.max(axis=1)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["node", "hashes"])
+
+    dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
+    open_ = durable(dealt(rows).mapInArrow(_by_key(met, ["key", "node"]), "key long, node long"))
+    needed = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    hashes = durable(needed.mapInArrow(shingled, "node long, hashes binary"))
+    left = rows.join(open_, ["key", "node"], "left_semi").join(hashes, "node")
+    left = dealt(left.select("key", "node", "root", "size", "keys", "sketch", "hashes"))
+    return durable(left.mapInArrow(_by_key(linked, ["a", "b"]), "a long, b long"))
 
 
 def _class_pairs(sketches: DataFrame) -> DataFrame:
@@ -243,8 +305,7 @@ def near_copies(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if number == LEADER_ROUNDS:
             rest = named.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "root", "size")
             rest = rest.join(sketches.select("node", "keys", "sketch"), "node").select("key", "node", "root", "size", "keys", "sketch")
-            rest = rest.repartition("key").sortWithinPartitions("key")
-            links.append(_compared(durable(rest.mapInArrow(_across(least), "a long, b long")), texts, least))
+            links.append(_across(rest, texts, least))
         else:
             x, y = named.alias("x"), open_keys.alias("y")
             enough = F.least("x.size", "y.size") >= F.lit(least) * F.greatest("x.size", "y.size") - F.lit(1e-6)

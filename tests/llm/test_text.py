@@ -273,6 +273,25 @@ def test_near_stage_by_jaccard(spark, monkeypatch, rounds):
     assert Counter(corpus_pipeline.near(spark, docs, "").collect()) == want
 
 
+def test_links_of_a_group_grow_with_its_texts(spark, monkeypatch):
+    """Texts that are all similar to each other, and others that are nearly so: a few links a text, not one a pair."""
+    monkeypatch.setattr(near_copies, "LEADER_ROUNDS", 0)
+    given, find = [], near_copies.connected_components
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: given.append(links) or find(links))
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        for at in draw.sample(range(300), 3 if i < 40 else 7):
+            copy[at] = f"n{draw.randrange(9999)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(corpus_pipeline.near(spark, docs, "").collect()) == _near_kept(docs.collect())
+    classes = given[-2].count()
+    assert 0 < given[-1].count() - classes < 4 * len(rows)
+
+
 def test_near_stage_on_tables(spark, small, messy):
     for docs in (small, messy):
         docs = exact_dedup(docs.select("doc_id", "text"), keep="max").where("kept").select("doc_id", "text")
