@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corrobora.llm import topk
+from corrobora.llm import quality, topk
 from corrobora.llm.mixing import mix_sources
 from corrobora.llm.pieces import Codec, Vocabulary, decode_ids, default_vocabulary, encode_texts
 from corrobora.llm.quality import FEATURES, THRESHOLD, apply_model, features, fit_model, fit_pairs, fit_quality, score_quality
@@ -81,6 +81,26 @@ def test_quality_cut_is_the_quantile_of_bad_ones():
     assert np.mean((score >= THRESHOLD) == good) > 0.97
 
 
+def test_quality_fit_reads_every_labelled_row(spark):
+    """Ten texts share a labelled id: means and the cut are those of all rows, and small blocks see both kinds."""
+    texts = [(1, f"Word {'x! ' * i} and more of it {i}") for i in range(10)] + [(i, f"A calm line of {i} words by the harbour.") for i in range(2, 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i > 1), None) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    model = fit_quality(docs, labels, F.lit(True))
+    x = np.array([features(t) for _, t in texts])
+    assert model["mean"][: len(FEATURES)] == pytest.approx(x.mean(axis=0), abs=1e-8)
+    assert [s >= THRESHOLD for s in apply_model(x, model)] == [i > 1 for i, _ in texts]
+
+
+def test_nth_value(spark):
+    draw = np.random.default_rng(6)
+    values = np.r_[draw.normal(size=300), np.zeros(50), 1e6, -1e-300]
+    rows = spark.createDataFrame([(float(v), 1 + i % 3) for i, v in enumerate(values)], "v double, n long")
+    every = np.sort(np.repeat(values, 1 + np.arange(len(values)) % 3))
+    for rank in (0, 200, len(every) // 2, len(every) - 1):
+        assert quality.nth_value(rows, "v", "n", rank) == (every[rank], np.searchsorted(every, every[rank], side="right"))
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("x")).collect()
     for r in rows:
