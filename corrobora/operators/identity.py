@@ -137,9 +137,9 @@ def prefix_pairs(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str,
     """``texts`` joined with the ``prefixes`` that they begin with (column names must differ; empty prefixes match nothing).
 
     A prefix is filed by the hash of its longest beginning of 1, 2, 4, ... characters, a text
-    asks with each of its own such beginnings: about log2 of its length, whatever lengths
-    prefixes have. Pairs that meet are compared whole. Prefixes over ``longest`` characters
-    are filed by that many.
+    asks with each of its own such beginnings that prefixes are filed by. It brings no more of
+    itself than a prefix filed there can have, so that what meets can be compared whole.
+    Prefixes over ``longest`` characters are filed by that many.
     """
     powers = [1 << i for i in range(longest.bit_length())]
     at = lambda c, n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.substring(c, 1, n)).alias("h"))
@@ -147,6 +147,10 @@ def prefix_pairs(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str,
     for n in powers:
         filing = F.when(F.length(prefix) >= n, at(prefix, n)).otherwise(filing)
     filed = prefixes.where(F.length(prefix) > 0).withColumn("__at", filing)
-    asks = F.array_compact(F.array(*(F.when(F.length(text) >= n, at(text, n)) for n in powers)))
-    asked = texts.withColumn("__at", F.explode(asks))
-    return asked.join(filed, "__at").where(F.startswith(text, prefix)).drop("__at")
+    used = filed.select(F.col("__at.n").alias("__n")).distinct()  # a row for each power at most
+    asks = F.explode(F.filter(F.array(*map(F.lit, powers)), lambda n: n <= F.length(text))).alias("__n")
+    asked = texts.select("*", asks).join(F.broadcast(used), "__n", "left_semi")
+    head = F.when(F.col("__n") == powers[-1], F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.col("__n") * 2 - 1))
+    begun = F.struct(F.col("__n").alias("n"), F.xxhash64(F.substring(F.col(text), F.lit(1), F.col("__n"))).alias("h"))
+    asked = asked.withColumns({"__at": begun, "__head": head}).drop("__n")
+    return asked.join(filed, "__at").where(F.startswith("__head", prefix)).drop("__at", "__head")

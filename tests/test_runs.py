@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -156,6 +157,16 @@ def test_no_groups_without_pairs(spark):
     assert identity.greedy_groups(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_prefix_pairs_shuffle_beginnings_only(spark, capsys):
+    """Whole texts stay where they lie if only the prefixes that they begin with are asked for."""
+    texts = spark.createDataFrame([(i, "abc" * i) for i in range(40)], "i long, t string")
+    joined = identity.prefix_pairs(texts, spark.createDataFrame([("abca",), ("abcabcab",), ("b",)], "p string"), "t", "p").select("i", "p")
+    assert sorted(map(tuple, joined.collect())) == sorted((i, p) for i in range(40) for p in ("abca", "abcabcab", "b") if ("abc" * i).startswith(p))
+    joined.explain("formatted")
+    dealt = [x for x in capsys.readouterr().out.split("\n\n") if re.match(r"\(\d+\) (Exchange|BroadcastExchange)", x)]
+    assert dealt and not any(re.search(r"\bt#", x) for x in dealt)
+
+
 def test_prefix_pairs(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 70))) for _ in range(150)]
