@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.operators.layout import dealt
 from corrobora.sources.shared import written
 
 
@@ -76,7 +77,8 @@ def near_hashes(df: DataFrame, hash_: str, bits: int = 63, most: int = 8, bands:
     if radius > 2:
         raise ValueError(f"{bands} bands are too few for {most} bits")
     size = -(-bits // bands)
-    distinct = df.select(F.col(hash_).alias("h")).where("h IS NOT NULL").distinct()
+    # Hashes are small but filed many times: dealt by number, or few tasks would file them all and one side, taken for as small, be broadcast.
+    distinct = dealt(df.select(F.col(hash_).alias("h")).where("h IS NOT NULL"), "h").distinct()
 
     def filed(flipped: bool) -> DataFrame:
         def turned(i: int) -> Column:
@@ -84,7 +86,7 @@ def near_hashes(df: DataFrame, hash_: str, bits: int = 63, most: int = 8, bands:
             flips = F.array(*[F.lit(f).cast("long") for f in [0] + [1 << j for j in range(size)][: size * flipped]])
             return F.transform(flips, lambda f: F.struct(F.lit(i).alias("band"), piece.bitwiseXOR(f).alias("value"), f.alias("flip")))
 
-        return distinct.select("h", F.inline(F.flatten(F.array(*map(turned, range(bands))))))
+        return dealt(distinct.select("h", F.inline(F.flatten(F.array(*map(turned, range(bands)))))), "band", "value")
 
     x, y = filed(radius > 1).alias("x"), filed(radius > 0).alias("y")
     # Of the places where two bands meet, one has the smaller flip on the left, or none at all.
