@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corrobora.operators import commits
 from corrobora.plans.base import table, tables
 from corrobora.plans.registry import query
-from corrobora.sources.shared import shared_folder
+from corrobora.sources.shared import shared_folder, written
 from corrobora.streaming import health, resume, runs
 
 
@@ -71,6 +71,7 @@ def manual_create(spark, d):
     }
     wanted = lineitem.groupBy(F.col("l_orderkey").alias("number")).agg(
         F.lit("new").alias("title"), F.max("l_linenumber").alias("year"), F.collect_set(F.concat(F.lit("Clerk "), (F.col("l_suppkey") % 40).cast("string"))).alias("guests"))
+    wanted = written(wanted)  # each transaction reads it more than once
     commits.commit(spark, root, start, -1)
     for _ in range(2):
         commits.transact(spark, root, lambda now: commits.created(now, wanted))

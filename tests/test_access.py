@@ -56,6 +56,23 @@ def test_dry_run_tells_what_would_change(spark):
     assert got == {"items": (1, 0), "images": (1, 0), "guests": (1, 0), "links": (2, 0), "years": (1, 1)}
 
 
+def test_created_reads_what_is_wanted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    before = {"items": empty("number int, title string, year int"), "images": empty("number int, placeholder boolean"), "guests": empty("ident long, name string"),
+              "links": empty("number int, ident long"), "years": empty("year int, total long")}
+    wanted = spark.createDataFrame([(i, "t", 2020 + i % 2, ["Ann", "Bob", "Ann"]) for i in range(10)], "number int, title string, year int, guests array<string>")
+    after = commits.created(before, wanted.mapInArrow(counted, wanted.schema))
+    assert {name: rows.count() for name, rows in after.items()} == {"items": 10, "images": 10, "guests": 2, "links": 20, "years": 2}
+    assert seen.value == 10
+
+
 def test_import_texts(spark):
     titles = [("Episode #12 - The Race", "The Race"), ("episode #12", "none"), ("", "none"), (None, "none"), ("Plain", "Plain")]
     frame = spark.createDataFrame(titles, "t string, want string")
