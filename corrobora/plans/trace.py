@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrobora.operators import trace as ops
+from corrobora.operators.layout import dealt
 from corrobora.plans.base import table, tables
 from corrobora.plans.registry import query
 
@@ -20,14 +21,16 @@ j AS (SELECT *, CASE WHEN field IS NULL THEN NULL WHEN NOT valid THEN 'rejected'
 
 
 def _judged(spark, d):
-    n = F.col("l_linenumber")
+    """Offers of the lines, which are dealt by entity before they are taken apart."""
+    lines = dealt(table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("entity"), "l_linenumber", (F.col("l_suppkey") % 5).cast("int").alias("k"), "l_shipdate", "l_returnflag", "l_linestatus",
+        F.round(F.col("l_discount") * 100).cast("int").alias("cut")), "entity")
+    n, k, cut = F.col("l_linenumber"), F.col("k"), F.col("cut")
     status = F.when(n == 7, "fetch_failed").when(n == 6, "missing_episode").when(n == 5, "parser_warning").otherwise("ok")
-    cut = F.round(F.col("l_discount") * 100).cast("int")
     of = lambda field, value, bad: F.struct(F.lit(field).alias("field"), value.alias("value"), bad.alias("bad"))
     fields = F.array(of("flag", F.col("l_returnflag"), F.lit(False)), of("status", F.col("l_linestatus"), F.lit(False)), of("cut", cut.cast("string"), ~cut.between(1, 9)))
-    k = F.col("l_suppkey") % 5
-    asked = table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("entity"), F.concat(F.lit("s"), k.cast("string")).alias("source"), k.cast("int").alias("rank"), F.col("l_shipdate").alias("at"),
+    asked = lines.select(
+        "entity", F.concat(F.lit("s"), k.cast("string")).alias("source"), k.alias("rank"), F.col("l_shipdate").alias("at"),
         status.alias("status"), F.explode_outer(F.when(n < 6, fields)).alias("f"))
     reason = F.when(F.col("f.bad"), F.concat(F.col("f.field"), F.lit(" out of range, token=abc"), F.col("f.value")))
     offers = asked.select(
