@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corrobora.functions import text
 from corrobora.operators import evidence as ops
 from corrobora.operators import identity
+from corrobora.operators.layout import dealt
 from corrobora.plans.base import table, tables
 from corrobora.plans.registry import query
 
@@ -20,16 +21,20 @@ FROM (SELECT entity, field, value, coalesce(family, source) AS witness, max(reli
 
 
 def _evidence(spark, d):
-    k = F.col("l_suppkey") % 5
+    """Three claims a line; the lines are dealt by entity, so all that is gathered of a field is in its task."""
+    lines = dealt(table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("entity"), (F.col("l_suppkey") % 5).cast("int").alias("k"), "l_returnflag", "l_linestatus",
+        F.round(F.col("l_discount") * 100).cast("int").alias("cut")), "entity")
+    k = F.col("k")
     fields = F.array(
         F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value")),
         F.struct(F.lit("status").alias("field"), F.col("l_linestatus").alias("value")),
-        F.struct(F.lit("cut").alias("field"), F.round(F.col("l_discount") * 100).cast("int").cast("string").alias("value")),
+        F.struct(F.lit("cut").alias("field"), F.col("cut").cast("string").alias("value")),
     )
-    return table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("entity"), F.concat(F.lit("s"), k.cast("string")).alias("source"), (k % 3 + 1).cast("int").alias("tier"),
-        k.cast("int").alias("rank"), F.when(k.isin(1, 2), "f").alias("family"), (k == 4).alias("verify_only"),
-        (85 - 6 * k).cast("int").alias("reliability"), F.explode(fields).alias("f"),
+    return lines.select(
+        "entity", F.concat(F.lit("s"), k.cast("string")).alias("source"), (k % 3 + 1).alias("tier"),
+        k.alias("rank"), F.when(k.isin(1, 2), "f").alias("family"), (k == 4).alias("verify_only"),
+        (85 - 6 * k).alias("reliability"), F.explode(fields).alias("f"),
     ).select("entity", "f.field", "f.value", "source", "tier", "rank", "family", "verify_only", "reliability")
 
 
