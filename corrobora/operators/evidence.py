@@ -20,10 +20,12 @@ def independence(df: DataFrame, copyable: Column, length: Column, value_hash: Co
 def candidates(df: DataFrame) -> DataFrame:
     """One row per (entity, field, value): sources, witnesses, their corroborated confidence, best reliability."""
     by_source = df.groupBy("entity", "field", "value", "witness", "source").agg(F.max("reliability").alias("r"), F.bool_and("verify_only").alias("v"))
-    # All that follows goes by (entity, field): dealt once here, after claims are summed in their tasks. A field has few sources: the register's.
-    claims = by_source.repartition("entity", "field").groupBy("entity", "field", "value").agg(
-        F.collect_list(F.struct("witness", "source", "r")).alias("claims"), F.max("r").alias("reliability"), F.bool_and("v").alias("verify_only")
-    )
+    # A field has few sources: the register's. Windows sort the claims once; an aggregate that collects would sort them on both of its sides.
+    of = Window.partitionBy("entity", "field", "value")
+    claims = by_source.withColumn("turn", F.row_number().over(of.orderBy("witness", "source"))).select(
+        "entity", "field", "value", "turn", F.collect_list(F.struct("witness", "source", "r")).over(of).alias("claims"),
+        F.max("r").over(of).alias("reliability"), F.bool_and("v").over(of).alias("verify_only"),
+    ).where("turn = 1")
     strongest = lambda w: F.array_max(F.transform(F.filter("claims", lambda c: c["witness"] == w), lambda c: c["r"]))
     witnesses = claims.withColumn("heard", F.transform(F.array_distinct(F.transform("claims", lambda c: c["witness"])), strongest))
     return witnesses.select(
@@ -80,14 +82,16 @@ def decide(found: DataFrame, existing: DataFrame, criticality: Column) -> DataFr
         F.col("place") > 1,
         F.round(F.col("confidence") * F.least(F.lit(1.0), F.col("independent") / F.greatest("lead", F.lit(1))) * 0.35),
     )
-    picked = F.struct("value", "independent", "confidence", "verify_only", "sources")
-    both = ranked(found).groupBy("entity", "field").agg(
-        F.max(F.when(F.col("place") == 1, picked)).alias("top"),
-        F.max(F.when(F.col("place") == 2, picked)).alias("second"),
-        F.coalesce(F.sum(rival), F.lit(0.0)).cast("int").alias("loss"),
+    # All of a field's candidates lie side by side after ranking: the best one's row takes what the others say.
+    of = Window.partitionBy("entity", "field")
+    both = ranked(found).select(
+        "entity", "field", "place",
+        F.struct("value", "independent", "confidence", "verify_only", "sources").alias("top"),
+        F.lead(F.struct("independent", "confidence")).over(of.orderBy("place")).alias("second"),
+        F.coalesce(F.sum(rival).over(of), F.lit(0.0)).cast("int").alias("loss"),
         # A field has few sources: the register's.
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("place") > 1, F.col("sources")))))).alias("dissenting"),
-    )
+        F.collect_list(F.when(F.col("place") > 1, F.col("sources"))).over(of).alias("others"),
+    ).where("place = 1").withColumn("dissenting", F.array_sort(F.array_distinct(F.flatten("others")))).drop("place", "others")
     alone = F.when(F.col("top.independent") <= 1, 6).otherwise(0)
     conf = F.greatest(F.lit(0), F.least(F.lit(99), F.col("top.confidence") - alone - F.col("loss")))
     both = both.withColumn("top_form", normal_value(F.col("field"), F.col("top.value")))

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from corrobora import plans
 from corrobora.operators import commits, evidence, identity, quality, trace
 from corrobora.streaming import health, resume, runs
 
@@ -42,6 +43,32 @@ def test_trace_and_report(spark):
     assert plan.count("Expand") == 1
 
 
+def test_filed_hashes_are_dealt_by_number(spark):
+    hashes = spark.range(2000).select((F.xxhash64("id").bitwiseAND(F.lit((1 << 19) - 1))).alias("h"))
+    found = identity.near_hashes(hashes, "h", bits=19, most=2)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"hashpartitioning\((band#\d+), (value#\d+L?), (\d+)\), REPARTITION_BY_NUM", plan))
+    assert len(dealt) == 2 and {int(n) for *_, n in dealt} == {parts}
+    h = sorted({r.h for r in hashes.collect()})
+    assert sorted((r.a, r.b) for r in rows) == [(a, b) for i, a in enumerate(h) for b in h[i + 1:] if (a ^ b).bit_count() <= 2]
+
+
+def test_lines_are_dealt_once(spark, sf_dir):
+    """What is gathered of order lines by entity takes one shuffle of the lines, before they are taken apart; stored values and answers bring theirs."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, most in (("resolve_scalar", 1), ("evidence_candidates", 1), ("run_report", 3), ("decision_explain", 3)):
+            plan = plans.plans()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            above, below = plan.split("REPARTITION_BY_NUM")
+            assert plan.count("Exchange ") <= most and "Generate" not in below.split("FileScan")[0], name
+            assert "ObjectHashAggregate(keys=[entity" not in above or name == "run_report", name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_provenance_cuts_changes(spark):
     one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     got = trace.provenance(one([(1, "s", 2)], "e long, source string, n int"), one([(1, "f", "s")], "e long, field string, source string"),
