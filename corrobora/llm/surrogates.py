@@ -115,7 +115,8 @@ _FULL = rf"(?:\p{{Lu}}\.(?: ?\p{{Lu}}\.){{0,2}} )?{_WORD}(?: (?:(?:{_any_of(*PAR
 _PLAIN = r"[\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]{2,}"
 PATTERNS = {
     # An address starts where its run of letters, digits and marks does, so that each run is read once.
-    "email": r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][._%+-]{1,64})[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    # What stands before is looked at only where a letter or digit follows a mark.
+    "email": r"(?=[\p{L}\p{N}])(?<![\p{L}\p{N}])(?:(?<![._%+-])|(?<![\p{L}\p{N}][._%+-]{1,64}))[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "token": r"(?<![0-9A-Za-z_-])(?:(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?[0-9A-Za-z_-]{16,}|gh[pousr]_[0-9A-Za-z]{20,}|github_pat_[0-9A-Za-z_]{20,}"
     r"|xox[abprs]-[0-9A-Za-z-]{10,}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z]))",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]{0,63}[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
@@ -134,6 +135,37 @@ PATTERNS = {
 _PREFIX = r"^(?:(?:sk|pk|rk)[-_](?:(?:live|test|proj)[-_])?|gh[pousr]_|github_pat_|xox[abprs]-|AKIA)"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+
+def _rest() -> str:
+    """What stands before the next entity, for Java: words, numbers and marks in which none can start go whole, other text after a trial.
+
+    A word goes whole where neither a letter, a digit nor a mark of addresses, keys or IPv6 follows:
+    an address has an at-sign after its run, other entities have a digit, a capital or a mark, names a title.
+    """
+    titles = [w for w in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *MALE_CASELESS, *FEMALE_CASELESS) if w[0] < "Ā"]
+    cues = [w for w in CUES if w[0] < "Ā"]
+    letters = [chr(i) for i in range(0x100) if chr(i).isalpha() and chr(i) not in "ªºµ"]
+    lower = "".join(c for c in letters if c == c.lower())
+    first = "".join(sorted({w[0] for w in (*titles, *cues)}))
+    plain = "".join(c for c in letters if c not in first)
+    ends = "".join(rf"\x{i:02x}" for i in range(0x80) if not chr(i).isalnum() and chr(i) not in "_%+@:-.(")
+    after = rf"(?:[{ends}]+|\.[{ends}]+)"
+    titled = rf"(?:{_any_of(*titles)})\.? |(?:{_any_of(*cues)}) "
+    return (
+        rf"(?<![{''.join(letters)}])(?:[{plain}]|(?!{titled})[{first}])[{lower}]*{after}"
+        r"|[^0-9A-Za-z(+\x80-\x{10FFFF}]+|[(+](?![0-9])|[^\x00-\x7F\p{L}\p{N}]+"
+        # Other scripts: an address or a name may start at a word's first letter, a Chinese name at any.
+        rf"|(?<!\p{{L}})(?!{PATTERNS['name']})[\p{{L}}&&[ɐ-￿]&&[^{HAN_FAMILIES}]]+(?:{after}|[^\x00-\x7F\p{{L}}\p{{N}}]+)"
+        # Letters beyond 16 bits start addresses only.
+        r"|[\p{L}\p{N}&&[\x{10000}-\x{10FFFF}]]++(?![\p{L}\p{N}._%+@-])"
+        # Within letters or digits of ASCII nothing starts.
+        rf"|(?!{ENTITY})(?s:[A-Za-z]+|[0-9]+|.)"
+    )
+
+
+#: Each match is a stretch of text (group 1) and the entity after it (group 2; empty after a last stretch).
+STRETCH = rf"\G(?!\z)((?:{_rest()})*+)({ENTITY}|\z)"
+
 _ALPHABETS = {
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "accented": "áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿ",
@@ -359,12 +391,14 @@ def draw_surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> D
     """
     entities = durable(entities.select("type", "who").distinct())
     settled, open_ = None, entities
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for attempt in range(most_attempts):
         tries = F.lit(attempt)
         drawn = durable(
-            open_.withColumn("stream", _stream(key, F.col("type"), F.col("who"), tries)).select(
-                "type", "who", _draw(key, F.col("type"), F.col("who"), tries).alias("drawn")
-            )
+            # A draw takes far longer than reading what it is for: the small files are dealt to all tasks.
+            open_.repartition(tasks, "type", "who")
+            .withColumn("stream", _stream(key, F.col("type"), F.col("who"), tries))
+            .select("type", "who", _draw(key, F.col("type"), F.col("who"), tries).alias("drawn"))
         )
         drawn = drawn.withColumn("mark", _mark(F.col("drawn")))
         real = entities.select("type", _mark(F.when(F.col("type").isin("name", "given"), F.regexp_replace("who", "^[^ ]* ", "")).otherwise(F.col("who"))).alias("mark"))
@@ -400,7 +434,7 @@ def replace_personal_data(
     """
     text = F.col(text_col)
     uid = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-    mentions = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    mentions = F.filter(F.regexp_extract_all(text, F.lit(STRETCH), F.lit(2)), lambda e: e != "")
     found = durable(
         docs.select(uid.alias("uid"), F.explode(F.array_distinct(mentions)).alias("entity"))
         .distinct()
@@ -427,15 +461,13 @@ def replace_personal_data(
         )
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), uid.alias("uid"))
-    pieces, ents = F.split("text", ENTITY, -1), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    rebuilt = F.array_join(
-        F.zip_with(pieces, ents, lambda p, e: F.concat(p, F.coalesce(F.element_at(F.col("plan"), e), e, F.lit("")))), ""
-    )
     joined = rows.join(plans.hint("merge"), "uid", "left")  # plans grow with the texts; alike at every size
     has = F.col("plan").isNotNull()
-    return joined.select(
+    cut = joined.withColumns({name: F.when(has, F.regexp_extract_all("text", F.lit(STRETCH), F.lit(at))) for name, at in (("pieces", 1), ("ents", 2))})
+    rebuilt = F.array_join(F.zip_with("pieces", "ents", lambda p, e: F.concat(p, F.coalesce(F.element_at(F.col("plan"), e), e))), "")
+    return cut.select(
         "doc_id",
         F.when(has, rebuilt).otherwise(F.col("text")).alias("text"),
-        F.when(has, F.size(ents)).otherwise(0).cast("long").alias("n_entities"),
+        F.when(has, F.size(F.filter("ents", lambda e: e != ""))).otherwise(0).cast("long").alias("n_entities"),
         F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -13,13 +14,13 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corrobora.llm import near_copies
+from corrobora.llm import near_copies, surrogates
 from corrobora.llm.exact_dedup import exact_dedup
 from corrobora.llm.quality import THRESHOLD, apply_model, features, fit_quality
 from corrobora.llm.queries import OP9_SQL
 from corrobora.llm.quotes import reply_order
 from corrobora.llm.simhash import fingerprint
-from corrobora.llm.surrogates import ENTITY, draw_surrogates, replace_personal_data
+from corrobora.llm.surrogates import ENTITY, STRETCH, draw_surrogates, replace_personal_data
 
 PERSONAL = (
     "Mail Ann.Lee@Corp.example.com or ann.lee@corp.example.com, call +1 (437) 555-0689 or 437-555-0689. "
@@ -125,6 +126,47 @@ def test_surrogates_of_whole_words_and_formats(spark):
     assert not new[9].endswith("-ann@x.org") and "b@c.org" not in new[9]
 
 
+def test_surrogates_by_stretches_as_by_trial_everywhere(spark):
+    """Stretches end at the entities that a trial at each character finds, whatever stands side by side."""
+    bits = [*surrogates.MALE_TITLES, *surrogates.FEMALE_TITLES, *surrogates.MALE_CASELESS, *surrogates.MALE_SUFFIXES, *surrogates.CUES, *PERSONAL.split(" ")]
+    bits += [*"김이박王李明씨ªµ×é½²।َ𝐀😀’。ñЖa0@._%+-:('/)\n,", "Smith", "O'Brien", "Иван", "राम", "sk-", "ghp_", "AKIA", "IOSFODNN7EXAMPLE", "abcdEFGH1234567890xyz_", "-0689", "10.0.0.", "fe80:0:", "::", "x@y.org", "word", "Word", "über", "well-known", "end. "]
+    dice = random.Random(4)
+    rows = [("".join(dice.choice(bits) + dice.choice(("", " ")) for _ in range(dice.choice((2, 5, 9, 20)))),) for _ in range(6000)]
+    rows += [(text,) for _, text in NAMED] + [("",), ("𝐀." * 5000,), ("éa" * 5000 + "@x.org",)]
+    take = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    got = spark.createDataFrame(rows, "text string").select("text", take(ENTITY, 0).alias("all"), take(STRETCH, 1).alias("pieces"), take(STRETCH, 2).alias("ends")).collect()
+    assert sum(len(r.all) for r in got) > 3000
+    for r in got:
+        assert [e for e in r.ends if e] == r.all
+        assert "".join(p + e for p, e in zip(r.pieces, r.ends, strict=True)) == r.text
+
+
+def test_surrogates_pass_over_prose(spark):
+    """Words are passed over whole: far faster than a trial at each character."""
+    prose = spark.createDataFrame([("The señor said that nothing in here, 12 words or more, is personal. " * 4000,)] * 8, "text string").repartition(4).cache()
+    prose.count()
+
+    def seconds(pattern, group):
+        began = time.perf_counter()
+        prose.select(F.sum(F.length(F.array_join(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), "")))).collect()
+        return time.perf_counter() - began
+
+    assert min(seconds(STRETCH, 2) for _ in range(3)) < min(seconds(ENTITY, 0) for _ in range(2)) / 2
+
+
+def test_surrogates_are_drawn_in_all_tasks(spark, monkeypatch):
+    tasks, kept = [], surrogates.durable
+
+    def counted(df):
+        if df.columns == ["type", "who", "drawn"]:
+            tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return kept(df)
+
+    monkeypatch.setattr(surrogates, "durable", counted)
+    draw_surrogates(spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(1000)], "type string, who string").coalesce(1), "k")
+    assert tasks[0] == 4
+
+
 def test_surrogates_against_brute_force(spark, small):
     """Entities by Python's regex: all that is outside them stays, and replacements map one to one."""
     pattern = regex.compile(ENTITY)
